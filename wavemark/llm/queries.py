@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney
+from . import jaccard, kneser_ney
 from .common import table
 
 
@@ -15,6 +15,30 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_kneser_ney_quality,)}
-
-SQL: dict[str, str] = {}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
+
+
+QUERIES = {f.__name__: f for f in (op4_kneser_ney_quality, op10_ngram_jaccard_join)}
+
+SQL: dict[str, str] = {
+    "op10_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), links AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+        ), reach AS (
+            SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+        ), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id
+    """,
+}
