@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, kneser_ney
+from . import decontaminate, jaccard, kneser_ney
 from .common import table
 
 
@@ -15,11 +15,15 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
-QUERIES = {f.__name__: f for f in (op4_kneser_ney_quality, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op4_kneser_ney_quality, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op10_ngram_jaccard_join": r"""
