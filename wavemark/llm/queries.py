@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, mixing
+from . import decontaminate, jaccard, kneser_ney, mixing, sharding
 from .common import table
 
 
+def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,7 +31,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op4_kneser_ney_quality, op7_pareto_mixing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op4_kneser_ney_quality, op7_pareto_mixing, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op7_pareto_mixing": mixing.SQL,
