@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, mixing, sharding
+from . import decontaminate, jaccard, kneser_ney, mixing, rules, sharding
 from .common import table
 
 
@@ -27,14 +27,19 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op4_kneser_ney_quality, op7_pareto_mixing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op4_kneser_ney_quality, op7_pareto_mixing, op8_risk_controlled_rules, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op7_pareto_mixing": mixing.SQL,
+    "op8_risk_controlled_rules": rules.SQL,
     "op10_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
