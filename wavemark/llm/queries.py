@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, mixing, rules, sharding
+from . import decontaminate, jaccard, kneser_ney, mixing, rules, sharding, tokens
 from .common import table
 
 
@@ -31,11 +31,18 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cfg = tokens.TokenFileConfig(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.round_trip(table(spark, sf_dir, "documents"), cfg).drop("file")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op4_kneser_ney_quality, op7_pareto_mixing, op8_risk_controlled_rules, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op4_kneser_ney_quality, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op7_pareto_mixing": mixing.SQL,
