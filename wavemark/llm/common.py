@@ -7,11 +7,13 @@ changes A-Z only, so Python code works on the UTF-8 bytes and agrees with the SQ
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,12 +92,25 @@ def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+class Shared:
+    """A broadcast of an object whose code travels with it, so executors need not import it."""
+
+    def __init__(self, broadcast) -> None:
+        self._broadcast = broadcast
+
+    @property
+    def value(self):
+        return pickle.loads(self._broadcast.value)
+
+
 def session_broadcast(spark: SparkSession, value: object, size: int, bound: int) -> object:
     """A broadcast variable for a value whose size was measured; beyond the bound it is an error,
     and the caller has to work in blocks."""
     if size > bound:
         raise ValueError(f"{size} bytes are beyond the bound of {bound} for a broadcast")
-    return spark.sparkContext.broadcast(value)
+    if isinstance(value, np.ndarray | str):
+        return spark.sparkContext.broadcast(value)
+    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def rows_per_task(spark: SparkSession, total: int, each: int) -> int:

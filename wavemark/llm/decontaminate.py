@@ -215,8 +215,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig
         shared = session_broadcast(docs.sparkSession, index, sum(len(t) for t in index.lists), cfg.index_chars)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
-                fine = [not shared.value.matches(text) for text in batch.column(0).to_pylist()]
+                fine = [not index.matches(text) for text in batch.column(0).to_pylist()]
                 batch = batch.filter(pa.array(fine, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(batch.columns[1:], columns)
 
