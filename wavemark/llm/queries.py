@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, language, mixing, rules, sharding, tokens
+from . import decontaminate, jaccard, kneser_ney, language, mixing, rules, sharding, tokens, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op4_kneser_ney_quality, op5_language_id, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op3_toxicity_chain, op4_kneser_ney_quality, op5_language_id, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op7_pareto_mixing": mixing.SQL,
