@@ -64,11 +64,12 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", carry: list[str] | None = None, merit=length_merit) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, copies, taken, and the columns `carry`."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", merit=length_merit, carry: list[str] | None = None) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, copies, taken, and each column c of
+    `carry` as c_<name>."""
     size = word_count(F.col("text"))
     carry = list(carry or [])
-    base = docs.select(*carry, F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
+    base = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
     base = base.withColumn("__merit", merit(F.col("__size"))).withColumn("__u", uniform(F.col("__id"), seed)).withColumn("__row", F.monotonically_increasing_id())
     base = written(base, "mix-rows")
     rows = base.select(F.col("__row").alias("row"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__merit").alias("merit"), F.col("__u").alias("u"))
@@ -110,7 +111,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     out = out.join(shares.select(F.col("source").alias("__s"), F.col("merit").alias("__m"), "whole"), F.expr("b.__source <=> __s and b.__merit = __m"), "left")
     out = out.join(targets.select(F.col("source").alias("__t"), "source_size", "target"), F.expr("b.__source <=> __t"), "left")
     copies = F.when(F.col("__size") > 0, F.coalesce("whole", F.lit(0)) + F.coalesce("more", F.lit(0))).otherwise(0).cast("long")
-    return out.select(*[F.col(f"b.{c}").alias(c) for c in carry if c != "doc_id"], F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))
+    return out.select(*[f"b.c_{c}" for c in carry], F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))
+
+
+def resampled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:") -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its columns. A document without
+    words has no size to weigh and is not taken."""
+    rows = mix(docs, weights, most, seed, carry=docs.columns).filter("copies > 0")
+    return rows.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*docs.columns)
 
 
 SQL = r"""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, language, mixing, rules, sharding, tokens, toxicity
+from . import chaining, decontaminate, jaccard, kneser_ney, language, mixing, rules, sharding, tokens, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), language.LanguageConfig(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,7 +56,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op3_toxicity_chain, op4_kneser_ney_quality, op5_language_id, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op3_toxicity_chain, op4_kneser_ney_quality, op5_language_id, op6_collinear_chaining, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op7_pareto_mixing": mixing.SQL,

@@ -105,12 +105,21 @@ def ranked(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = 8, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert and the columns `carry`."""
-    carry = [c for c in carry or [] if c != "doc_id"]
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert, and each column c of `carry`
+    as c_<name>."""
+    carry = list(carry or [])
     rows = ranked(docs, carry)
     rows = rows.withColumn("shard", F.expr(f"cast(rank * {shards} div all as int)"))
     start = F.expr(f"(shard * all + {shards - 1}) div {shards}")
     return rows.select(
-        F.col("id").alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("id").alias("doc_id"), *[f"c_{c}" for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert",
     )
+
+
+def with_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """The documents with their columns, and two more: shard and slot (named shard_1, ... where the
+    documents have such a column)."""
+    names = [next(n for n in (name, *(f"{name}_{i}" for i in range(1, 99))) if n not in docs.columns) for name in ("shard", "slot")]
+    rows = shard(docs, shards, docs.columns)
+    return rows.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns], F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
