@@ -1,0 +1 @@
+"""The stages between audio and answers."""

@@ -1,0 +1 @@
+"""Where signals and indexes come from and go to."""
