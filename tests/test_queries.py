@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from comparing import rows_of
 
 from wavemark.plans import catalogue
 
