@@ -158,7 +158,7 @@ class Index:
         words, known, n = terms(text), self.lists.keys(), self.cfg.ngram
         step = self.span // 2
         halves = [known & set(words[a : a + step]) for a in range(0, len(words), step)]
-        for k in range(max(1, len(halves) - 1)):
+        for k in range(max(min(1, len(halves)), len(halves) - 1)):
             passage = halves[k] | halves[k + 1] if k + 1 < len(halves) else halves[k]
             near = None
             for item, score in self.above(passage):
