@@ -1,0 +1,55 @@
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from wavemark.llm.sharding import curve_tables, hilbert_index, shard, with_shards
+
+
+@pytest.mark.parametrize(("n", "bits"), [(2, 4), (3, 3), (4, 2)])
+def test_curve_visits_all_cells_by_single_steps(spark, n, bits):
+    side = 1 << bits
+    axes = [(F.col("id") / side**k).cast("long") % side for k in range(n)]
+    rows = spark.range(side**n).select(*[a.cast("int").alias(f"x{k}") for k, a in enumerate(axes)])
+    rows = rows.withColumn("h", hilbert_index([F.col(f"x{k}") for k in range(n)], bits)).orderBy("h").collect()
+    assert [r.h for r in rows] == list(range(side**n))
+    assert all(sum(abs(p[k] - q[k]) for k in range(n)) == 1 for p, q in zip(rows, rows[1:], strict=False))
+    assert rows[0][:n] == (0,) * n
+
+
+def test_tables_are_permutations():
+    place, state = curve_tables(3)
+    assert len(place) == 24 * 8 and all(sorted(place[s * 8 : s * 8 + 8]) == list(range(8)) for s in range(24)) and set(state) <= set(range(24))
+
+
+def test_law_and_slots(docs, corpus):
+    rows = shard(docs).collect()
+    assert len(rows) == len(corpus)
+    sizes = [sum(r.shard == k for r in rows) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sizes[k]))
+    expected = sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in corpus)
+    assert sorted((r["size"], r.text_crc32) for r in rows) == expected
+    assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    order = [r.hilbert for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
+def test_is_stable(docs):
+    key = lambda rows: sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in rows.collect())
+    assert key(shard(docs)) == key(shard(docs.repartition(7)))
+
+
+def test_runs_are_narrow(docs):
+    rows = shard(docs, 8, ["lang"]).filter("c_lang is not null").groupBy("shard").agg(F.countDistinct("c_lang").alias("n")).collect()
+    assert sum(r.n for r in rows) < 8 * 3
+
+
+def test_edges(empty, odd_columns, spark):
+    assert shard(empty).count() == 0
+    few = spark.createDataFrame([(1, "a", None, None), (1, "a", None, None), (None, None, "x", "y")], "doc_id long, text string, lang string, source string")
+    assert sorted((r.shard, r.slot) for r in shard(few).collect()) == [(0, 0), (2, 0), (5, 0)]
+    out = with_shards(odd_columns)
+    assert out.columns == [*odd_columns.columns, "shard_1", "slot_1"] and out.count() == odd_columns.count()
+    assert {r["shard"] for r in out.select("shard").distinct().collect()} == {"own"}
