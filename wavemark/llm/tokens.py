@@ -26,12 +26,15 @@ are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,10 @@ from .common import fresh_path, rows_per_task, session_broadcast, written
 
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters that Python counts as white space and the tokeniser does not.
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-CACHE = 400_000
+ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Chunks that a generation of a worker process's cache holds, about 200 bytes each. A full one
+#: becomes the old generation, from which chunks that still occur move to the new.
+CACHE = 700_000
 
 
 @dataclass(frozen=True)
@@ -66,19 +71,55 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(text)
-        special = [t.content for t in self.own.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
+        self.whole = (*ODD_SPACE, *(t.content for t in self.own.get_added_tokens_decoder().values()))
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        ids = self.own.encode("\n", add_special_tokens=False).ids
+        self.newline = ids[0] if len(ids) == 1 else None
+
+    @classmethod
+    def of_process(cls, text: str) -> ChunkTokenizer:
+        """The tokeniser of this worker process, which keeps its cache from task to task."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_wavemark", {})
+        key = hash(text)
+        if key not in held:
+            held.clear()
+            held[key] = cls(text)
+        return held[key]
+
+    def _unknown(self, chunks: list[list[str] | None]) -> set[str]:
+        out: set[str] = set()
+        for x in filter(None, chunks):
+            out.update(filterfalse(self.cache.__contains__, x))
+        return out
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes chunks and caches their ids. Chunks of other than white space go in one text with
+        line ends between them, which are tokens of their own there, and are told apart by these."""
+        words = [] if self.newline is None else [c for c in fresh if not c.isspace()]
+        if words:
+            ids = np.array(self.own.encode_batch_fast(["\n".join(words) + "\n"], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.newline)
+            if len(cuts) == len(words):
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                self.cache.update(zip(words, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)), strict=True))
+        rest = [c for c in fresh if c not in self.cache]
+        self.cache.update(zip(rest, (array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [None if self.whole.search(t) else CHUNKS.findall(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        fresh = list({c for x in chunks if x for c in x} - self.cache.keys())
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        chunks = [None if any(map(t.__contains__, self.whole)) else CHUNKS.findall(t) for t in texts]
+        fresh = self._unknown(chunks)
+        if len(self.cache) + len(fresh) > CACHE:
+            self.cache, self.old = {}, self.cache
+            fresh = self._unknown(chunks)
+        known = fresh & self.old.keys()
+        self.cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        fresh = list(fresh - known)
+        for i in range(0, len(fresh), 2_000):
+            self._learn(fresh[i : i + 2_000])
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) if x is not None else np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for x, t in zip(chunks, texts, strict=True)]
 
@@ -162,7 +203,7 @@ def write_files(docs: DataFrame, cfg: TokenFileConfig, out: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, end = ChunkTokenizer(shared.value), np.array([cfg.end_id], "<u4").tobytes()
+        tokenizer, end = ChunkTokenizer.of_process(shared.value), np.array([cfg.end_id], "<u4").tobytes()
         schema = sequence_schema(cfg, tokenizer.own.get_vocab_size())
         kind = schema.field("ids").type.value_type.to_pandas_dtype()
         fs, root = store(out)
@@ -170,6 +211,7 @@ def write_files(docs: DataFrame, cfg: TokenFileConfig, out: str) -> DataFrame:
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"{root}/part-{part:06d}-{attempt}.{x}.arrows" for x in ("tokens", "docs")]
         n_docs = n_tokens = 0
+        gc.disable()  # nothing here has cycles, and the cache would be walked again and again
         with fs.open_output_stream(f"{names[0]}.tmp") as tokens, fs.open_output_stream(f"{names[1]}.tmp") as index:
             sequences, places = SequenceWriter(tokens, cfg, schema), pa.ipc.new_stream(index, DOCS)
             for batch in batches:
@@ -183,6 +225,7 @@ def write_files(docs: DataFrame, cfg: TokenFileConfig, out: str) -> DataFrame:
                     n_docs, n_tokens = n_docs + len(lengths), n_tokens + sum(lengths)
             sequences.close()
             places.close()
+        gc.enable()
         for name in names:
             if n_docs:
                 fs.move(f"{name}.tmp", name)
