@@ -10,8 +10,10 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,12 +43,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends here, and a lost
-    executor costs no recomputation of what stands before it."""
+    executor costs no recomputation of what stands before it. `parts` bounds the files of a table
+    whose size is known to be small."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +126,13 @@ def session_broadcast(spark: SparkSession, value: object, size: int, bound: int)
     return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def rows_per_task(spark: SparkSession, total: int, each: int) -> int:
     """Partitions so that each holds about `each` of `total`, at least the session's parallelism."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // max(1, each)), 1)

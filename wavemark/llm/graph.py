@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Bits of the membership filter: 4 MB on the driver and each executor, whatever the input.
 FILTER_BITS = 1 << 25
+ROWS_PER_FILE = 500_000
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -20,15 +21,20 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     minimum is combined before the shuffle. Every round is a table in the shared folder.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), name)
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name)
+    parts = 1 + both.count() // ROWS_PER_FILE
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name, parts)
     while True:
         near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
-        step = written(step.join(jump, "to").select("id", F.least("to", "next").alias("component"), "was"), name)
-        labels = step.select("id", "component")
+        step = written(step.join(jump, "to").select("id", F.least("to", "next").alias("component"), "was"), name, parts)
+        forget(labels)
+        labels = step
         if not step.filter("component < was").take(1):
-            return labels
+            forget(both)
+            out = step.select("id", "component")
+            out.scratch_path = step.scratch_path
+            return out
 
 
 def slot_of(key: Column) -> Column:
