@@ -111,12 +111,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
+def files_of(k: int) -> int:
+    """Files for a table of order k, of 64**k rows at most: a million rows each."""
+    return max(1, SYMBOLS**k >> 20)
+
+
 def joined_orders(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (gram, p) of the n-grams seen, and (context, rest), the mass a context
     leaves to the order below. Lower orders count distinct left neighbours."""
     levels = [counts]
     for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, written(levels[0].groupBy((F.col("gram") % SYMBOLS**k).cast("int").alias("gram")).agg(F.count("*").alias("n")), f"kn-count-{k}"))
+        levels.insert(0, written(levels[0].groupBy((F.col("gram") % SYMBOLS**k).cast("int").alias("gram")).agg(F.count("*").alias("n")), f"kn-count-{k}", files_of(k)))
     out, below = [], None
     for k, level in enumerate(levels, 1):
         few = level.agg(*(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5))).first()
@@ -126,7 +131,7 @@ def joined_orders(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         contexts = seen.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("rest"))
         grams = seen.join(contexts, "context")
         grams = grams.withColumn("lower", F.lit(1.0 / SYMBOLS)) if below is None else grams.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        below = written(grams.select("gram", ((F.col("n") - off) / F.col("total") + F.col("rest") * F.col("lower")).alias("p")), f"kn-order-{k}")
+        below = written(grams.select("gram", ((F.col("n") - off) / F.col("total") + F.col("rest") * F.col("lower")).alias("p")), f"kn-order-{k}", files_of(k))
         out.append((below, contexts.select("context", "rest")))
     return out
 
@@ -138,7 +143,7 @@ def _column(rows: pa.Table, name: str) -> np.ndarray:
 def train(docs: DataFrame) -> np.ndarray | None:
     """Minus log2 of the probability of each of the 64**4 n-grams' last symbol after the others, as
     half floats (32 MB, whatever the input); None without a text."""
-    counts = written(count_grams(docs), "kn-count")
+    counts = written(count_grams(docs), "kn-count", files_of(ORDER))
     if not counts.take(1):
         return None
     dense = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
@@ -216,7 +221,7 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> tuple
     model = fit(docs, labels)
     narrow = docs.select("doc_id", "lang", "text", F.coalesce(F.length("text") > 0, F.lit(False)).alias("has_text"))
     scored = written(with_perplexity(narrow, model, ["doc_id", "lang", "has_text"]), "kn-scored")
-    return model, scored, written(thresholds(scored, labels, quantile), "kn-cuts")
+    return model, scored, written(thresholds(scored, labels, quantile), "kn-cuts", 1)
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:

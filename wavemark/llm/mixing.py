@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import forget, word_count, written
 
 BINS = 4096
 
@@ -74,13 +74,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     base = written(base, "mix-rows")
     rows = base.select(F.col("__row").alias("row"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__merit").alias("merit"), F.col("__u").alias("u"))
 
-    classes = written(rows.groupBy("source", "merit").agg(F.sum("size").alias("class_size")), "mix-classes")
-    targets = written(source_targets(classes, weights, most), "mix-targets")
+    classes = written(rows.groupBy("source", "merit").agg(F.sum("size").alias("class_size")), "mix-classes", 1)
+    targets = written(source_targets(classes, weights, most), "mix-targets", 1)
     shares = classes.filter("class_size > 0").alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source"))
     shares = shares.select("c.source", "merit", "class_size", "target", F.expr("class_size * merit").alias("weight"), (most * F.col("class_size")).alias("cap"), F.col("merit").alias("__tie"))
     shares = filled(shares, ["source"], "weight", "cap", "target", "share").withColumn("expected", F.col("share") / F.col("class_size"))
     shares = shares.withColumn("whole", F.floor("expected")).withColumn("part", F.col("expected") - F.floor("expected"))
-    shares = written(shares.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("class_size")).over(Window.partitionBy("source"))).select("source", "merit", "whole", "part", "rest"), "mix-shares")
+    shares = written(shares.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("class_size")).over(Window.partitionBy("source"))).select("source", "merit", "whole", "part", "rest"), "mix-shares", 1)
 
     # Rank each document, and find the bin in which its source is full.
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     bins = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
     cut = bins.filter("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
-    cut = written(cut.select("source", F.col("x.bin").alias("cut"), F.col("x.before").alias("before")), "mix-cut")
+    cut = written(cut.select("source", F.col("x.bin").alias("cut"), F.col("x.before").alias("before")), "mix-cut", 1)
     placed = ranked.alias("r").join(cut.alias("c"), F.expr("r.source <=> c.source"), "left").select("r.*", "cut", "before")
     placed = placed.filter(F.col("bin") < BINS)  # the others take whole copies only
     edge = placed.filter("bin = cut").withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("odds", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)))
@@ -107,6 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 
     drawn = placed.filter(F.col("bin") < F.coalesce("cut", F.lit(BINS))).select("row")
     drawn = written(drawn.unionByName(inside.select("row")).unionByName(last).withColumn("more", F.lit(1)), "mix-drawn")
+    forget(classes, ranked, cut, edge)
     out = base.join(drawn.withColumnRenamed("row", "__row"), "__row", "left").alias("b")
     out = out.join(shares.select(F.col("source").alias("__s"), F.col("merit").alias("__m"), "whole"), F.expr("b.__source <=> __s and b.__merit = __m"), "left")
     out = out.join(targets.select(F.col("source").alias("__t"), "source_size", "target"), F.expr("b.__source <=> __t"), "left")

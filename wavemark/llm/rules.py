@@ -99,7 +99,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     held = rows.filter("n_words > 0").join(good, "doc_id", "left_semi")
     counts = [F.sum(F.expr(f"if({value} > {c}D, 1L, 0L)")).alias(f"{rule}_{i}") for rule, (value, grid) in RULES.items() for i, c in enumerate(grid)]
-    tried = written(held.groupBy(stratum).agg(F.count("*").alias("n"), *counts), "rules-trials")
+    tried = written(held.groupBy(stratum).agg(F.count("*").alias("n"), *counts), "rules-trials", 1)
     tests = tried.count() * sum(len(grid) for _, grid in RULES.values())
     share = miss / max(1, tests)
     # Candidates run from strict to lax: the first that stands is the strictest.
@@ -110,7 +110,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, miss: float = 0.05) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept and the stratum."""
     rows = written(features(docs, ["doc_id", stratum]), "rules-rows")
-    cuts = written(cutoffs(rows, labels, stratum, risk, miss), "rules-cuts").withColumnRenamed(stratum, "__stratum")
+    cuts = written(cutoffs(rows, labels, stratum, risk, miss), "rules-cuts", 1).withColumnRenamed(stratum, "__stratum")
     out = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
     fine = [F.coalesce(F.expr(f"if(n_words > 0, {value}, null)") <= F.col(f"cut_{rule}"), F.lit(True)) for rule, (value, _) in RULES.items()]
     verdict = ~F.col("base_failed")

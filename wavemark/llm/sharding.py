@@ -88,7 +88,7 @@ def ranked(docs: DataFrame, carry: list[str]) -> DataFrame:
     crc = F.coalesce(crc32_of(F.col("text")), F.lit(0)).cast("long")
     rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col("doc_id").alias("id"), "lang", "source", size.alias("size"), crc.alias("crc"))
     for column in ("lang", "source"):
-        steps = written(value_steps(docs, column), f"shard-{column}").select(F.col("value").alias(f"{column}_value"), F.col("step").alias(f"{column}_step"))
+        steps = written(value_steps(docs, column), f"shard-{column}", 1).select(F.col("value").alias(f"{column}_value"), F.col("step").alias(f"{column}_step"))
         rows = rows.join(steps, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left")
     length = F.least(F.floor(F.log2(F.col("size")) * 2), F.lit((1 << STEPS_BITS) - 1)).cast("int")
     rows = rows.withColumn("hilbert", hilbert_index([F.col("lang_step"), F.col("source_step"), length]))
