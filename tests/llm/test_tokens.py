@@ -34,6 +34,12 @@ def test_chunks_encode_alike(own, chunked, text):
     assert np.frombuffer(chunked.encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from("a1'_. \n!tsréll²½ª"), max_size=14))
+def test_latin_text_encodes_alike(own, chunked, text):
+    assert np.frombuffer(chunked.encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_encodes_alike(own, chunked, text):

@@ -14,9 +14,9 @@ Files go to the shared folder by way of the store's own client, first under a na
 and then renamed; the rows of the writing job name the files of the attempts that counted, so a
 task that is lost or run twice leaves at worst a file that nothing names.
 
-Tokenising caches by chunk: the tokeniser never joins text across the start of a run of
-non-space characters with the space before it, so such chunks are encoded once and their ids
-copied. Texts with characters that split differently in Python go to the tokeniser whole.
+Tokenising caches by chunk: the tokeniser never joins text across certain places, such as the start
+of a run of non-space characters with the space before it, so what lies between them is encoded
+once and its ids copied. Texts with characters that split differently in Python go to the tokeniser whole.
 
 Cases: a null text is an empty one and gives only the end id; an id on several rows has a place for
 each, in the order of their texts' hashes; null ids stand first; very long texts cross as many
@@ -45,6 +45,9 @@ from pyspark.sql import functions as F
 from .common import fresh_path, rows_per_task, session_broadcast, written
 
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Finer ones for Latin-1, of which both sides agree what a letter or number is: words with what
+#: follows an apostrophe, and runs of other signs.
+LATIN_CHUNKS = re.compile(r" ?[^\W_]+(?:'[^\W_]+)*|'[^\W_]+(?:'[^\W_]+)*| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: Characters that Python counts as white space and the tokeniser does not.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks that a generation of a worker process's cache holds, about 200 bytes each. A full one
@@ -52,6 +55,14 @@ ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 CACHE = 700_000
 
 
+def chunks_of(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return CHUNKS.findall(text)
+    return LATIN_CHUNKS.findall(text)
+
+
 @dataclass(frozen=True)
 class TokenFileConfig:
     """tokenizer: path of a tokenizers file; length: ids in a sequence; rows: sequences in a batch."""
@@ -110,7 +121,7 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [None if any(map(t.__contains__, self.whole)) else CHUNKS.findall(t) for t in texts]
+        chunks = [None if any(map(t.__contains__, self.whole)) else chunks_of(t) for t in texts]
         fresh = self._unknown(chunks)
         if len(self.cache) + len(fresh) > CACHE:
             self.cache, self.old = {}, self.cache
