@@ -12,7 +12,9 @@ import numpy as np
 from ..config import PipelineConfig
 from ..functions import hann_weights
 
-FRAMES = 2048
+FRAMES = 1024
+#: Windows from this size are transformed in single precision.
+SINGLE = 1024
 
 
 def frame_total(n: int, window: int, hop: int) -> int:
@@ -20,11 +22,16 @@ def frame_total(n: int, window: int, hop: int) -> int:
 
 
 def spectrum_db(samples: np.ndarray, window: int, hop: int, first: int, last: int, weights: np.ndarray) -> np.ndarray:
-    """Levels of frames first..last-1: one row a frame, one column a bin."""
+    """Levels of frames first..last-1: one row a frame, one column a bin. Small windows are
+    transformed in double precision, where the SQL form sums; large ones in single."""
     view = np.lib.stride_tricks.sliding_window_view(samples, window)[first * hop : (last - 1) * hop + 1 : hop]
-    spectrum = np.fft.rfft((view * weights).astype(np.float64), axis=1)
+    frames = view * weights
+    spectrum = np.fft.rfft(frames if window >= SINGLE else frames.astype(np.float64), axis=1)
     power = spectrum.real**2 + spectrum.imag**2
-    return (10 * np.log10(power + 1e-10)).astype(np.float32)
+    power += power.dtype.type(1e-10)
+    np.log10(power, out=power)
+    power *= 10
+    return power.astype(np.float32, copy=False)
 
 
 def sliding_max(x: np.ndarray, lo: int, hi: int, axis: int) -> np.ndarray:
@@ -32,27 +39,43 @@ def sliding_max(x: np.ndarray, lo: int, hi: int, axis: int) -> np.ndarray:
     width = hi - lo + 1
     if width <= 0:
         return np.full_like(x, -np.inf)
-    pad = [(0, 0)] * x.ndim
+
+    def part(m: np.ndarray, a: int, b: int) -> np.ndarray:
+        return m[a:b] if axis == 0 else m[:, a:b]
+
+    pad = [(0, 0), (0, 0)]
     pad[axis] = (max(0, -lo), max(0, hi))
-    m = np.moveaxis(np.pad(x, pad, constant_values=-np.inf), axis, 0)
-    n, step = x.shape[axis], 1
+    m, n, step = np.pad(x, pad, constant_values=-np.inf), x.shape[axis], 1
     while 2 * step <= width:
-        m = np.maximum(m[:-step], m[step:])
+        size = m.shape[axis]
+        m = np.maximum(part(m, 0, size - step), part(m, step, size))
         step *= 2
     start = max(0, -lo) + lo
-    a, b = m[start : start + n], m[start + width - step : start + width - step + n]
-    return np.moveaxis(np.maximum(a, b), 0, axis)
+    return np.maximum(part(m, start, start + n), part(m, start + width - step, start + width - step + n))
 
 
 def strict_maxima(db: np.ndarray, t: int, f: int, threshold: float) -> np.ndarray:
     """Cells at or above the threshold and above every other cell of their neighbourhood, which is
-    clipped at the edges. A cell that is not a number suppresses none and is never suppressed."""
-    level = np.where(np.isnan(db), -np.inf, db)
+    clipped at the edges. A cell that is not a number suppresses none and is never suppressed.
+
+    Only cells that equal their row's neighbourhood maximum are looked at further, and each step
+    to one side drops most of those that are left.
+    """
+    odd = np.isnan(db)
+    level = np.where(odd, -np.inf, db).astype(db.dtype, copy=False) if odd.any() else db
     row = sliding_max(level, -f, f, 1)
-    rest = np.maximum(sliding_max(level, -f, -1, 1), sliding_max(level, 1, f, 1)) if f else np.full_like(level, -np.inf)
-    if t:
-        rest = np.maximum(rest, np.maximum(sliding_max(row, -t, -1, 0), sliding_max(row, 1, t, 0)))
-    return np.isnan(db) | ((db >= np.float32(threshold)) & (level > rest))
+    i, j = np.nonzero((level == row) & (level >= np.float32(threshold)))
+    v = level[i, j]
+    for grid, reach, step in ((row, t, (1, 0)), (level, f, (0, 1))):
+        for o in (s * k for k in range(1, reach + 1) for s in (1, -1)):
+            y, x = i + o * step[0], j + o * step[1]
+            inside = (y >= 0) & (y < db.shape[0]) & (x >= 0) & (x < db.shape[1])
+            lives = ~inside
+            lives[inside] = grid[y[inside], x[inside]] < v[inside]
+            i, j, v = i[lives], j[lives], v[lives]
+    out = odd
+    out[i, j] = True
+    return out
 
 
 def track_peaks(samples: np.ndarray, cfg: PipelineConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
