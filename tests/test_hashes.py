@@ -76,3 +76,19 @@ def test_config_defaults():
     assert (d.hashes.fan_value, d.hashes.freq_bins, d.peaks.threshold_db, d.index.offset_bin_size) == (15, 1024, -40.0, 0.05)
     assert PRESETS["speech"].hashes.max_dt == 2.0
     assert PipelineConfig.derive(44100, 4096).hashes.freq_resolution == pytest.approx(44100 / 4096)
+
+
+@pytest.mark.parametrize("hashes", [{}, {"max_dt": 0.3, "fan_value": 3}, {"min_dt": 0.1}, {"fan_value": 0}, {"freq_bins": 4}], ids=str)
+def test_one_pass_is_the_plan(spark, hashes):
+    import numpy as np
+
+    from wavemark.config import PipelineConfig
+    from wavemark.operators.hashes import fingerprints_from_signals
+    from wavemark.operators.peaks import peaks_from_signals
+
+    cfg = PipelineConfig.derive(64, 16, 4, {"time_neighborhood": 2, "freq_neighborhood": 2, "threshold_db": -20.0}, hashes)
+    rows = [(f"t{i}", np.random.default_rng(i).normal(size=n).tolist()) for i, n in enumerate((400, 90, 5, 16))]
+    rows = spark.createDataFrame([*rows, ("none", None)], "track_name string, samples array<float>")
+    a, b = fingerprints_from_signals(rows, cfg), fingerprints(peaks_from_signals(rows, cfg), cfg.hashes)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert hashes.get("fan_value") == 0 or a.count() > 20

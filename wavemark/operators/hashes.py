@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as W
-from ..config import HashConfig
-from .peaks import sequenced
+from .. import schemas
+from ..config import HashConfig, PipelineConfig
+from .dsp import track_peaks
+from .peaks import peaks_from_signals, sequenced
 
 
 def hashed(pairs: DataFrame, cfg: HashConfig) -> DataFrame:
@@ -50,3 +55,49 @@ def fingerprints(peaks: DataFrame, cfg: HashConfig) -> DataFrame:
     if cfg.fan_value <= 0:
         return hashed(fan_pairs(peaks, HashConfig(fan_value=1)), cfg).filter(F.lit(False))
     return hashed(fan_pairs(peaks, cfg) if cfg.min_dt <= 0 else range_pairs(peaks, cfg), cfg)
+
+
+def rounded(x: np.ndarray, most: int) -> np.ndarray:
+    """Rounded half away from zero, not below 0 or above `most`."""
+    return np.clip(np.floor(x.astype(np.float64) + 0.5), 0, most).astype(np.int64)
+
+
+def track_hashes(frame: np.ndarray, bin_: np.ndarray, cfg: PipelineConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """seq, hash and anchor time of a track's pairs, from its peaks in order; min_dt is 0 at most.
+    The k-th targets of all anchors are paired at once."""
+    h, n = cfg.hashes, len(frame)
+    time = frame.astype(np.float32) * np.float32(cfg.peaks.time_per_frame)
+    freq = rounded(bin_.astype(np.float32) * np.float32(cfg.peaks.freq_per_bin) / np.float32(h.freq_resolution), h.freq_bins - 1)
+    seqs, hashes = [], []
+    for k in range(1, min(h.fan_value, n - 1) + 1):
+        dt = time[k:] - time[:-k]
+        i = np.flatnonzero(dt <= np.float32(h.max_dt))
+        if not len(i):
+            break
+        q = rounded(dt[i] / np.float32(h.dt_resolution), W.U32_MAX)
+        seqs.append(i)
+        hashes.append((freq[i] & W.FIELD_MASK) << 40 | (freq[i + k] & W.FIELD_MASK) << 20 | q & W.FIELD_MASK)
+    seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
+    return seq.astype(np.int32), np.concatenate(hashes) if hashes else np.zeros(0, np.int64), time[seq]
+
+
+def fingerprints_from_signals(signals: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Fingerprints of whole tracks in one pass over their samples. With a min_dt, whose pairs need
+    the band join, peaks are found in that pass and paired after it."""
+    if cfg.hashes.min_dt > 0 or cfg.hashes.fan_value <= 0:
+        return fingerprints(peaks_from_signals(signals, cfg), cfg.hashes)
+    cfg.spectrogram.check()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, samples in zip(batch.column(0), batch.column(1), strict=True):
+                samples = samples.values.to_numpy(zero_copy_only=False) if samples.is_valid else np.zeros(0, np.float32)
+                runs = [(f, b) for f, b, _ in track_peaks(samples, cfg)]
+                if runs:
+                    seq, hash_, time = track_hashes(*(np.concatenate(x) for x in zip(*runs, strict=True)), cfg)
+                    for i in range(0, len(seq), 100_000):
+                        part = slice(i, i + 100_000)
+                        names = pa.array([name.as_py()], pa.string()).take(pa.array(np.zeros(len(seq[part]), np.int32)))
+                        yield pa.RecordBatch.from_arrays([names, pa.array(seq[part]), pa.array(hash_[part]), pa.array(time[part])], ["track_name", "seq", "hash", "anchor_time"])
+
+    return signals.select("track_name", "samples").mapInArrow(run, schemas.FINGERPRINTS)

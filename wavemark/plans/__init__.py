@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
-from ..operators.hashes import fingerprints
+from ..operators.hashes import fingerprints, fingerprints_from_signals
 from ..operators.index import FingerprintIndex
-from ..operators.peaks import peaks_from_cells, peaks_from_signals
+from ..operators.peaks import peaks_from_cells
 from ..operators.spectrogram import cells
 
 
 def fingerprint(signals: DataFrame, cfg: PipelineConfig | None = None, native: bool = False) -> DataFrame:
     """Fingerprints of signals. The native form uses SQL operations alone and suits small windows."""
     cfg = cfg or PipelineConfig()
-    peaks = peaks_from_cells(cells(signals, cfg.spectrogram), cfg.peaks) if native else peaks_from_signals(signals, cfg)
-    return fingerprints(peaks, cfg.hashes)
+    if not native:
+        return fingerprints_from_signals(signals, cfg)
+    return fingerprints(peaks_from_cells(cells(signals, cfg.spectrogram), cfg.peaks), cfg.hashes)
 
 
 def as_queries(prints: DataFrame) -> DataFrame:
