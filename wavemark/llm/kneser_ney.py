@@ -155,7 +155,8 @@ def train(docs: DataFrame) -> np.ndarray | None:
         lower = np.broadcast_to(dense, (1, SYMBOLS)) if k == 1 else dense.reshape(-1, SYMBOLS)
         dense = (rest.reshape(-1, len(lower))[:, :, None] * lower[None]).reshape(-1)
         dense[_column(grams, "gram")] = _column(grams, "p")
-    return -np.log2(np.maximum(dense, 1e-7)).astype(np.float16)
+    np.maximum(dense, 1e-7, out=dense)  # in place: a copy is 64 MB of the driver
+    return np.negative(np.log2(dense, out=dense), out=dense).astype(np.float16)
 
 
 def with_perplexity(docs: DataFrame, model: np.ndarray | None, keep: list[str] | None = None, name: str = "perplexity") -> DataFrame:
