@@ -91,8 +91,8 @@ def test_folder_scan_is_permissive(spark, tmp_path):
     rows = read_wavs(spark, str(tmp_path))
     assert {(r.track_name, len(r.samples), r.sample_rate) for r in good(rows).collect()} == {("one", 2, 22050), ("two", 1, 8000)}
     (bad,) = failed(rows).collect()
-    assert bad.track_name == "bad" and "Invalid WAV format" in bad.error
-    with pytest.raises(Exception, match="Invalid WAV"):
+    assert bad.track_name == "bad" and "not a WAV file" in bad.error
+    with pytest.raises(Exception, match="not a WAV file"):
         read_wavs(spark, str(tmp_path), strict=True).collect()
 
 
@@ -123,7 +123,7 @@ def test_cli_and_stream(spark, tmp_path, capsys):
         write(music / f"{name}.wav", x)
     assert main(["-v", "index", "--db", db, str(music)], spark) == 0
     out = capsys.readouterr().out
-    assert "Found 3 files" in out and "Failed to index 'broken'" in out and "Indexed 'beta'" in out and "Done." in out
+    assert "3 files to index" in out and "skipped broken" in out and "beta: " in out and "2 of 3 files" in out
     assert main(["info", "--db", db], spark) == 0
     assert "Tracks indexed: 2" in capsys.readouterr().out
     hop = 512
@@ -151,3 +151,42 @@ def test_empty_folder_creates_a_database(spark, tmp_path, capsys):
     assert main(["index", "--db", f"file://{tmp_path}/db", str(tmp_path / "none")], spark) == 0
     assert main(["info", "--db", f"file://{tmp_path}/db"], spark) == 0
     assert "Total hashes: 0" in capsys.readouterr().out
+
+
+def test_files_of_any_name(spark, tmp_path, capsys):
+    db, x = f"file://{tmp_path}/db", song(3)
+    bare = write(tmp_path / "tune.bin", x)
+    folder = tmp_path / "odd.wav"
+    folder.mkdir()
+    write(folder / "in.wAv", x[:40000])
+    (folder / "notes.txt").write_text("x")
+    assert [r.track_name for r in read_wavs(spark, bare).collect()] == ["tune"]
+    assert [(r.track_name, r.error) for r in read_wavs(spark, str(folder)).collect()] == [("in", None)]
+    assert main(["index", "--db", db, bare], spark) == 0 and "1 of 1 files" in capsys.readouterr().out
+    assert main(["query", "--db", db, bare], spark) == 0 and "Match found: tune" in capsys.readouterr().out
+    (tmp_path / "bad").write_bytes(b"junk")
+    assert main(["query", "--db", db, str(tmp_path / "bad")], spark) == 1
+    assert main(["index", "--db", db, str(tmp_path / "none")], spark) == 1
+
+
+def test_a_save_that_dies_leaves_an_index(spark, tmp_path, monkeypatch):
+    from wavemark.operators.index import FingerprintIndex
+    from wavemark.sources import store
+
+    path = f"file://{tmp_path}/db"
+    make = lambda n: FingerprintIndex.build(spark.createDataFrame([(f"t{n}", i, n, 0.0) for i in range(n)], "track_name string, seq int, hash bigint, anchor_time float"))
+    store.save(make(2), path)
+    reader = store.load(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "clear", lambda self: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.save(make(3), path)
+    assert store.load(spark, path).hash_count() == 3 and reader.hash_count() == 2
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "point", lambda self, meta: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.save(make(4), path)
+    assert store.load(spark, path).hash_count() == 3
+    store.save(make(5), path)
+    assert store.load(spark, path).hash_count() == 5 and store.Store(spark, path).numbers() == [2, 3]
+    assert sum(x.startswith("snapshot-") for x in store.Store(spark, path).children()) == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from . import schemas
@@ -25,7 +26,8 @@ class Fingerprinter:
         audio = load_wav(path)
         self.config.spectrogram.check()
         self.config.spectrogram.check_length(len(audio.samples))
-        signal = self.spark.createDataFrame([("file", audio.samples.tolist(), audio.sample_rate, audio.original_channels)], schemas.SIGNALS)
+        samples = pa.ListArray.from_arrays(pa.array([0, len(audio.samples)], pa.int32()), pa.array(audio.samples, pa.float32()))
+        signal = self.spark.createDataFrame(pa.table({"track_name": pa.array(["file"]), "samples": samples, "sample_rate": pa.array([audio.sample_rate], pa.int32()), "original_channels": pa.array([audio.original_channels], pa.int16())}))
         rows = fingerprint(signal, self.config).orderBy("seq", "hash").collect()
         return [(r["hash"], r["anchor_time"]) for r in rows]
 

@@ -13,7 +13,14 @@ from .errors import WaveError
 from .operators.index import FingerprintIndex
 from .plans import as_queries, fingerprint
 from .sources import store
-from .sources.wav import failed, good, load_wav, read_wavs, wav_files
+from .sources.wav import failed, good, read_wavs, wav_files
+
+
+#: What scripts read from this command's output.
+NO_DATABASE = 'Database file "{}" does not exist.'
+MATCH = "Match found: {}\nScore: {}\nOffset: {:.2f}s"
+NO_MATCH = "No match found."
+INFO = 'Database: "{}"\nTracks indexed: {}\nTotal hashes: {}'
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -33,44 +40,45 @@ def arguments() -> argparse.ArgumentParser:
 def index(spark: SparkSession, db: str, path: str, verbose: bool) -> None:
     """All files in one job; a file that fails is reported and the others go on. A track that is
     indexed again has its postings replaced by the union of both, as an append does."""
-    print(f"Found {wav_files(spark, path).count()} files to index...")
+    files = wav_files(spark, path).count()
+    print(f"{files} files to index", flush=True)
     signals = read_wavs(spark, path).persist()
     prints = fingerprint(good(signals)).persist()
     counts = good(signals).select("track_name").distinct().join(prints.groupBy("track_name").count(), "track_name", "left")
+    bad = 0
     for row in failed(signals).orderBy("track_name").toLocalIterator():
-        print(f"Failed to index '{row['track_name']}': {row['error']}")
+        bad += 1
+        print(f"skipped {row['track_name']}: {row['error']}")
     if verbose:
         for row in counts.orderBy("track_name").toLocalIterator():
-            print(f"Indexed '{row['track_name']}': {row['count'] or 0} hashes")
+            print(f"{row['track_name']}: {row['count'] or 0} hashes")
+    print(f"{files - bad} of {files} files fingerprinted", flush=True)
     held = store.load(spark, db) if store.Store(spark, db).exists() else FingerprintIndex.empty(spark)
-    grown = held.insert(prints, good(signals).select("track_name"))
-    print(f'Saving index to "{db}"...')
-    store.save(grown, db)
-    print("Done.")
+    store.save(held.insert(prints, good(signals).select("track_name")), db)
+    print(f"saved to {db}")
 
 
 def query(spark: SparkSession, db: str, path: str, verbose: bool) -> None:
+    """Asks with one file of any name; a bad file is an error here, not an empty answer."""
     if not store.Store(spark, db).exists():
-        raise SystemExit(f'Error: Database file "{db}" does not exist. Index first.')
-    load_wav(path)  # a bad file is an error here, not an empty answer
+        raise SystemExit(f"Error: {NO_DATABASE.format(db)} Index first.")
     started = time.time()
-    prints = fingerprint(good(read_wavs(spark, path, strict=True))).persist()
+    signals = read_wavs(spark, path).persist()
+    for row in failed(signals).toLocalIterator():
+        raise WaveError(f"{row['path']}: {row['error']}")
+    prints = fingerprint(good(signals)).persist()
     n, made = prints.count(), time.time()
     found = store.query_store(spark, db, as_queries(prints).withColumn("query_id", F.lit("clip"))).first()
     if verbose:
-        print(f"Extracted {n} hashes in {made - started:.3f}s")
-        print(f"Query performed in {time.time() - made:.3f}s")
-    if found:
-        print(f"Match found: {found['track_id']}\nScore: {found['score']}\nOffset: {found['offset_secs']:.2f}s")
-    else:
-        print("No match found.")
+        print(f"{n} hashes in {made - started:.3f} s, looked up in {time.time() - made:.3f} s")
+    print(MATCH.format(found["track_id"], found["score"], found["offset_secs"]) if found else NO_MATCH)
 
 
 def info(spark: SparkSession, db: str) -> None:
     if not store.Store(spark, db).exists():
-        raise SystemExit(f'Error: Database file "{db}" does not exist.')
+        raise SystemExit(f"Error: {NO_DATABASE.format(db)}")
     held = store.load(spark, db)
-    print(f'Database: "{db}"\nTracks indexed: {held.track_count()}\nTotal hashes: {held.hash_count()}')
+    print(INFO.format(db, held.track_count(), held.hash_count()))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

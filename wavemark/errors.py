@@ -15,50 +15,50 @@ class WaveError(Exception):
 
 
 class FileNotFound(WaveError, OSError):
-    template = "File not found: {0}"
+    template = "no such file: {0}"
 
 
 class FileNotReadable(WaveError, OSError):
-    template = "File not readable: {0}"
+    template = "cannot read {0}"
 
 
 class InvalidWavFormat(WaveError, OSError):
-    template = "Invalid WAV format: {0}"
+    template = "not a WAV file that can be decoded: {0}"
 
 
 class UnsupportedAudioFormat(WaveError, OSError):
-    template = "Unsupported audio format: {0}"
+    template = "not a kind of audio file that can be read: {0}"
 
 
 class AudioTooShort(WaveError, OSError):
-    template = "Audio data is too short for fingerprinting"
+    template = "no samples in {0}"
 
 
 class FftError(WaveError):
     """Kept for callers that name it; numpy's transform does not fail."""
 
-    template = "FFT error: {0}"
+    template = "transform failed: {0}"
 
 
 class SpectrogramError(WaveError, RuntimeError):
-    template = "Spectrogram error: {0}"
+    template = "cannot make a spectrogram: {0}"
 
 
 class NoPeaksFound(WaveError):
     """Kept for callers that name it; audio without peaks has an empty fingerprint."""
 
-    template = "No constellation peaks found in audio"
+    template = "no peaks in {0}"
 
 
 class HashingError(WaveError):
     """Kept for callers that name it."""
 
-    template = "Hashing error: {0}"
+    template = "cannot hash: {0}"
 
 
 class IndexStoreError(WaveError, OSError):
-    template = "Index error: {0}"
+    template = "index is damaged: {0}"
 
 
 class StoreIoError(WaveError, OSError):
-    template = "I/O error: {0}"
+    template = "storage failed: {0}"

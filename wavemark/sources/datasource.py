@@ -8,6 +8,7 @@ from __future__ import annotations
 import glob
 import os
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,7 +30,8 @@ class WaveReader(DataSourceReader):
     def read(self, partition: InputPartition):
         out = load_wav(partition.value)
         name = os.path.splitext(os.path.basename(partition.value))[0]
-        yield name, out.samples.tolist(), out.sample_rate, out.original_channels
+        samples = pa.ListArray.from_arrays(pa.array([0, len(out.samples)], pa.int32()), pa.array(out.samples, pa.float32()))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), samples, pa.array([out.sample_rate], pa.int32()), pa.array([out.original_channels], pa.int16())], ["track_name", "samples", "sample_rate", "original_channels"])
 
 
 class WaveDataSource(DataSource):

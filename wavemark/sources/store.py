@@ -1,9 +1,11 @@
 """An index on disk: snapshots of Parquet tables under one folder.
 
-A snapshot is written whole under a new name, and then a pointer file is put in place of the old
-one, so readers see the old or the new index, a save that fails leaves the old one, and saving an
-index to where it was read from does not double it. Postings are ranged and sorted by hash, so a
-query's hashes prune row groups by their statistics.
+A snapshot is written whole under a new name, and then a pointer file with the next number is
+renamed into place. The highest number counts, and no pointer is taken away before a later one
+stands, so at any moment readers see the old or the new index, a save that fails or dies leaves the
+old one, and saving an index to where it was read from does not double it. The tables of the pointer
+before the last stay for readers that still use them; the next save drops them. Postings are ranged
+and sorted by hash, so a query's hashes prune row groups by their statistics.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from ..config import IndexConfig
 from ..errors import IndexStoreError, StoreIoError
 from ..operators.index import FingerprintIndex
+from ..shared import hadoop_path
 
-POINTER = "CURRENT"
+POINTER = "CURRENT-"
 
 
 class Store:
@@ -29,15 +32,26 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._io = jvm.org.apache.commons.io.IOUtils
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        _, self._fs = hadoop_path(spark, self.path)
 
-    def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/{POINTER}"))
+    def children(self) -> list[str]:
+        at = self._path(self.path)
+        return [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def numbers(self) -> list[int]:
+        """Numbers of the pointers, in order."""
+        return sorted(int(x.removeprefix(POINTER)) for x in self.children() if x.startswith(POINTER) and x.removeprefix(POINTER).isdigit())
 
-    def current(self) -> dict:
-        if not self.exists():
-            raise StoreIoError(f"{self.path}: no index there")
-        stream = self._fs.open(self._path(f"{self.path}/{POINTER}"))
+    def exists(self) -> bool:
+        return bool(self.numbers())
+
+    def current(self, number: int | None = None) -> dict:
+        if number is None:
+            numbers = self.numbers()
+            if not numbers:
+                raise StoreIoError(f"{self.path}: no index there")
+            number = numbers[-1]
+        stream = self._fs.open(self._path(f"{self.path}/{POINTER}{number:012d}"))
         try:
             return json.loads(self._io.toString(stream, "UTF-8"))
         except ValueError as e:
@@ -46,15 +60,27 @@ class Store:
             stream.close()
 
     def point(self, meta: dict) -> None:
-        fresh = self._path(f"{self.path}/.{POINTER}-{uuid.uuid4().hex}")
+        """Puts the next pointer in place, then clears what only older pointers name."""
+        numbers = self.numbers()
+        fresh = self._path(f"{self.path}/.pointer-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        old = self._path(f"{self.path}/{POINTER}")
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        if not self._fs.rename(fresh, old):
-            raise StoreIoError(f"{self.path}: the pointer could not be put in place")
+        number = numbers[-1] + 1 if numbers else 1
+        target = self._path(f"{self.path}/{POINTER}{number:012d}")
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            self._fs.delete(fresh, False)
+            raise StoreIoError(f"{self.path}: another writer was faster")
+        self.clear()
+
+    def clear(self) -> None:
+        """Drops all but the last two pointers, and the tables and unfinished files that these do
+        not name."""
+        numbers = self.numbers()
+        held = {part for n in numbers[-2:] for part in self.current(n)["parts"]} | {f"{POINTER}{n:012d}" for n in numbers[-2:]}
+        for name in self.children():
+            if name not in held and name.startswith((POINTER, ".pointer-", "snapshot-", "part-")):
+                self.drop(name)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
@@ -72,15 +98,12 @@ def save(index: FingerprintIndex, path: str) -> None:
     """Makes the folder hold exactly this index; saving again changes nothing."""
     spark = index.tracks.sparkSession
     store, name = Store(spark, path), f"snapshot-{uuid.uuid4().hex}"
-    old = store.current()["parts"] if store.exists() else []
     try:
         _write(index, f"{store.path}/{name}")
     except Exception as e:
         store.drop(name)
         raise StoreIoError(f"{path}: {e}") from e
     store.point({"parts": [name], "offset_bin_size": index.config.offset_bin_size})
-    for part in old:
-        store.drop(part)
 
 
 def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataFrame | None = None) -> None:

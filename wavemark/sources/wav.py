@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..errors import FileNotFound, FileNotReadable, StoreIoError, UnsupportedAudioFormat, WaveError
+from ..shared import hadoop_path
 from .riff import Decoded, decode
 
 #: Extensions of the files that can be read.
 EXTENSIONS = ("wav",)
+#: Names of WAV files in a folder, in any case.
+WAV_NAMES = "*.[wW][aA][vV]"
 
 
 class SignalSource(Protocol):
@@ -89,9 +92,15 @@ def decoded(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of a file, or of the WAV files directly in a folder."""
+    """(path, content) of a file of any name, or of the WAV files directly in a folder."""
+    at, store = hadoop_path(spark, path)
+    pattern = any(c in path for c in "*?[{")
+    if not pattern and not store.exists(at):
+        raise FileNotFound(path)
     reader = spark.read.format("binaryFile")
-    return reader.load(path) if path.lower().endswith(".wav") else reader.option("pathGlobFilter", "*.{wav,WAV,Wav}").load(path)
+    if store.exists(at) and store.getFileStatus(at).isFile():
+        return reader.load(path)
+    return reader.option("pathGlobFilter", WAV_NAMES).load(path)
 
 
 def read_wavs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import PipelineConfig
 from ..operators.index import FingerprintIndex
 from ..plans import identify
-from ..sources.wav import decoded, good
+from ..sources.wav import WAV_NAMES, decoded, good
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{wav,WAV,Wav}").load(folder)
+    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", WAV_NAMES).load(folder)
 
 
 def identify_stream(files: DataFrame, index: FingerprintIndex, sink: Callable[[DataFrame, int], None], checkpoint: str, cfg: PipelineConfig | None = None, min_score: int = 10) -> StreamingQuery:
