@@ -64,10 +64,12 @@ def docs(spark, corpus):
 
 @pytest.fixture(scope="session")
 def odd_columns(docs):
-    """The same rows with further columns whose names operators use inside."""
+    """The same rows with further columns whose names operators use inside, or nearly."""
     from pyspark.sql import functions as F
 
-    for name in ("size", "shard", "slot", "perplexity", "threshold", "kept", "component", "token", "key", "hash", "copies", "id", "n", "part", "place", "rank", "row", "x", "a", "b"):
+    names = ("size", "Shard", "slot", "Perplexity", "threshold", "kept", "component", "token", "Key", "hash", "copies", "id", "n", "part", "place", "rank", "ROW", "x", "a", "b")
+    names += ("__text", "__Lang", "__own", "__source", "__size", "__id", "__copy", "TEXT_KEY", "a`b", "c.d", "batch", "item", "bits", "stratum")
+    for name in names:
         docs = docs.withColumn(name, F.lit("own"))
     return docs
 

@@ -2,6 +2,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from wavemark.llm.mixing import mix, resampled
 
 
@@ -25,31 +27,31 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
 def check(rows, near):
     sizes, taken, targets = defaultdict(int), defaultdict(int), {}
     for r in rows:
-        sizes[r.c_source] += r["size"]
-        taken[r.c_source] += r.taken
-        targets[r.c_source] = r.target
+        sizes[r.row.source] += r["size"]
+        taken[r.row.source] += r.taken
+        targets[r.row.source] = r.target
         assert 0 <= r.taken <= 3 * r["size"]
     expected = brute_targets(sizes)
     for s in sizes:
         assert targets[s] == pytest.approx(expected[s])
         assert abs(taken[s] - targets[s]) <= near(s)
     for r in rows:
-        assert r.source_size == sizes[r.c_source]
+        assert r.source_size == sizes[r.row.source]
 
 
 def test_targets_and_sample(spark):
     rows = [(i, "w " * (5 + i * 37 % 900), f"s{i % 7 if i % 3 else 0}") for i in range(700)] + [(9000 + i, "x " * 50, None) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mix(docs, carry=["source"]).collect()
+    got = mix(docs, carry=F.struct("source")).collect()
     check(got, lambda s: 300)  # about one document of 30000 words
-    again = mix(docs.repartition(9), carry=["source"]).collect()
+    again = mix(docs.repartition(9), carry=F.struct("source")).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
 def test_longer_documents_have_better_odds(spark):
     rows = [(i, "w " * (50 if i % 2 else 1500), "only") for i in range(3000)] + [(5000 + i, "w " * 700, "z") for i in range(3000)]
-    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["source"]).collect()
-    only = [r for r in got if r.c_source == "only"]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=F.struct("source")).collect()
+    only = [r for r in got if r.row.source == "only"]
     long, short = ([r.copies for r in only if (r["size"] > 100) is k] for k in (True, False))
     assert sum(long) / len(long) > 1.5 * sum(short) / len(short)
     # Copies are the whole part of the expectation, or one more.
@@ -57,11 +59,11 @@ def test_longer_documents_have_better_odds(spark):
 
 
 def test_corpus_and_edges(docs, corpus, empty, odd_columns, spark):
-    rows = mix(docs, carry=["source"]).collect()
+    rows = mix(docs, carry=F.struct("source")).collect()
     assert len(rows) == len(corpus)
     largest = defaultdict(int)
     for r in rows:
-        largest[r.c_source] = max(largest[r.c_source], r["size"])
+        largest[r.row.source] = max(largest[r.row.source], r["size"])
     check(rows, lambda s: largest[s])
     assert mix(empty).count() == 0 == resampled(empty).count()
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string")

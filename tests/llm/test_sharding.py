@@ -42,7 +42,7 @@ def test_is_stable(docs):
 
 
 def test_runs_are_narrow(docs):
-    rows = shard(docs, 8, ["lang"]).filter("c_lang is not null").groupBy("shard").agg(F.countDistinct("c_lang").alias("n")).collect()
+    rows = shard(docs, 8, F.col("lang")).filter("lang is not null").groupBy("shard").agg(F.countDistinct("lang").alias("n")).collect()
     assert sum(r.n for r in rows) < 8 * 3
 
 
@@ -52,4 +52,4 @@ def test_edges(empty, odd_columns, spark):
     assert sorted((r.shard, r.slot) for r in shard(few).collect()) == [(0, 0), (2, 0), (5, 0)]
     out = with_shards(odd_columns)
     assert out.columns == [*odd_columns.columns, "shard_1", "slot_1"] and out.count() == odd_columns.count()
-    assert {r["shard"] for r in out.select("shard").distinct().collect()} == {"own"}
+    assert {r["Shard"] for r in out.select("Shard").distinct().collect()} == {"own"}

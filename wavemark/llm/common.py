@@ -8,8 +8,8 @@ changes A-Z only, so Python code works on the UTF-8 bytes and agrees with the SQ
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,47 +19,23 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import forget, fresh_path, shared_dir, written  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Odd multipliers for mixing hashes of neighbouring words; any odd 64-bit values do.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only a session without one (a test) gets a local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='wavemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/wavemark/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends here, and a lost
-    executor costs no recomputation of what stands before it. `parts` bounds the files of a table
-    whose size is known to be small."""
-    path = fresh_path(df.sparkSession, name)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, or name_1, name_2, ...: the first that no column has in any case of letters."""
+    used = {x.lower() for x in taken}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(used) + 2))) if x.lower() not in used)
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of `written` that nothing will read again."""
-    for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as one, `row`, so that no name in it meets one that an operator adds."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +102,15 @@ def session_broadcast(spark: SparkSession, value: object, size: int, bound: int)
     return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
+def process_state() -> dict:
+    """A dictionary that lives as long as this worker process, from task to task."""
+    return sys.modules.setdefault("_wavemark_process", types.ModuleType("_wavemark_process")).__dict__
+
+
+def pickled_size(value: object) -> int:
+    return len(cloudpickle.dumps(value))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that few rows are Python objects at a time."""
     for batch in batches:

@@ -41,11 +41,12 @@ def slot_of(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(FILTER_BITS - 1)
 
 
-def membership(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for slot_of each id; a clear bit means the id is not there. At most FILTER_BITS / 64
-    rows reach the driver."""
-    slot = slot_of(F.col(column))
-    words = ids.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")).alias("bits")).toArrow()
+def membership(ids: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
+    """A bit for slot_of each id, or for the id itself if it is `hashed` already; a clear bit means
+    the id is not there. At most FILTER_BITS / 64 rows reach the driver."""
+    slot = F.col(column).bitwiseAND(FILTER_BITS - 1) if hashed else slot_of(F.col(column))
+    rows = ids.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    words = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out

@@ -13,11 +13,13 @@ gap is taken, if that brings the source closer.
 
 The running sum over a source does not need the source in one task: ranks fall in 4096 bins, sizes
 are summed by bin before the shuffle, and only the rows of the bin in which the target lies are
-ordered one by one.
+ordered one by one. They are ranged in that order
+first, so that many rows of one rank, as rows without doc_id are, need not stand in one task.
 
-Cases: a null text has no words and takes none; null is a source of its own, the last in order;
-rows of one id are drawn together and equal rows count each; rows without doc_id share one rank; a
-source without words has target 0; an empty table gives an empty mix; other columns are not read.
+Cases: a null or empty text has no words and takes none; a very long text is one document like any
+other and may be the one that fills the gap; null is a source of its own, the last in order; rows of
+one id are drawn together, smaller ones first where the target cuts them, and equal rows count each; rows without doc_id share one rank; a source without words has target 0; an
+empty table gives an empty mix; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, word_count, written
+from .common import forget, whole_row, word_count, written
 
 BINS = 4096
 
@@ -64,12 +66,12 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", merit=length_merit, carry: list[str] | None = None) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, copies, taken, and each column c of
-    `carry` as c_<name>."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", merit=length_merit, carry: Column | None = None) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, copies, taken, and the column `carry`
+    as row."""
     size = word_count(F.col("text"))
-    carry = list(carry or [])
-    base = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
+    own = [] if carry is None else ["row"]
+    base = docs.select(*([] if carry is None else [carry.alias("row")]), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
     base = base.withColumn("__merit", merit(F.col("__size"))).withColumn("__u", uniform(F.col("__id"), seed)).withColumn("__row", F.monotonically_increasing_id())
     base = written(base, "mix-rows")
     rows = base.select(F.col("__row").alias("row"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__merit").alias("merit"), F.col("__u").alias("u"))
@@ -94,8 +96,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     cut = written(cut.select("source", F.col("x.bin").alias("cut"), F.col("x.before").alias("before")), "mix-cut", 1)
     placed = ranked.alias("r").join(cut.alias("c"), F.expr("r.source <=> c.source"), "left").select("r.*", "cut", "before")
     placed = placed.filter(F.col("bin") < BINS)  # the others take whole copies only
-    edge = placed.filter("bin = cut").withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("odds", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = written(edge, "mix-edge")
+    # The rows of the bin that holds the target, ranged in their order: sums of the ranges before and
+    # a running sum inside each, so that rows of one rank need not stand in one task.
+    order = ["source", "odds", "doc_id", "size", "row"]
+    edge = placed.filter("bin = cut").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    edge = written(edge, "mix-bin")
+    parts = edge.groupBy("part", "source").agg(F.sum("size").alias("words"))
+    parts = parts.select("part", "source", (F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")).alias("earlier"))
+    edge = edge.alias("e").join(parts.alias("p"), F.expr("e.part = p.part and e.source <=> p.source")).select("e.*", "earlier")
+    within = F.sum("size").over(Window.partitionBy("part", "source").orderBy("odds", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    edge = written(edge.withColumn("upto", F.col("before") + F.col("earlier") + within), "mix-edge")
     inside = edge.filter("upto <= rest")
 
     # The one document outside that best fills each source's gap.
@@ -112,14 +122,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     out = out.join(shares.select(F.col("source").alias("__s"), F.col("merit").alias("__m"), "whole"), F.expr("b.__source <=> __s and b.__merit = __m"), "left")
     out = out.join(targets.select(F.col("source").alias("__t"), "source_size", "target"), F.expr("b.__source <=> __t"), "left")
     copies = F.when(F.col("__size") > 0, F.coalesce("whole", F.lit(0)) + F.coalesce("more", F.lit(0))).otherwise(0).cast("long")
-    return out.select(*[f"b.c_{c}" for c in carry], F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))
+    return out.select(*[f"b.{c}" for c in own], F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).alias("taken"))
 
 
 def resampled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:") -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns. A document without
     words has no size to weigh and is not taken."""
-    rows = mix(docs, weights, most, seed, carry=docs.columns).filter("copies > 0")
-    return rows.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*docs.columns)
+    rows = mix(docs, weights, most, seed, carry=whole_row(docs)).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 SQL = r"""

@@ -11,9 +11,14 @@ The law is `rows`: runs are cut so that counts differ by one at most. Rows are d
 the whole sort key, so a cell that holds a third of all rows is split; each partition is written
 with the place of its rows in it, and the sums of the partitions before give the global rank.
 
-Cases: a null text has no bytes and checksum 0; null languages and sources are values of their own,
-the last of their axis; equal rows take neighbouring slots; null ids sort first in their cell; with
-fewer rows than shards some shards are empty; an empty table gives an empty result.
+Steps are found without gathering values: they are counted, the counts are ranged by value, and
+the sums of the ranges before give each value's place, as they do for rows.
+
+Cases: a null text has no bytes and checksum 0, an empty one too but for its size; very long texts
+share the last steps of their axis; null languages and sources are values of their own, the last of
+their axis; equal rows take neighbouring slots; null ids sort first in their cell; with fewer rows
+than shards some shards are empty; an empty table gives an empty result; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, rows_per_task, written
+from .common import crc32_of, free_name, rows_per_task, whole_row, written
 
 STEPS_BITS = 6
 
@@ -76,17 +81,23 @@ def hilbert_index(axes: list[Column], bits: int = STEPS_BITS) -> Column:
 
 def value_steps(rows: DataFrame, column: str) -> DataFrame:
     """(value, step) of a column's values: step is the share of rows before it, in 64ths."""
-    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy().orderBy(F.col("value").asc_nulls_last())
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return counts.select("value", F.floor(before * (1 << STEPS_BITS) / F.sum("n").over(Window.partitionBy())).cast("int").alias("step"))
-
-
-def ranked(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The rows with size, text_crc32, hilbert and their global rank, in the order of the curve."""
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select("value", "n", F.col("value").isNull().alias("last"))
+    # Every partition holds a range of values; the window inside one orders no more than its own.
+    counts = counts.repartitionByRange("last", "value").withColumn("part", F.spark_partition_id())
+    counts = written(counts, f"shard-{column}-counts")
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = parts.select("part", (F.sum("n").over(Window.partitionBy().orderBy("part")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("last", "value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    # One row for each partition of the counts.
+    return counts.withColumn("before", before).join(F.broadcast(starts), "part").select("value", F.floor((F.col("start") + F.col("before")) * (1 << STEPS_BITS) / F.col("all")).cast("int").alias("step"))
+
+
+def ranked(docs: DataFrame, *carry: Column) -> DataFrame:
+    """The rows with the columns `carry`, id, size, crc, hilbert and their global rank, in the order
+    of the curve."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(crc32_of(F.col("text")), F.lit(0)).cast("long")
-    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col("doc_id").alias("id"), "lang", "source", size.alias("size"), crc.alias("crc"))
+    rows = docs.select(*carry, F.col("doc_id").alias("id"), "lang", "source", size.alias("size"), crc.alias("crc"))
     for column in ("lang", "source"):
         steps = written(value_steps(docs, column), f"shard-{column}", 1).select(F.col("value").alias(f"{column}_value"), F.col("step").alias(f"{column}_step"))
         rows = rows.join(steps, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left")
@@ -104,22 +115,21 @@ def ranked(docs: DataFrame, carry: list[str]) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("place"))
 
 
-def shard(docs: DataFrame, shards: int = 8, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert, and each column c of `carry`
-    as c_<name>."""
-    carry = list(carry or [])
-    rows = ranked(docs, carry)
+def shard(docs: DataFrame, shards: int = 8, *carry: Column) -> DataFrame:
+    """The columns `carry`, and doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert."""
+    rows = ranked(docs, *carry)
     rows = rows.withColumn("shard", F.expr(f"cast(rank * {shards} div all as int)"))
     start = F.expr(f"(shard * all + {shards - 1}) div {shards}")
+    own = rows.columns[: len(carry)]
     return rows.select(
-        F.col("id").alias("doc_id"), *[f"c_{c}" for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
+        *own, F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert",
     )
 
 
 def with_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The documents with their columns, and two more: shard and slot (named shard_1, ... where the
-    documents have such a column)."""
-    names = [next(n for n in (name, *(f"{name}_{i}" for i in range(1, 99))) if n not in docs.columns) for name in ("shard", "slot")]
-    rows = shard(docs, shards, docs.columns)
-    return rows.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns], F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
+    documents have such a column, in any case of letters)."""
+    names = [free_name(name, docs.columns) for name in ("shard", "slot")]
+    rows = shard(docs, shards, whole_row(docs))
+    return rows.select("row.*", F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
