@@ -1,104 +1,185 @@
 """Operator 4: quality filter by an interpolated modified Kneser-Ney character n-gram model.
 
-Trusted documents (those the labels call good) are split by a checksum of their id: three
-quarters train the model, one quarter calibrates the cut-offs, so a document's own n-grams never
-flatter the perplexities from which a quantile is taken. Characters fold to 64 symbols and the
-order is 4, so no table of the model can have more than 64**4 entries however large the corpus:
-that is the bound that lets the finished table be broadcast.
-
-Counting is distributed: each task counts the n-grams of its share, the counts are summed in
-shards by n-gram, and the statistics of each order (continuation counts, discounts, back-off mass,
-lower-order probability) are joined shard to shard on context and on suffix. The joined
-probabilities give each document's perplexity, and a document is kept if its perplexity is at most
-the quantile of its language's calibration documents. A language with fewer than `min_calibration`
-of these uses the quantile of all languages together.
-
-Cases: a null or empty text has no perplexity (null) and is not kept; a null language is a
-language of its own; equal rows score equally and each stays a row; an id whose labels disagree
-is not trusted; without trusted documents, or without calibration documents, nothing can be said
-against any text and every non-empty one is kept; other columns pass through untouched.
+Trusted documents (those the labels call good) are split by a checksum of their id: most train the
+model, the rest calibrates the cut-offs, so a document's own n-grams never flatter the perplexities
+from which a quantile is taken. The model is of characters inside words (runs of other than ASCII
+white space): each word stands after start signs and is closed by an end sign, and its characters
+are code points as they are. A text's perplexity is that of all signs of its words. Nothing is
+folded or pruned: every n-gram of all trusted text has its row, and the tables grow with it.
+
+All texts are read once. Each batch of documents is dealt out as postings by word, packed in shards:
+a word with the documents it stands in. Then
+
+* training sums the postings of trusted documents into word counts, cuts the words into n-grams, and
+  joins the counts of each order, shard to shard, on context and on suffix: continuation counts,
+  discounts, the mass left to lower orders and their probability;
+* scoring joins the n-grams of all distinct words to these tables, backing off where there is none,
+  which prices each word, and joins the prices to the postings, shard to shard. A document's cost is
+  the sum of what its shards say. Costs are whole numbers, so equal texts score equally.
+
+No text is shuffled, and no table of the model reaches the driver or is broadcast by this module. A
+word in most documents is one word in each batch, and a shard's postings are dealt to as many tasks
+as their size asks, each with the shard's prices.
+
+A word beyond `cut` characters is cut in pieces that carry the characters before them as context,
+which changes no probability, so scripts without spaces are scored whole.
+
+A document is kept if its perplexity is at most the quantile of its language's calibration
+documents. A language with fewer than `min_calibration` of these uses the quantile of all together.
+
+Cases: a null or empty text, or one of white space, has no perplexity (null) and is not kept; a null
+language is a language of its own; equal rows score equally and each stays a row; an id whose labels
+disagree is not trusted; without trusted documents, or without calibration documents, nothing can be
+said against any text and every one with a word is kept; other columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import session_broadcast, written
-
-BITS, ORDER = 6, 4
-SYMBOLS = 1 << BITS
-SIZE = SYMBOLS**ORDER
-#: Characters handled at once in a task; a longer text is handled alone.
-CHUNK = 4_000_000
-
-
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 is the start of a text, a-z have their own, upper case, digits,
-    kinds of white space and punctuation share some, and the rest is dealt over 28 more."""
-    cp = np.arange(0x110000, dtype=np.uint32)
-    out = (36 + cp % 28).astype(np.uint8)
-    out[:128] = 35
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("A") : ord("Z") + 1] = 27
-    out[0xC0:0xDF] = 27
-    out[ord("0") : ord("9") + 1] = 28
-    out[[0x20, 0x09, 0xA0]] = 29
-    out[[0x0A, 0x0B, 0x0C, 0x0D]] = 30
-    for symbol, chars in ((31, "."), (32, ","), (33, "'\"-()"), (34, "!?;:")):
-        out[[ord(c) for c in chars]] = symbol
+
+from .common import forget, whole_row, word_hashes, written
+
+#: A word's start, the mark of a piece that goes on, and a word's end: white space, which no word holds.
+START, ON, END, BETWEEN = b" ", b"\t", b"\r", b"\n"
+#: Costs are counted in these parts of a bit.
+PARTS = 1 << 20
+
+
+@dataclass(frozen=True)
+class KneserNeyConfig:
+    """order: characters of an n-gram; cut: characters of a piece; quantile and min_calibration: the
+    cut-off; held: of how many trusted documents one calibrates; batch_docs (below 65,536) and
+    batch_bytes: documents dealt at once; shard_bytes: aim for one task's postings."""
+
+    order: int = 5
+    cut: int = 24
+    quantile: float = 0.98
+    min_calibration: int = 50
+    held: int = 4
+    batch_docs: int = 4_096
+    batch_bytes: int = 8 << 20
+    shard_bytes: int = 24 << 20
+
+
+def items_of(word: bytes, cfg: KneserNeyConfig) -> list[bytes]:
+    """The pieces of a word. The first character tells what stands before the rest: start signs, or
+    the order - 1 characters that follow it."""
+    if len(word) <= cfg.cut:
+        return [START + word + END]
+    text, back = word.decode("utf-8", "replace"), cfg.order - 1
+    out = []
+    for i in range(0, len(text), cfg.cut):
+        piece = (" " * back + text)[i : i + back] if i else ""
+        out.append((ON if i else START) + (piece + text[i : i + cfg.cut]).encode())
+    out[-1] += END
     return out
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows [a, b) with their code points and the bounds of each row in these."""
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
-        raw = bytes(memoryview(data)[offsets[a] : offsets[b]]) if data is not None else b""
-        starts = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-        yield a, b, np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32), starts[offsets[a : b + 1] - offsets[a]]
-        a = b
-
-
-def gram_codes(points: np.ndarray, bounds: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each character, as a number of ORDER symbols; before a text's first
-    character stand ORDER - 1 start symbols."""
-    pad = ORDER - 1
-    lengths = np.diff(bounds)
-    at = np.arange(len(points)) + pad * np.repeat(np.arange(1, len(lengths) + 1), lengths)
-    symbols = np.zeros(len(points) + pad * len(lengths), np.uint32)
-    symbols[at] = symbol[points]
-    code = np.zeros(len(points), np.uint32)
-    for back in range(pad, -1, -1):
-        code = (code << np.uint32(BITS)) | symbols[at - back]
-    return code
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n) of all texts: each task sends each of its n-grams once, then shards add up."""
+def deal_postings(docs: DataFrame, cfg: KneserNeyConfig, shards: int) -> DataFrame:
+    """For each batch and shard: its words, how many documents each has, these, and how often the
+    word stands in each (255 at most; more takes several entries). And one row a batch without a
+    shard, of (doc_id, lang, text_key, signs) of its documents."""
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+        a = 0
+        while a < batch.num_rows:
+            total = np.cumsum(size[a : a + cfg.batch_docs])
+            b = a + max(1, int(np.searchsorted(total, cfg.batch_bytes, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for part in chain.from_iterable(map(pieces, batches)):
+            words = [x.split() if x else [] for x in part.column("text").to_pylist()]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            flat = list(chain.from_iterable(words))
+            vocabulary = list(dict.fromkeys(flat))
+            ids = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
+            code = np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat)) << 16 | np.repeat(np.arange(len(words)), lengths)
+            del words, flat, ids
+            code, times = np.unique(code, return_counts=True)
+            signs = np.fromiter((len(w.decode("utf-8", "replace")) + 1 for w in vocabulary), np.int64, len(vocabulary))
+            total = np.bincount(code & 0xFFFF, signs[code >> 16] * times, len(lengths)).astype(np.int64)
+            # Counts beyond a byte take several entries.
+            entries = -(-times // 255)
+            last = np.cumsum(entries) - 1
+            code = np.repeat(code, entries)
+            tf = np.full(len(code), 255, np.int64)
+            tf[last] = times - 255 * (entries - 1)
+            size = np.bincount(code >> 16, minlength=len(vocabulary))
+            first = np.cumsum(size) - size
+            items = [items_of(w, cfg) for w in vocabulary]
+            owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
+            items = list(chain.from_iterable(items))
+            shard = (word_hashes(items) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            rows = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                some = order[a:b]
+                n = size[owner[some]]
+                at = np.repeat(first[owner[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                rows.append((int(shard[some[0]]), BETWEEN.join(items[i] for i in some), n.astype(np.uint32).tobytes(), (code[at] & 0xFFFF).astype(np.uint16).tobytes(), tf[at].astype(np.uint8).tobytes()))
+            known = pa.StructArray.from_arrays([part.column("doc_id"), part.column("lang"), part.column("text_key"), pa.array(total)], ["doc_id", "lang", "text_key", "signs"])
+            about = pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [len(known)], pa.int32()), known, mask=pa.array([True] * len(rows) + [False]))
+            columns = [pa.array([*x, None], t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int32(), *[pa.binary()] * 4), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * (len(rows) + 1), pa.int64()), *columns, about], ["batch", "shard", "words", "sizes", "docs", "times", "about"])
+            number += 1
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(deal, "batch long, shard int, words binary, sizes binary, docs binary, times binary, about array<struct<doc_id:bigint,lang:string,text_key:bigint,signs:bigint>>")
+
+
+def postings_of(docs: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 35, 1)
+    return written(deal_postings(docs, cfg, shards), "kn-postings")
+
+
+def about_documents(postings: DataFrame) -> DataFrame:
+    """(batch, at, doc_id, lang, text_key, signs): one row a document."""
+    rows = postings.filter("shard is null").select("batch", F.posexplode("about").alias("at", "x"))
+    return rows.select("batch", "at", "x.*")
+
+
+def word_counts(postings: DataFrame, ids: DataFrame) -> DataFrame:
+    """(item, n) over the documents with these doc_ids."""
+    chosen = about_documents(postings).filter("signs > 0").join(ids, "doc_id", "left_semi").groupBy("batch").agg(F.collect_list("at").alias("chosen"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, symbol = None, symbol_table()
         for batch in batches:
-            for _, _, points, bounds in text_chunks(batch.column(0)):
-                if len(points):
-                    seen = np.bincount(gram_codes(points, bounds, symbol), minlength=SIZE).astype(np.int64, copy=False)
-                    total = seen if total is None else np.add(total, seen, out=total)
-        if total is not None:
-            gram = np.flatnonzero(total)
-            for i in range(0, len(gram), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(gram[i : i + 50_000].astype(np.int32)), pa.array(total[gram[i : i + 50_000]])], ["gram", "n"])
+            for words, sizes, docs, times, chosen in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                wanted = np.zeros(1 << 16, bool)
+                wanted[chosen] = True
+                size = np.frombuffer(sizes, np.uint32)
+                n = np.where(wanted[np.frombuffer(docs, np.uint16)], np.frombuffer(times, np.uint8), 0).astype(np.int64)
+                total = np.add.reduceat(n, np.cumsum(size, dtype=np.int64) - size)
+                some = np.flatnonzero(total)
+                words = words.split(BETWEEN)
+                yield pa.RecordBatch.from_arrays([pa.array([words[i].decode("utf-8", "replace") for i in some], pa.string()), pa.array(total[some])], ["item", "n"])
+
+    rows = postings.filter("shard is not null").join(chosen, "batch").select("words", "sizes", "docs", "times", "chosen")
+    return rows.mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def grams_of(item: Column, order: int) -> Column:
+    """The n-grams of an item, one for each sign that it adds."""
+    text = F.when(F.substring(item, 1, 1) == START.decode(), F.concat(F.lit(" " * (order - 2)), item)).otherwise(F.substring(item, 2, 1 << 30))
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (order - 1)), lambda i: F.substring(text, i, F.lit(order)))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -111,134 +192,163 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
-def files_of(k: int) -> int:
-    """Files for a table of order k, of 64**k rows at most: a million rows each."""
-    return max(1, SYMBOLS**k >> 20)
+class Model:
+    """For each order k from 1: (gram, p) of the n-grams seen and (context, rest), the mass a context
+    leaves to the order below; `floor` is what the lowest order leaves to any one sign."""
+
+    def __init__(self, orders: list[tuple[DataFrame, DataFrame]], floor: float) -> None:
+        self.orders, self.floor = orders, floor
 
 
-def joined_orders(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (gram, p) of the n-grams seen, and (context, rest), the mass a context
-    leaves to the order below. Lower orders count distinct left neighbours."""
-    levels = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, written(levels[0].groupBy((F.col("gram") % SYMBOLS**k).cast("int").alias("gram")).agg(F.count("*").alias("n")), f"kn-count-{k}", files_of(k)))
+def train(counts: DataFrame, cfg: KneserNeyConfig) -> Model | None:
+    """The model of the items counted in (item, n); None without any. Lower orders count distinct
+    left neighbours."""
+    order = cfg.order
+    level = written(counts.select(F.explode(grams_of(F.col("item"), order)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), f"kn-count-{order}")
+    if not level.take(1):
+        return None
+    levels = [level]
+    for k in range(order - 1, 0, -1):
+        levels.insert(0, written(levels[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"kn-count-{k}"))
+    floor = 1.0 / (levels[0].count() + 1)  # one more for signs never seen
     out, below = [], None
     for k, level in enumerate(levels, 1):
         few = level.agg(*(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5))).first()
         d1, d2, d3 = discounts(*few)
-        seen = level.select("gram", "n", F.floor(F.col("gram") / SYMBOLS).cast("int").alias("context"), (F.col("gram") % SYMBOLS ** (k - 1)).cast("int").alias("suffix"))
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        seen = level.select("gram", "n", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
         contexts = seen.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("rest"))
+        contexts = written(contexts, f"kn-context-{k}")
         grams = seen.join(contexts, "context")
-        grams = grams.withColumn("lower", F.lit(1.0 / SYMBOLS)) if below is None else grams.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        below = written(grams.select("gram", ((F.col("n") - off) / F.col("total") + F.col("rest") * F.col("lower")).alias("p")), f"kn-order-{k}", files_of(k))
+        grams = grams.withColumn("lower", F.lit(floor)) if below is None else grams.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        below = written(grams.select("gram", ((F.col("n") - off) / F.col("total") + F.col("rest") * F.col("lower")).alias("p")), f"kn-order-{k}")
         out.append((below, contexts.select("context", "rest")))
-    return out
-
+    forget(*levels)
+    return Model(out, floor)
+
+
+def gram_probabilities(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, p) for distinct n-grams of the model's order, seen or not: joined order by order from
+    the lowest, each with what its context leaves to the one below."""
+    order = len(model.orders)
+    needed = [grams]
+    for k in range(order - 1, 0, -1):
+        needed.insert(0, needed[0].select(F.substring("gram", 2, k).alias("gram")).distinct())
+    found = None
+    for k, (rows, (seen, contexts)) in enumerate(zip(needed, model.orders, strict=True), 1):
+        rows = rows.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        rows = rows.join(seen, "gram", "left").join(contexts, "context", "left")
+        rows = rows.withColumn("lower", F.lit(model.floor)) if found is None else rows.join(found.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        found = rows.select("gram", F.coalesce("p", F.coalesce("rest", F.lit(1.0)) * F.col("lower")).alias("p"))
+        if k == order - 2:
+            found = written(found, f"kn-asked-{k}")
+    return found
+
+
+def item_costs(postings: DataFrame, model: Model) -> DataFrame:
+    """(shard, item, cost) of all distinct items."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = [w.decode("utf-8", "replace") for w in words.split(BETWEEN)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(words), pa.int32()), pa.array(words, pa.string())], ["shard", "item"])
 
-def _column(rows: pa.Table, name: str) -> np.ndarray:
-    return rows.column(name).to_numpy()
+    items = written(postings.filter("shard is not null").select("shard", "words").mapInArrow(unpack, "shard int, item string").distinct(), "kn-items")
+    flat = items.select("shard", "item", F.explode(grams_of(F.col("item"), len(model.orders))).alias("gram"))
+    priced = gram_probabilities(written(flat.select("gram").distinct(), "kn-asked"), model)
+    priced = written(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")), "kn-prices")
+    return written(flat.join(priced, "gram").groupBy("shard", "item").agg(F.sum("bits").alias("cost")), "kn-costs")
 
 
-def train(docs: DataFrame) -> np.ndarray | None:
-    """Minus log2 of the probability of each of the 64**4 n-grams' last symbol after the others, as
-    half floats (32 MB, whatever the input); None without a text."""
-    counts = written(count_grams(docs), "kn-count", files_of(ORDER))
-    if not counts.take(1):
-        return None
-    dense = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
-    for k, (grams, contexts) in enumerate(joined_orders(counts), 1):
-        grams, contexts = grams.toArrow(), contexts.toArrow()
-        rest = np.ones(SYMBOLS ** (k - 1), np.float32)
-        rest[_column(contexts, "context")] = _column(contexts, "rest")
-        # Before the first symbol only one order stands: what is left goes to all symbols alike.
-        lower = np.broadcast_to(dense, (1, SYMBOLS)) if k == 1 else dense.reshape(-1, SYMBOLS)
-        dense = (rest.reshape(-1, len(lower))[:, :, None] * lower[None]).reshape(-1)
-        dense[_column(grams, "gram")] = _column(grams, "p")
-    np.maximum(dense, 1e-7, out=dense)  # in place: a copy is 64 MB of the driver
-    return np.negative(np.log2(dense, out=dense), out=dense).astype(np.float16)
-
-
-def with_perplexity(docs: DataFrame, model: np.ndarray | None, keep: list[str] | None = None, name: str = "perplexity") -> DataFrame:
-    """The columns `keep` (by default all) and the perplexity of each whole text."""
-    columns = docs.columns if keep is None else keep
+def with_perplexity(postings: DataFrame, model: Model | None, cfg: KneserNeyConfig) -> DataFrame:
+    """(doc_id, lang, text_key, has_words, perplexity): one row a document."""
     if model is None:
-        return docs.select(*columns, F.lit(None).cast("double").alias(name))
-    shared = session_broadcast(docs.sparkSession, model, model.nbytes, 2 * SIZE)
-    rows = docs.select(F.col("text").alias("__text"), *columns)
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField(name, T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, symbol = shared.value, symbol_table()
-        for batch in batches:
-            out = np.full(batch.num_rows, np.nan)
-            for a, b, points, bounds in text_chunks(batch.column(0)):
-                full = np.flatnonzero(np.diff(bounds))
-                if len(full):
-                    cost = np.add.reduceat(bits[gram_codes(points, bounds, symbol)].astype(np.float64), bounds[full])
-                    out[a + full] = np.exp2(cost / np.diff(bounds)[full])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, mask=np.isnan(out))], [*columns, name])
-
-    return rows.mapInArrow(score, schema)
+        return about_documents(postings).select("doc_id", "lang", "text_key", (F.col("signs") > 0).alias("has_words"), F.lit(None).cast("double").alias("perplexity"))
+    costs = item_costs(postings, model)
+    lists = postings.filter("shard is not null").drop("about")
+    total = lists.groupBy("shard").agg(F.sum(F.length("words") + F.length("docs") + F.length("times")).alias("bytes"))
+    tasks = written(total.select("shard", F.ceil(F.col("bytes") / cfg.shard_bytes).cast("int").alias("tasks")), "kn-tasks", 1)
+    lists = lists.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("batch"), "tasks").cast("int"))
+    costs = costs.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "item", "cost")
+
+    def price(lists: pa.Table, costs: pa.Table) -> pa.Table:
+        words = [x.split(BETWEEN) for x in lists.column("words").to_pylist()]
+        at = pc.index_in(pa.array(list(chain.from_iterable(words)), pa.binary()), value_set=costs.column("item").combine_chunks().cast(pa.binary()))
+        cost = costs.column("cost").to_numpy()[at.to_numpy()]
+        docs, sums, start = [], [], 0
+        for some, sizes, d, t in zip(words, *(lists.column(c).to_pylist() for c in ("sizes", "docs", "times")), strict=True):
+            each = np.repeat(cost[start : start + len(some)], np.frombuffer(sizes, np.uint32)) * np.frombuffer(t, np.uint8)
+            start += len(some)
+            held, place = np.unique(np.frombuffer(d, np.uint16), return_inverse=True)
+            total = np.zeros(len(held), np.int64)
+            np.add.at(total, place, each)
+            docs.append(held.tobytes())
+            sums.append(total.tobytes())
+        return pa.table({"batch": lists.column("batch"), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    keys = ("shard", "task")
+    parts = lists.groupBy(*keys).cogroup(costs.groupBy(*keys)).applyInArrow(price, "batch long, docs binary, sums binary")
+
+    def add(parts: pa.Table, about: pa.Table) -> pa.Table:
+        known = pa.concat_arrays([x.values.slice(x.offset and x.offsets[0].as_py() or 0) for x in about.column("about").chunks])
+        total = np.zeros(len(known), np.int64)
+        for docs, sums in zip(parts.column("docs").to_pylist(), parts.column("sums").to_pylist(), strict=True):
+            total[np.frombuffer(docs, np.uint16)] += np.frombuffer(sums, np.int64)
+        signs = known.field("signs").to_numpy()
+        full = signs > 0
+        perplexity = np.exp2(total / PARTS / np.maximum(signs, 1))
+        return pa.table({"doc_id": known.field("doc_id"), "lang": known.field("lang"), "text_key": known.field("text_key"), "has_words": pa.array(full), "perplexity": pa.array(perplexity, mask=~full)})
+
+    about = postings.filter("shard is null").select("batch", "about")
+    return parts.groupBy("batch").cogroup(about.groupBy("batch")).applyInArrow(add, "doc_id long, lang string, text_key long, has_words boolean, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("worst")).filter("worst >= 1").select("doc_id")
+    """Ids that every label of theirs calls good."""
+    return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("worst")).filter("worst >= 1").select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def calibrates(part: int = 3, parts: int = 4):
+def calibrates(cfg: KneserNeyConfig) -> Column:
     """Whether a trusted id is held out from training to set the cut-offs."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % cfg.held == cfg.held - 1
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """Trains on the trusted documents that do not calibrate."""
-    ids = trusted_ids(labels).filter(~calibrates())
-    return train(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi"))
-
-
-def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = 0.995, min_calibration: int = 100) -> DataFrame:
+def thresholds(scored: DataFrame, labels: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
     """(lang, threshold) for the languages with enough calibration documents, and the threshold of
     all together as a row whose column `pooled` is true."""
-    held = scored.filter("perplexity is not null").join(trusted_ids(labels).filter(calibrates()), "doc_id", "left_semi")
-    cut = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    own = held.groupBy("lang").agg(cut, F.count("*").alias("n")).filter(F.col("n") >= min_calibration)
+    held = scored.filter("perplexity is not null").join(trusted_ids(labels).filter(calibrates(cfg)), "doc_id", "left_semi")
+    cut = F.percentile_approx("perplexity", cfg.quantile, 10_000).alias("threshold")
+    own = held.groupBy("lang").agg(cut, F.count("*").alias("n")).filter(F.col("n") >= cfg.min_calibration)
     return own.select("lang", "threshold", F.lit(False).alias("pooled")).unionByName(held.agg(cut).select(F.lit(None).cast("string").alias("lang"), "threshold", F.lit(True).alias("pooled")))
 
 
-def judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds threshold and kept. The cut-offs are one row a language."""
-    spare = [x["threshold"] for x in cuts.filter("pooled").collect()]
-    spare = F.lit(spare[0] if spare else None).cast("double")
-    own = cuts.filter("not pooled").select(F.col("lang").alias("__lang"), F.col("threshold").alias("__own"))
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    out = out.withColumn("threshold", F.coalesce("__own", spare)).drop("__lang", "__own")
-    fine = F.length("text") > 0 if "text" in scored.columns else F.col("has_text")
-    return out.withColumn("kept", F.coalesce(fine & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)), F.lit(False)))
+def judged(docs: DataFrame, labels: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
+    """(doc_id, lang, text_key, perplexity, threshold, kept): one row a document."""
+    postings = postings_of(docs, cfg)
+    counts = written(word_counts(postings, trusted_ids(labels).filter(~calibrates(cfg))), "kn-words")
+    model = train(counts, cfg)
+    scored = written(with_perplexity(postings, model, cfg), "kn-scored")
+    forget(postings, counts)
+    cuts = written(thresholds(scored, labels, cfg), "kn-cuts", 1)
+    spare = [x["threshold"] for x in cuts.filter("pooled").collect()]  # one row
+    own = cuts.filter("not pooled").select(F.col("lang").alias("own_lang"), F.col("threshold").alias("own"))
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left")
+    out = out.withColumn("threshold", F.coalesce("own", F.lit(spare[0] if spare else None).cast("double")))
+    kept = F.col("has_words") & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return out.select("doc_id", "lang", "text_key", "perplexity", "threshold", kept.alias("kept"))
 
 
-def scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> tuple[np.ndarray | None, DataFrame, DataFrame]:
-    """The model, a narrow table of every document's perplexity, and the cut-offs."""
-    model = fit(docs, labels)
-    narrow = docs.select("doc_id", "lang", "text", F.coalesce(F.length("text") > 0, F.lit(False)).alias("has_text"))
-    scored = written(with_perplexity(narrow, model, ["doc_id", "lang", "has_text"]), "kn-scored")
-    return model, scored, written(thresholds(scored, labels, quantile), "kn-cuts", 1)
+def quality(docs: DataFrame, labels: DataFrame, cfg: KneserNeyConfig | None = None) -> DataFrame:
+    """One row a document: doc_id, lang, perplexity, threshold, kept."""
+    return judged(docs, labels, cfg or KneserNeyConfig()).drop("text_key")
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """One row a document: doc_id, lang, perplexity, threshold, kept."""
-    _, scored, cuts = scores(docs, labels, quantile)
-    return judged(scored, cuts).select("doc_id", "lang", "perplexity", "threshold", "kept")
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """The documents that pass, with their columns. Texts are scored again rather than shuffled to
-    the verdicts, so repeated or null ids do not matter."""
-    model, _, cuts = scores(docs, labels, quantile)
-    name = next(x for x in ("perplexity", *(f"perplexity_{i}" for i in range(99))) if x not in docs.columns)
-    scored = with_perplexity(docs, model, name=name)
-    spare = [x["threshold"] for x in cuts.filter("pooled").collect()]
-    own = cuts.filter("not pooled").select(F.col("lang").alias("__lang"), F.col("threshold").alias("__own"))
-    limit = F.coalesce("__own", F.lit(spare[0] if spare else None).cast("double"))
-    out = scored.join(own, scored["lang"].eqNullSafe(F.col("__lang")), "left")
-    return out.filter((F.length("text") > 0) & F.coalesce(F.col(name) <= limit, F.lit(True))).select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, cfg: KneserNeyConfig | None = None) -> DataFrame:
+    """The documents that pass, with their columns. A verdict depends on language and text alone, so
+    rejected pairs of these are taken away, and repeated or null ids do not matter."""
+    bad = judged(docs, labels, cfg or KneserNeyConfig()).filter("not kept").select("text_key", F.col("lang").alias("bad_lang"))
+    bad = written(bad.distinct(), "kn-rejected").withColumnRenamed("text_key", "bad_key")
+    rows = docs.select(whole_row(docs), F.xxhash64("text").alias("text_key"), F.col("lang").cast("string").alias("of_lang"))
+    same = (F.col("text_key") == F.col("bad_key")) & F.col("of_lang").eqNullSafe(F.col("bad_lang"))
+    return rows.join(bad.hint("shuffle_hash"), same, "left_anti").select("row.*")
