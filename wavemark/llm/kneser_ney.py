@@ -13,8 +13,8 @@ a word with the documents it stands in. Then
 * training sums the postings of trusted documents into word counts, cuts the words into n-grams, and
   joins the counts of each order, shard to shard, on context and on suffix: continuation counts,
   discounts, the mass left to lower orders and their probability;
-* scoring joins the n-grams of all distinct words to these tables, backing off where there is none,
-  which prices each word, and joins the prices to the postings, shard to shard. A document's cost is
+* scoring joins the n-grams of all distinct words, each asked for once by each group of words, to
+  these tables, backing off where there is none, which prices each word, and joins the prices to the postings, shard to shard. A document's cost is
   the sum of what its shards say. Costs are whole numbers, so equal texts score equally.
 
 No text is shuffled, and no table of the model reaches the driver or is broadcast by this module. A
@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, whole_row, word_hashes, written
+from .common import forget, mix64, whole_row, word_hashes, written
 
 #: A word's start, the mark of a piece that goes on, and a word's end: white space, which no word holds.
 START, ON, END, BETWEEN = b" ", b"\t", b"\r", b"\n"
@@ -58,7 +58,8 @@ PARTS = 1 << 20
 class KneserNeyConfig:
     """order: characters of an n-gram; cut: characters of a piece; quantile and min_calibration: the
     cut-off; held: of how many trusted documents one calibrates; batch_docs (below 65,536) and
-    batch_bytes: documents dealt at once; shard_bytes: aim for one task's postings."""
+    batch_bytes: documents dealt at once; shard_bytes and item_bytes: aims for one task's postings
+    and one task's distinct words."""
 
     order: int = 5
     cut: int = 24
@@ -68,6 +69,7 @@ class KneserNeyConfig:
     batch_docs: int = 4_096
     batch_bytes: int = 8 << 20
     shard_bytes: int = 24 << 20
+    item_bytes: int = 3 << 20
 
 
 def items_of(word: bytes, cfg: KneserNeyConfig) -> list[bytes]:
@@ -245,8 +247,30 @@ def gram_probabilities(grams: DataFrame, model: Model) -> DataFrame:
     return found
 
 
-def item_costs(postings: DataFrame, model: Model) -> DataFrame:
-    """(shard, item, cost) of all distinct items."""
+def grams_of_items(items: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of items one after the other, as rows of code points, a hash of each, and how many
+    each item has. The same as `grams_of`."""
+    texts = [" " * (order - 2) + x if x[0] == START.decode() else x[1:] for x in items]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    n = lengths - (order - 1)
+    first = np.cumsum(lengths) - lengths
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    grams = points[at[:, None] + np.arange(order)]
+    return grams, gram_hashes(grams), n
+
+
+def gram_hashes(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams), np.uint64)
+    for column in grams.T:
+        out = mix64(out ^ column.astype(np.uint64))
+    return out
+
+
+def item_costs(postings: DataFrame, model: Model, cfg: KneserNeyConfig) -> DataFrame:
+    """(shard, item, cost) of all distinct items. They are priced in groups of bounded size, each of
+    which asks for its distinct n-grams once."""
+    order = len(model.orders)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,17 +279,35 @@ def item_costs(postings: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(words), pa.int32()), pa.array(words, pa.string())], ["shard", "item"])
 
     items = written(postings.filter("shard is not null").select("shard", "words").mapInArrow(unpack, "shard int, item string").distinct(), "kn-items")
-    flat = items.select("shard", "item", F.explode(grams_of(F.col("item"), len(model.orders))).alias("gram"))
-    priced = gram_probabilities(written(flat.select("gram").distinct(), "kn-asked"), model)
-    priced = written(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")), "kn-prices")
-    return written(flat.join(priced, "gram").groupBy("shard", "item").agg(F.sum("bits").alias("cost")), "kn-costs")
+    groups = max(1, -(-(items.agg(F.sum(F.octet_length("item"))).first()[0] or 0) // cfg.item_bytes))
+    grouped = items.withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        grams, hashes, _ = grams_of_items(rows.column("item").to_pylist(), order)
+        grams = grams[np.unique(hashes, return_index=True)[1]]
+        text = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
+        return pa.table({"group": pa.array(np.full(len(grams), rows.column("group")[0].as_py(), np.int32)), "gram": pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string())})
+
+    def price(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"shard": pa.array([], pa.int32()), "item": pa.array([], pa.string()), "cost": pa.array([], pa.int64())})
+        _, hashes, n = grams_of_items(rows.column("item").to_pylist(), order)
+        known = gram_hashes(np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order))
+        place = np.argsort(known)
+        bits = answers.column("bits").to_numpy()[place][np.searchsorted(known[place], hashes)]
+        return pa.table({"shard": rows.column("shard"), "item": rows.column("item"), "cost": pa.array(np.add.reduceat(bits, np.cumsum(n) - n))})
+
+    asked = written(grouped.groupBy("group").applyInArrow(ask, "group int, gram string"), "kn-asked")
+    priced = gram_probabilities(asked.select("gram").distinct(), model)
+    priced = asked.join(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")), "gram")
+    return written(grouped.groupBy("group").cogroup(priced.groupBy("group")).applyInArrow(price, "shard int, item string, cost long"), "kn-costs")
 
 
 def with_perplexity(postings: DataFrame, model: Model | None, cfg: KneserNeyConfig) -> DataFrame:
     """(doc_id, lang, text_key, has_words, perplexity): one row a document."""
     if model is None:
         return about_documents(postings).select("doc_id", "lang", "text_key", (F.col("signs") > 0).alias("has_words"), F.lit(None).cast("double").alias("perplexity"))
-    costs = item_costs(postings, model)
+    costs = item_costs(postings, model, cfg)
     lists = postings.filter("shard is not null").drop("about")
     total = lists.groupBy("shard").agg(F.sum(F.length("words") + F.length("docs") + F.length("times")).alias("bytes"))
     tasks = written(total.select("shard", F.ceil(F.col("bytes") / cfg.shard_bytes).cast("int").alias("tasks")), "kn-tasks", 1)
