@@ -48,11 +48,45 @@ def test_fitting_raises_the_likelihood():
 
 
 def test_words():
-    assert words_of("Ab1c é") == ["▁ab", "▁c", "▁é"] and words_of(None) == [] == words_of("12 #")
-    assert words_of("x" * 60) == ["▁" + "x" * 24, "x" * 24, "x" * 12]
+    assert words_of("Ab1c é") == ["ab", "c", "é"] and words_of(None) == [] == words_of("12 #") == words_of("")
+    assert words_of("² ½ Ⅷ ① ٣ \u0301 _") == []
+    assert words_of("x" * 60) == ["x" * 60]
+    assert words_of("हिन्दी में cafe\u0301s, naïve²x") == ["हिन्दी", "में", "cafe\u0301s", "naïve", "x"]
     assert "▁the" in vocabulary(PATH)
 
 
+def test_forward_on_a_very_long_word():
+    """Against the same recursion in logarithms, place by place."""
+    s = Segmenter(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bb"])
+    p = np.random.default_rng(1).dirichlet(np.ones(9), 3).T
+    rng = random.Random(4)
+    words = ["▁" + "".join(rng.choice("aabz") for _ in range(n)) for n in (5000, 3, 33, 40, 700)]
+    got = forward(s, words, p)
+    for w, row in zip(words, got, strict=True):
+        for k in range(3):
+            log = [0.0]
+            for b in range(1, len(w) + 1):
+                ways = [log[a] + math.log(p[i, k]) for a in range(max(0, b - 3), b) for i in [s.ids.get(w[a:b], s.unknown if b - a == 1 else None)] if i is not None]
+                log.append(max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways)))
+            assert row[k] == pytest.approx(log[-1], rel=1e-9)
+
+
+def test_fitting_takes_long_words():
+    from collections import Counter
+
+    s = Segmenter(["a", "b", "ab", "▁", "▁a"])
+    short = fit(s, {"x": Counter({"▁" + "ab" * 2: 1000})}, 3, 0.01)[1]
+    long = fit(s, {"x": Counter({"▁" + "ab" * 2000: 1})}, 3, 0.01)[1]
+    assert np.isfinite(long).all() and long.sum() == pytest.approx(1) and short[2, 0] > short[1, 0] and long[2, 0] > long[1, 0]
+
+
+def test_texts_without_letters_are_undetermined(spark, docs):
+    odd = ["² ½ Ⅷ ①", "", "12 34", "\u0301", None, "__ --"]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(7000 + i, t, "en") for i, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    got = [(r.lang_pred, r.score) for r in identify(rows, LanguageConfig(PATH)).filter("doc_id >= 7000").collect()]
+    assert got == [("und", 0.0)] * len(odd)
+
+
 def test_prediction(spark, docs, corpus, empty, odd_columns):
     cfg = LanguageConfig(PATH)
     rows = identify(docs, cfg).collect()
