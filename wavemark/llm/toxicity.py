@@ -6,25 +6,28 @@ out-of-fold: for each link, folds of the training rows are predicted by models f
 so a later link learns from probabilities as uncertain as those it will meet, and not from an
 earlier link's memory of its own training rows. Scoring runs the links in order.
 
-Models are fitted on the driver on a bounded sample of labelled rows (`sample`, drawn by a hash of
-the id; the bound is the only thing that does not grow with the input), by proximal gradient steps
-with an L1 penalty, on tokens whose association with the category is strong and beyond chance;
-equal texts are learned from once, so that a group of copies is no evidence. Every document is then
-scored in whole where it is read, without a shuffle. Each category's cut-off is the one with the
-best F1 on the out-of-fold probabilities, but at least one half.
+Models are fitted on the driver on a bounded sample of labelled texts (`sample`, drawn by a hash of
+the text from the distinct texts that labelled documents hold; the bound is the only thing that does
+not grow with the input), by proximal gradient steps with an L1 penalty, on tokens whose association
+with the category is strong and beyond chance. What the driver gets are those tokens of the sample
+that `least_docs` of its texts hold, not texts. Folds go by the least hash of a text's five-word
+shingles, so near copies mostly stand in one fold. Every document is then scored in whole where it
+is read, without a shuffle. Each category's cut-off is the one with the best F1 on the out-of-fold
+probabilities, but at least one half.
 
 Tokens are runs of letters in lower case, with the stems of longer ones, and runs of other signs.
-Cases: a null or empty text has
-no tokens and the base rate's probability; labels of absent documents and null labels teach
-nothing; an id with several labels counts with its worst; a category without labels of both kinds
-has probability 0; equal rows score equally; without labels nothing is flagged; an empty table
-gives an empty result; other columns are not read.
+Cases: a null or empty text has no tokens and the base rate's probability; a very long text is a set
+of tokens like any other; labels of absent documents and null labels teach nothing and take no place
+in the sample; an id with several labels counts with its worst, and so does a text with several ids;
+a category without labels of both kinds has probability 0; a probability that ties with the cut-off
+is flagged; equal rows score equally; without labels nothing is flagged; an empty table gives an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_broadcast
+from .common import pickled_size, session_broadcast, window_hashes, word_hashes, written
 
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
@@ -81,9 +84,9 @@ class Link:
 class Bag:
     """The tokens of the training rows as numbers: pairs of row and token."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, found: list[Iterable[str]]) -> None:
         ids: dict[str, int] = {}
-        docs = [np.fromiter((ids.setdefault(t, len(ids)) for t in tokens(text)), np.int32) for text in texts]
+        docs = [np.fromiter((ids.setdefault(t, len(ids)) for t in some), np.int32) for some in found]
         self.names, self.n = [*ids], len(docs)
         self.rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(d) for d in docs])
         self.cols = np.concatenate(docs) if docs else np.zeros(0, np.int32)
@@ -150,9 +153,9 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return max(0.5, float((p[order][best] + below) / 2))
 
 
-def train(texts: list[str], labels: np.ndarray, folds_of: np.ndarray, categories: list[str], cfg: ChainConfig) -> Chain:
-    """Fits the chain; labels is rows by categories, folds_of each row's fold."""
-    bag = Bag(texts)
+def train(found: list[Iterable[str]], labels: np.ndarray, folds_of: np.ndarray, categories: list[str], cfg: ChainConfig) -> Chain:
+    """Fits the chain to rows of tokens; labels is rows by categories, folds_of each row's fold."""
+    bag = Bag(found)
     earlier, links, cuts, every = np.zeros((bag.n, 0)), [], [], np.ones(bag.n, bool)
     for k in range(len(categories)):
         y, oof = labels[:, k].astype(float), np.zeros(bag.n)
@@ -172,20 +175,39 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], cfg:
     """Draws the sample and fits the chain. categories: a condition on `labels` for each name, in
     the order of the chain."""
     cfg = cfg or ChainConfig()
+    names = [f"y_{name}" for name in categories]
     rows = labels.filter("doc_id is not null").select("doc_id", *[c.cast("int").alias(f"y_{name}") for name, c in categories.items()])
-    rows = rows.groupBy("doc_id").agg(*[F.max(f"y_{name}").alias(f"y_{name}") for name in categories]).dropna()
-    # At most `sample` rows, so their ids may be broadcast.
-    drawn = rows.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(cfg.sample)
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
-    table = found.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(cfg.folds)).cast("int")).toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")
-    y = table[[f"y_{name}" for name in categories]].to_numpy() if len(table) else np.zeros((0, len(categories)))
-    return train(table["text"].tolist(), y, table["fold"].to_numpy(), [*categories], cfg)
+    rows = rows.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in names]).dropna()
+    held = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("key")).join(rows, "doc_id").groupBy("key").agg(*[F.max(y).alias(y) for y in names])
+    drawn = written(held.orderBy(F.xxhash64("key", F.lit("toxicity")), "key").limit(cfg.sample), "tox-drawn", 1)
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    shingles = window_hashes(word_hashes(text.encode().lower().split()), 5)
+                    out.append((key, int(shingles.min() % np.uint64(cfg.folds)) if len(shingles) else 0, sorted(tokens(text))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], ["key", "fold", "tokens"])
+
+    # At most `sample` keys, so they may be broadcast.
+    found = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text").join(F.broadcast(drawn.select("key")), "key", "left_semi")
+    found = written(found.mapInArrow(tokenised, "key long, fold int, tokens array<string>").dropDuplicates(["key"]), "tox-tokens")
+    flat = found.select("key", F.explode("tokens").alias("token"))
+    common = flat.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= cfg.least_docs).select("token")
+    kept = flat.join(common, "token").groupBy("key").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    table = found.select("key", "fold").join(drawn, "key").join(kept, "key", "left").orderBy("key").toArrow()
+    y = np.column_stack([table.column(c).to_numpy() for c in names]) if table.num_rows else np.zeros((0, len(names)))
+    return train([x or [] for x in table.column("tokens").to_pylist()], y, table.column("fold").to_numpy(), [*categories], cfg)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, p_<category>..., <category>...): probability of each category and whether it
     reaches its cut-off, for every document."""
-    shared = session_broadcast(docs.sparkSession, chain, sum(len(x.tokens) for x in chain.links) * 64, 64 << 20)
+    shared = session_broadcast(docs.sparkSession, chain, pickled_size(chain), 16 << 20)
     names = ["doc_id", *[f"p_{c}" for c in chain.categories], *chain.categories]
     schema = ", ".join(["doc_id long", *[f"p_{c} double" for c in chain.categories], *[f"{c} boolean" for c in chain.categories]])
 
