@@ -40,7 +40,7 @@ def test_binomial_tail(spark, n, p):
 def made(spark, n, bad, lang="en"):
     """n good documents, `bad` of which have many symbols."""
     words = [f"word{i}" for i in range(60)]
-    rows = [(i, " ".join(words) + (" $" * 40 if i < bad else ""), lang) for i in range(n)]
+    rows = [(i, " ".join([f"own{i:05d}", *words]) + (" $" * 40 if i < bad else ""), lang) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
 
 
@@ -73,3 +73,21 @@ def test_edges(docs, labels, empty, corpus):
     rows = judge(docs, labels).collect()
     assert len(rows) == len(corpus)
     assert judge(empty, labels).count() == 0 and judge(docs, labels.limit(0)).count() == len(corpus)
+
+
+def test_copies_prove_nothing(spark, docs):
+    words = " ".join(f"word{i}" for i in range(60))
+    once, many = spark.createDataFrame([(1, words, "en")], "doc_id long, text string, lang string"), spark.createDataFrame([(i, words, "en") for i in range(2000)], "doc_id long, text string, lang string")
+    for rows in (once.crossJoin(spark.range(2000)).drop("id"), many):
+        cut = cutoffs(features(rows, ["doc_id", "lang"]), spark.range(2000).selectExpr("id doc_id", "1 quality"), "lang").first()
+        assert set(cut[1:]) == {None}
+
+
+def test_ids_with_both_labels_are_no_trials(spark):
+    docs, labels = made(spark, 2000, 0)
+    both = labels.unionByName(labels.withColumn("quality", F.lit(0)))
+    assert cutoffs(features(docs, ["doc_id", "lang"]), both, "lang").count() == 0
+
+
+def test_odd_columns(odd_columns, docs, labels):
+    assert sorted(map(str, judge(odd_columns, labels).collect())) == sorted(map(str, judge(docs, labels).collect()))

@@ -7,14 +7,20 @@ binomial test shows the true rate of false rejection to be at most the rule's sh
 (P(X <= k) for n trials at that rate is at most the test's share of `miss`). The shares are
 Bonferroni's: risk over the rules, miss over all tests of all strata. The strictest candidate that
 stands is the cut-off, and a rule of which none stands rejects nothing in that stratum. So, with
-probability 1 - miss, no stratum loses more than `risk` of its good documents.
+probability 1 - miss, these rules cost no stratum more than `risk` of its distinct good texts. The
+base rules are given, not chosen, and what they reject is beyond this.
+
+A trial is a distinct text of a stratum, however many rows and ids hold it: copies are no further
+evidence. Near copies are trials of their own. A good document is one that all its labels call good.
 
 Repeated words are found within each row: the hashes of its three-word windows are sorted with
 their places, and equal neighbours mark places, so no window leaves its row.
 
-Cases: a null or empty text has no words and fails the base rules; null is a stratum of its own, and
-one without labels has no cut-offs; labels of absent documents, and null labels, do not count; an id
-on several rows is tried once for each; equal rows get equal verdicts; empty tables are allowed.
+Cases: a null or empty text has no words, fails the base rules and is no trial; a very long text is
+one trial; null is a stratum of its own, and one without labels has no cut-offs; labels of absent
+documents, and null labels, do not count; an id on several rows is tried with each of its texts; a
+value that ties with a cut-off passes; equal rows get equal verdicts; empty tables are allowed; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,18 +63,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns `carry` and the counts of each whole text."""
+    """The columns `carry`, text_key and the counts of each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     rows = docs.select(
-        *carry, counted.alias("__words"), by_line.alias("__lines"),
+        *carry, F.xxhash64("text").alias("text_key"), counted.alias("__words"), by_line.alias("__lines"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
     )
-    rows = rows.select(*carry, F.col("__words.n_words"), "word_chars", "n_symbols", F.col("__lines.n_dup_lines"), F.col("__words.n_repeat_words"), F.col("__lines.n_lines"))
+    rows = rows.select(*carry, "text_key", F.col("__words.n_words"), "word_chars", "n_symbols", F.col("__lines.n_dup_lines"), F.col("__words.n_repeat_words"), F.col("__lines.n_lines"))
     return rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -95,9 +101,9 @@ def binomial_below(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05, miss: float = 0.05) -> DataFrame:
-    """(stratum, cut_<rule>...) from rows that hold doc_id, the stratum and the counts."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    held = rows.filter("n_words > 0").join(good, "doc_id", "left_semi")
+    """(stratum, cut_<rule>...) from rows that hold doc_id, the stratum, text_key and the counts."""
+    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("worst")).filter("worst = 1").select("doc_id")
+    held = rows.filter("n_words > 0").join(good, "doc_id", "left_semi").dropDuplicates([stratum, "text_key"])
     counts = [F.sum(F.expr(f"if({value} > {c}D, 1L, 0L)")).alias(f"{rule}_{i}") for rule, (value, grid) in RULES.items() for i, c in enumerate(grid)]
     tried = written(held.groupBy(stratum).agg(F.count("*").alias("n"), *counts), "rules-trials", 1)
     tests = tried.count() * sum(len(grid) for _, grid in RULES.values())
@@ -135,12 +141,13 @@ WITH w AS (
 g2 AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 rep AS (SELECT r, count(DISTINCT spot) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS spot FROM g2 WHERE n > 1) GROUP BY r),
 f AS (
-    SELECT r, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    SELECT r, doc_id, lang, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
     FROM w LEFT JOIN rep USING (r)
 ), tried AS (
-    SELECT lang, count(*) AS n, {counts} FROM f WHERE n_words > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang
+    SELECT lang, count(*) AS n, {counts}
+    FROM (SELECT DISTINCT ON (lang, t) * FROM f WHERE n_words > 0 AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)) GROUP BY lang
 ), cuts AS (SELECT lang, {cuts} FROM tried),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fine} AS kept
