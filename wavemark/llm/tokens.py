@@ -5,7 +5,7 @@ stand, so file f holds a run of ids and the files in order hold all. Texts trave
 are larger. In a file the ids of its documents stand end to end, each document closed by the end
 id, cut in sequences of `length` ids; the last is filled up. A row is one sequence: `ids`
 (fixed-size list of uint16, or uint32 for vocabularies beyond 65536) and `mask` (fixed-size list of
-bool, false for filling). All batches of a file hold the same number of rows and so the same number
+uint8, 1 for ids and 0 for filling; whole bytes, so that it is read without a copy as well). All batches of a file hold the same number of rows and so the same number
 of bytes, which makes a stream as good as an indexed file: batch k starts at first + k * step, so
 any sequence is found by arithmetic and read without decoding, from a memory map without a copy.
 Which documents stand in a file is in a second stream, of (doc_id, n_tokens), beside it.
@@ -16,7 +16,8 @@ task that is lost or run twice leaves at worst a file that nothing names.
 
 Tokenising caches by chunk: the tokeniser never joins text across certain places, such as the start
 of a run of non-space characters with the space before it, so what lies between them is encoded
-once and its ids copied. Texts with characters that split differently in Python go to the tokeniser whole.
+once and its ids copied. Texts with characters that split differently in Python go to the tokeniser
+whole, and so do all texts if the file does not name the splitting that the chunks are cut for.
 
 Cases: a null text is an empty one and gives only the end id; an id on several rows has a place for
 each, in the order of their texts' hashes; null ids stand first; very long texts cross as many
@@ -27,6 +28,7 @@ are not read.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import uuid
@@ -42,12 +44,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, rows_per_task, session_broadcast, written
+from .common import fresh_path, process_state, rows_per_task, session_broadcast, written
 
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Finer ones for Latin-1, of which both sides agree what a letter or number is: words with what
 #: follows an apostrophe, and runs of other signs.
 LATIN_CHUNKS = re.compile(r" ?[^\W_]+(?:'[^\W_]+)*|'[^\W_]+(?:'[^\W_]+)*| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: How a tokenizers file names the splitting that these patterns follow.
+SPLITTING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Characters that Python counts as white space and the tokeniser does not.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks that a generation of a worker process's cache holds, about 200 bytes each. A full one
@@ -82,6 +86,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(text)
+        told = json.loads(text)
+        splitting = told.get("pre_tokenizer") or {}
+        self.cuts = told.get("normalizer") is None and {"use_regex": True, **splitting}.items() >= SPLITTING.items()
         self.whole = (*ODD_SPACE, *(t.content for t in self.own.get_added_tokens_decoder().values()))
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -91,9 +98,7 @@ class ChunkTokenizer:
     @classmethod
     def of_process(cls, text: str) -> ChunkTokenizer:
         """The tokeniser of this worker process, which keeps its cache from task to task."""
-        import tokenizers
-
-        held = tokenizers.__dict__.setdefault("_wavemark", {})
+        held = process_state().setdefault("tokenizers", {})
         key = hash(text)
         if key not in held:
             held.clear()
@@ -121,7 +126,7 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [None if any(map(t.__contains__, self.whole)) else chunks_of(t) for t in texts]
+        chunks = [chunks_of(t) if self.cuts and not any(map(t.__contains__, self.whole)) else None for t in texts]
         fresh = self._unknown(chunks)
         if len(self.cache) + len(fresh) > CACHE:
             self.cache, self.old = {}, self.cache
@@ -142,7 +147,7 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def sequence_schema(cfg: TokenFileConfig, vocabulary: int) -> pa.Schema:
     kind = pa.uint16() if max(vocabulary, cfg.end_id + 1) <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(pa.field("id", kind, False), cfg.length)), ("mask", pa.list_(pa.field("token", pa.bool_(), False), cfg.length))])
+    return pa.schema([("ids", pa.list_(pa.field("id", kind, False), cfg.length)), ("mask", pa.list_(pa.field("token", pa.uint8(), False), cfg.length))])
 
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
@@ -167,7 +172,7 @@ class SequenceWriter:
         ids = np.concatenate(self.parts) if self.parts else np.array([], np.uint16)
         for i in range(0, upto, self.size):
             part = ids[i : i + self.size]
-            columns = np.pad(part, (0, self.size - len(part))), np.arange(self.size) < len(part)
+            columns = np.pad(part, (0, self.size - len(part))), (np.arange(self.size) < len(part)).astype(np.uint8)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x, f.type.value_type), type=f.type) for x, f in zip(columns, self.schema, strict=True)]
             self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.parts, self.held = [ids[upto:]], max(0, len(ids) - upto)
@@ -202,7 +207,8 @@ class SequenceFile:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         batch = self.batch(i // self.rows)
         length, at = self.schema.field(0).type.list_size, i % self.rows
-        return tuple(c.values.slice(at * length, length).to_numpy(zero_copy_only=False) for c in batch.columns)
+        ids, mask = (c.values.slice(at * length, length).to_numpy() for c in batch.columns)
+        return ids, mask.view(bool)
 
 
 def write_files(docs: DataFrame, cfg: TokenFileConfig, out: str) -> DataFrame:
@@ -223,20 +229,22 @@ def write_files(docs: DataFrame, cfg: TokenFileConfig, out: str) -> DataFrame:
         names = [f"{root}/part-{part:06d}-{attempt}.{x}.arrows" for x in ("tokens", "docs")]
         n_docs = n_tokens = 0
         gc.disable()  # nothing here has cycles, and the cache would be walked again and again
-        with fs.open_output_stream(f"{names[0]}.tmp") as tokens, fs.open_output_stream(f"{names[1]}.tmp") as index:
-            sequences, places = SequenceWriter(tokens, cfg, schema), pa.ipc.new_stream(index, DOCS)
-            for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    some = batch.slice(i, 500)
-                    ids = [np.frombuffer(x + end, "<u4") for x in tokenizer.encode(some.column(1).fill_null("").to_pylist())]
-                    for x in ids:
-                        sequences.add(x.astype(kind))
-                    lengths = [len(x) for x in ids]
-                    places.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(lengths, pa.int64())], schema=DOCS))
-                    n_docs, n_tokens = n_docs + len(lengths), n_tokens + sum(lengths)
-            sequences.close()
-            places.close()
-        gc.enable()
+        try:
+            with fs.open_output_stream(f"{names[0]}.tmp") as tokens, fs.open_output_stream(f"{names[1]}.tmp") as index:
+                sequences, places = SequenceWriter(tokens, cfg, schema), pa.ipc.new_stream(index, DOCS)
+                for batch in batches:
+                    for i in range(0, batch.num_rows, 500):
+                        some = batch.slice(i, 500)
+                        ids = [np.frombuffer(x + end, "<u4") for x in tokenizer.encode(some.column(1).fill_null("").to_pylist())]
+                        for x in ids:
+                            sequences.add(x.astype(kind))
+                        lengths = [len(x) for x in ids]
+                        places.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(lengths, pa.int64())], schema=DOCS))
+                        n_docs, n_tokens = n_docs + len(lengths), n_tokens + sum(lengths)
+                sequences.close()
+                places.close()
+        finally:
+            gc.enable()
         for name in names:
             if n_docs:
                 fs.move(f"{name}.tmp", name)
@@ -269,8 +277,8 @@ def read_files(spark: SparkSession, files: DataFrame, out: str) -> DataFrame:
                 with fs.open_input_file(path) as f:
                     sequences = SequenceFile(f)
                     for k in range(sequences.batches):
-                        ids, mask = (c.values.to_numpy(zero_copy_only=False) for c in sequences.batch(k).columns)
-                        ids, a = ids[mask].astype("<u4"), 0
+                        ids, mask = (c.values.to_numpy() for c in sequences.batch(k).columns)
+                        ids, a = ids[mask.view(bool)].astype("<u4"), 0
                         while a < len(ids):
                             b = min(len(ids), a + left)
                             crc, left, a = zlib.crc32(ids[a:b].tobytes(), crc), left - (b - a), b
