@@ -42,7 +42,7 @@ def test_is_stable(docs):
 
 
 def test_runs_are_narrow(docs):
-    rows = shard(docs, 8, F.col("lang")).filter("lang is not null").groupBy("shard").agg(F.countDistinct("lang").alias("n")).collect()
+    rows = shard(docs, 8, F.struct("lang")).filter("row.lang is not null").groupBy("shard").agg(F.countDistinct("row.lang").alias("n")).collect()
     assert sum(r.n for r in rows) < 8 * 3
 
 

@@ -92,12 +92,12 @@ def value_steps(rows: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("before", before).join(F.broadcast(starts), "part").select("value", F.floor((F.col("start") + F.col("before")) * (1 << STEPS_BITS) / F.col("all")).cast("int").alias("step"))
 
 
-def ranked(docs: DataFrame, *carry: Column) -> DataFrame:
-    """The rows with the columns `carry`, id, size, crc, hilbert and their global rank, in the order
+def ranked(docs: DataFrame, carry: Column | None) -> DataFrame:
+    """The rows with the column `carry` as row, id, size, crc, hilbert and their global rank, in the order
     of the curve."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(crc32_of(F.col("text")), F.lit(0)).cast("long")
-    rows = docs.select(*carry, F.col("doc_id").alias("id"), "lang", "source", size.alias("size"), crc.alias("crc"))
+    rows = docs.select(*([] if carry is None else [carry.alias("row")]), F.col("doc_id").alias("id"), "lang", "source", size.alias("size"), crc.alias("crc"))
     for column in ("lang", "source"):
         steps = written(value_steps(docs, column), f"shard-{column}", 1).select(F.col("value").alias(f"{column}_value"), F.col("step").alias(f"{column}_step"))
         rows = rows.join(steps, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left")
@@ -115,12 +115,12 @@ def ranked(docs: DataFrame, *carry: Column) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("place"))
 
 
-def shard(docs: DataFrame, shards: int = 8, *carry: Column) -> DataFrame:
-    """The columns `carry`, and doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert."""
-    rows = ranked(docs, *carry)
+def shard(docs: DataFrame, shards: int = 8, carry: Column | None = None) -> DataFrame:
+    """The column `carry` as row, if there is one, and doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert."""
+    rows = ranked(docs, carry)
     rows = rows.withColumn("shard", F.expr(f"cast(rank * {shards} div all as int)"))
     start = F.expr(f"(shard * all + {shards - 1}) div {shards}")
-    own = rows.columns[: len(carry)]
+    own = [] if carry is None else ["row"]
     return rows.select(
         *own, F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert",
