@@ -130,7 +130,7 @@ def deal_postings(docs: DataFrame, cfg: KneserNeyConfig, shards: int) -> DataFra
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
             rows = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            for a, b in zip(cuts.tolist(), np.append(cuts, len(order))[1:].tolist(), strict=True):
                 some = order[a:b]
                 n = size[owner[some]]
                 at = np.repeat(first[owner[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
