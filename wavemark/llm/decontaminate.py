@@ -140,17 +140,20 @@ class Index:
         self.ceiling_blocks = block[first]
         self.ceilings = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.ceiling_starts = np.searchsorted(at[first], np.arange(len(self.terms) + 1))
+        #: Of each term its blocks and ceilings, made where the index is used and not pickled before.
+        self.views: list[tuple[np.ndarray, np.ndarray]] | None = None
 
     def above(self, passage: set[str]) -> list[tuple[int, float]]:
         """Items whose score for the passage reaches the threshold, by block-max WAND."""
         if not passage:
             return []
+        if self.views is None:
+            cuts = self.ceiling_starts[1:-1]
+            self.views = list(zip(np.split(self.ceiling_blocks, cuts), np.split(self.ceilings, cuts), strict=True))
         # In a fixed order, so that equal passages score equally to the last bit.
         numbers = sorted(map(self.terms.__getitem__, passage))
-        cuts = self.ceiling_starts
-        at = np.concatenate([self.ceiling_blocks[cuts[t] : cuts[t + 1]] for t in numbers])
-        most = np.concatenate([self.ceilings[cuts[t] : cuts[t + 1]] for t in numbers])
-        bounds = np.bincount(at, most, self.blocks)
+        at, most = zip(*map(self.views.__getitem__, numbers), strict=True)
+        bounds = np.bincount(np.concatenate(at), np.concatenate(most), self.blocks)
         return [x for block in np.flatnonzero(bounds >= self.cfg.threshold - 1e-9) for x in self._open(numbers, int(block))]
 
     def _open(self, numbers: list[int], block: int) -> list[tuple[int, float]]:
@@ -160,7 +163,8 @@ class Index:
         cursors = []
         for t in numbers:
             a, b = self.starts[t], self.starts[t + 1]
-            lo, hi = a + np.searchsorted(self.items[a:b], [start, stop])
+            own = self.items[a:b]
+            lo, hi = a + own.searchsorted(start), a + own.searchsorted(stop)
             if lo < hi:
                 items, weights = self.items[lo:hi].tolist(), self.weights[lo:hi].tolist()
                 cursors.append([items[0], 0, len(items), max(weights), items, weights])
