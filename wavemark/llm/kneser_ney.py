@@ -69,7 +69,7 @@ class KneserNeyConfig:
     batch_docs: int = 4_096
     batch_bytes: int = 8 << 20
     shard_bytes: int = 24 << 20
-    item_bytes: int = 3 << 20
+    item_bytes: int = 1 << 20
 
 
 def items_of(word: bytes, cfg: KneserNeyConfig) -> list[bytes]:
@@ -256,7 +256,9 @@ def grams_of_items(items: list[str], order: int) -> tuple[np.ndarray, np.ndarray
     n = lengths - (order - 1)
     first = np.cumsum(lengths) - lengths
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    grams = points[at[:, None] + np.arange(order)]
+    grams = np.empty((len(at), order), np.uint32)
+    for i in range(order):
+        grams[:, i] = points[at + i]
     return grams, gram_hashes(grams), n
 
 
