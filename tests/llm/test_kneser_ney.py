@@ -60,15 +60,15 @@ def brute_perplexity(p, text, order=CFG.order):
 STRANGE = ["ελληνικά λέξεις και άλλες λέξεις", "汉字" * 40 + "的是不了人我在有他", "кириллица слова слова", "x" * 90 + "yz" * 30, "Zz é\n\U0001f600 2023", "the an er " * 300]
 
 
-@pytest.mark.parametrize("cfg", [CFG, kn.KneserNeyConfig(order=3, cut=7, batch_docs=3, shard_bytes=200)], ids=str)
+@pytest.mark.parametrize("cfg", [CFG, kn.KneserNeyConfig(order=3, pack_bytes=700, group_bytes=3_000, group_grams=900)], ids=str)
 def test_perplexities_are_the_brute_force_ones(spark, corpus, cfg):
     """Trained on the first texts, other scripts included, and scored on all of both kinds."""
     texts = [r[1] for r in corpus[:25]] + STRANGE
     docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, r[1]) for i, r in enumerate(corpus[25:])), (5000, "ж汉x unseen–signs")], "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
-    postings = kn.written(kn.deal_postings(docs, cfg, 4), "test-postings")
+    packed = kn.packed_documents(docs, cfg)
     ids = spark.range(len(texts)).withColumnRenamed("id", "doc_id")
-    model = kn.train(kn.word_counts(postings, ids), cfg)
-    got = {(r.doc_id, r.text_key): r for r in kn.with_perplexity(postings, model, cfg).collect()}
+    model = kn.train(kn.gram_counts(packed, ids, cfg), cfg)
+    got = {(r.doc_id, r.text_key): r for r in kn.with_perplexity(packed, model).collect()}
     p = brute(texts, cfg.order)
     rows = docs.withColumn("key", F.xxhash64("text")).collect()
     assert len(rows) == len(texts) + len(corpus) - 25 + 1
@@ -88,10 +88,16 @@ def test_probabilities_sum_to_one(spark, corpus):
         assert sum(p(tuple(context), c) for c in alphabet) == pytest.approx(1)
 
 
-def test_items():
-    assert kn.items_of(b"word", CFG) == [b" word\r"]
-    cfg = kn.KneserNeyConfig(order=3, cut=4)
-    assert kn.items_of(b"abcdefghij", cfg) == [b" abcd", b"\tcdefgh", b"\tghij\r"]
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_grams(order, monkeypatch):
+    """Of words of any length, in slices of a few characters."""
+    text = "word \t\nx " + "ab" * 40 + "\x0b汉字\u00a0é\n"
+    expected = [tuple(s[i - order + 1 : i + 1]) for w in text.encode().split() for s in [signs(w.decode(), order)] for i in range(order - 1, len(s))]
+    points = kn.np.frombuffer(text.encode("utf-32-le"), kn.np.uint32)
+    for size in (1 << 18, 7, 1):
+        monkeypatch.setattr(kn, "SLICE", size)
+        found = [x for _, grams in kn.grams_in(points, order) for x in zip(*grams, strict=True)]
+        assert [tuple(map(chr, x)) for x in found] == expected
 
 
 def test_discounts():

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pickle
 import sys
 import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,17 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like `written`, with the rows of a key in one of `buckets` buckets, so that grouping by the key
+    or joining on it does not shuffle them."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    known = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(known)
+    out = spark.table(known)
+    out.scratch_path, out.scratch_name = path, known
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,22 +7,19 @@ white space): each word stands after start signs and is closed by an end sign, a
 are code points as they are. A text's perplexity is that of all signs of its words. Nothing is
 folded or pruned: every n-gram of all trusted text has its row, and the tables grow with it.
 
-All texts are read once. Each batch of documents is dealt out as postings by word, packed in shards:
-a word with the documents it stands in. Then
+All texts are read once and packed: each task puts its documents, compressed, into groups of bounded
+size, and each group lists its distinct n-grams. The packed table is bucketed by group. Then
 
-* training sums the postings of trusted documents into word counts, cuts the words into n-grams, and
-  joins the counts of each order, shard to shard, on context and on suffix: continuation counts,
-  discounts, the mass left to lower orders and their probability;
-* scoring joins the n-grams of all distinct words, each asked for once by each group of words, to
-  these tables, backing off where there is none, which prices each word, and joins the prices to the postings, shard to shard. A document's cost is
-  the sum of what its shards say. Costs are whole numbers, so equal texts score equally.
+* training counts the n-grams of trusted documents, combined in tasks, and joins the counts of each
+  order, shard to shard, on context and on suffix: continuation counts, discounts, the mass left to
+  lower orders and their probability;
+* scoring joins the distinct n-grams that the groups ask for to these tables, order by order, backing
+  off where there is none; the prices are joined to the groups that asked, and each group meets its
+  prices bucket to bucket, so the texts are never shuffled. Costs are whole numbers, so equal texts
+  score equally.
 
-No text is shuffled, and no table of the model reaches the driver or is broadcast by this module. A
-word in most documents is one word in each batch, and a shard's postings are dealt to as many tasks
-as their size asks, each with the shard's prices.
-
-A word beyond `cut` characters is cut in pieces that carry the characters before them as context,
-which changes no probability, so scripts without spaces are scored whole.
+No table of the model reaches the driver or is broadcast by this module. An n-gram in every text is
+one row a group. A text of any length is priced in slices of its characters.
 
 A document is kept if its perplexity is at most the quantile of its language's calibration
 documents. A language with fewer than `min_calibration` of these uses the quantile of all together.
@@ -41,147 +38,197 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, whole_row, word_hashes, written
+from .common import bucketed, forget, whole_row, written
 
-#: A word's start, the mark of a piece that goes on, and a word's end: white space, which no word holds.
-START, ON, END, BETWEEN = b" ", b"\t", b"\r", b"\n"
+#: What stands before a word and what ends it: white space, which no word holds.
+START, END = 0x20, 0x0D
 #: Costs are counted in these parts of a bit.
 PARTS = 1 << 20
+#: Characters looked at together.
+SLICE = 1 << 18
+#: Compression of packed texts.
+CODEC = ("zstd", 3)
 
 
 @dataclass(frozen=True)
 class KneserNeyConfig:
-    """order: characters of an n-gram; cut: characters of a piece; quantile and min_calibration: the
-    cut-off; held: of how many trusted documents one calibrates; batch_docs (below 65,536) and
-    batch_bytes: documents dealt at once; shard_bytes and item_bytes: aims for one task's postings
-    and one task's distinct words."""
+    """order: characters of an n-gram, 16 at most; quantile and min_calibration: the cut-off; held: of
+    how many trusted documents one calibrates; pack_bytes: text packed in one row; group_bytes and
+    group_grams: text and distinct n-grams after which a group ends."""
 
     order: int = 5
-    cut: int = 24
     quantile: float = 0.98
     min_calibration: int = 50
     held: int = 4
-    batch_docs: int = 4_096
-    batch_bytes: int = 8 << 20
-    shard_bytes: int = 24 << 20
-    item_bytes: int = 1 << 20
-
-
-def items_of(word: bytes, cfg: KneserNeyConfig) -> list[bytes]:
-    """The pieces of a word. The first character tells what stands before the rest: start signs, or
-    the order - 1 characters that follow it."""
-    if len(word) <= cfg.cut:
-        return [START + word + END]
-    text, back = word.decode("utf-8", "replace"), cfg.order - 1
-    out = []
-    for i in range(0, len(text), cfg.cut):
-        piece = (" " * back + text)[i : i + back] if i else ""
-        out.append((ON if i else START) + (piece + text[i : i + cfg.cut]).encode())
-    out[-1] += END
-    return out
-
-
-def deal_postings(docs: DataFrame, cfg: KneserNeyConfig, shards: int) -> DataFrame:
-    """For each batch and shard: its words, how many documents each has, these, and how often the
-    word stands in each (255 at most; more takes several entries). And one row a batch without a
-    shard, of (doc_id, lang, text_key, signs) of its documents."""
+    pack_bytes: int = 2 << 20
+    group_bytes: int = 64 << 20
+    group_grams: int = 1 << 20
+
+
+def multipliers(order: int) -> np.ndarray:
+    """Odd 64-bit factors, one for each place of an n-gram."""
+    return np.random.default_rng(4).integers(1 << 63, size=16, dtype=np.uint64)[:order] * np.uint64(2) + np.uint64(1)
+
+
+def gram_hashes(grams: list[np.ndarray]) -> np.ndarray:
+    """Hash of n-grams given place by place."""
+    return sum(c.astype(np.uint64) * m for c, m in zip(grams, multipliers(len(grams)), strict=True))
+
+
+def grams_in(points: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The n-grams of a text's code points, slice by slice: where their last signs stand, in order, and
+    their signs place by place. White space has to end the text."""
+    space = (points == START) | (points - np.uint32(9) < 5)
+    for a in range(0, len(points), SLICE):
+        b, back = min(a + SLICE, len(points)), min(a, order)
+        p = np.concatenate([np.full(order - back, START, np.uint32), points[a - back : b]])
+        s = np.concatenate([np.ones(order - back, bool), space[a - back : b]])
+        at = np.flatnonzero(~(s[order:] & s[order - 1 : -1])) + order
+        grams = [np.where(s[at], np.uint32(END), p[at])]
+        inside = np.ones(len(at), bool)
+        for j in range(1, order):
+            inside &= ~s[at - j]
+            grams.insert(0, np.where(inside, p[at - j], np.uint32(START)))
+        yield at + (a - order), grams
+
+
+def gram_texts(grams: np.ndarray) -> list[str]:
+    """Rows of code points as strings."""
+    text, order = np.ascontiguousarray(grams).tobytes().decode("utf-32-le"), grams.shape[1]
+    return [text[i : i + order] for i in range(0, len(text), order)]
+
+
+class Distinct:
+    """Distinct n-grams and how often each was added."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.waiting = 0
+
+    def add(self, points: np.ndarray, order: int) -> None:
+        for _, grams in grams_in(points, order):
+            code, found = pd.factorize(gram_hashes(grams))
+            first = np.empty(len(found), np.int64)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            self.parts.append((found, np.stack([c[first] for c in grams], 1), np.bincount(code, minlength=len(found))))
+            self.waiting += len(found)
+            if self.waiting > self.size + (1 << 19):
+                self.merge()
+
+    def merge(self) -> None:
+        found, grams, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        found, first, code = np.unique(found, return_index=True, return_inverse=True)
+        self.parts = [(found, grams[first], np.bincount(code, n, len(found)).astype(np.int64))]
+        self.size, self.waiting = len(found), 0
+
+    def taken(self, rows: int = 50_000) -> Iterator[tuple[list[str], np.ndarray]]:
+        """All of them, some rows at a time; nothing is left."""
+        if self.parts:
+            self.merge()
+            _, grams, n = self.parts[0]
+            for i in range(0, len(n), rows):
+                yield gram_texts(grams[i : i + rows]), n[i : i + rows]
+        self.parts, self.size, self.waiting = [], 0, 0
+
+
+#: What is known of each packed document.
+ABOUT = pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("chars", pa.int64()), ("signs", pa.int64())])
+
+
+def deal(docs: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
+    """Rows of packed documents (group, part, texts, size, about): texts, each ended by a line feed,
+    compressed from `size` bytes. And rows (group, grams) of the distinct n-grams of a group."""
 
     def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
         a = 0
         while a < batch.num_rows:
-            total = np.cumsum(size[a : a + cfg.batch_docs])
-            b = a + max(1, int(np.searchsorted(total, cfg.batch_bytes, "right")))
+            b = a + max(1, int(np.searchsorted(np.cumsum(size[a:]), cfg.pack_bytes, "right")))
             yield batch.slice(a, b - a)
             a = b
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(group: int, part: int | None, texts: bytes | None, size: int | None, about: pa.Array | None, grams: list[str] | None) -> pa.RecordBatch:
+        one = [pa.array([x], t) for x, t in ((group, pa.int64()), (part, pa.int32()), (texts, pa.binary()), (size, pa.int64()))]
+        held = pa.ListArray.from_arrays(pa.array([0, len(about)], pa.int32()), about) if about is not None else pa.nulls(1, pa.list_(ABOUT))
+        return pa.RecordBatch.from_arrays([*one, held, pa.array([grams], pa.list_(pa.string()))], ["group", "part", "texts", "size", "about", "grams"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 33
-        for part in chain.from_iterable(map(pieces, batches)):
-            words = [x.split() if x else [] for x in part.column("text").to_pylist()]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            flat = list(chain.from_iterable(words))
-            vocabulary = list(dict.fromkeys(flat))
-            ids = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-            code = np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat)) << 16 | np.repeat(np.arange(len(words)), lengths)
-            del words, flat, ids
-            code, times = np.unique(code, return_counts=True)
-            signs = np.fromiter((len(w.decode("utf-8", "replace")) + 1 for w in vocabulary), np.int64, len(vocabulary))
-            total = np.bincount(code & 0xFFFF, signs[code >> 16] * times, len(lengths)).astype(np.int64)
-            # Counts beyond a byte take several entries.
-            entries = -(-times // 255)
-            last = np.cumsum(entries) - 1
-            code = np.repeat(code, entries)
-            tf = np.full(len(code), 255, np.int64)
-            tf[last] = times - 255 * (entries - 1)
-            size = np.bincount(code >> 16, minlength=len(vocabulary))
-            first = np.cumsum(size) - size
-            items = [items_of(w, cfg) for w in vocabulary]
-            owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
-            items = list(chain.from_iterable(items))
-            shard = (word_hashes(items) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            rows = []
-            for a, b in zip(cuts.tolist(), np.append(cuts, len(order))[1:].tolist(), strict=True):
-                some = order[a:b]
-                n = size[owner[some]]
-                at = np.repeat(first[owner[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                rows.append((int(shard[some[0]]), BETWEEN.join(items[i] for i in some), n.astype(np.uint32).tobytes(), (code[at] & 0xFFFF).astype(np.uint16).tobytes(), tf[at].astype(np.uint8).tobytes()))
-            known = pa.StructArray.from_arrays([part.column("doc_id"), part.column("lang"), part.column("text_key"), pa.array(total)], ["doc_id", "lang", "text_key", "signs"])
-            about = pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [len(known)], pa.int32()), known, mask=pa.array([True] * len(rows) + [False]))
-            columns = [pa.array([*x, None], t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int32(), *[pa.binary()] * 4), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([number] * (len(rows) + 1), pa.int64()), *columns, about], ["batch", "shard", "words", "sizes", "docs", "times", "about"])
-            number += 1
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(deal, "batch long, shard int, words binary, sizes binary, docs binary, times binary, about array<struct<doc_id:bigint,lang:string,text_key:bigint,signs:bigint>>")
-
-
-def postings_of(docs: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
+        codec = pa.Codec(CODEC[0], compression_level=CODEC[1])
+        group, part, filled, seen = TaskContext.get().partitionId() << 33, 0, 0, Distinct()
+        for piece in chain.from_iterable(map(pieces, batches)):
+            texts = [x or "" for x in piece.column("text").to_pylist()]
+            text = "\n".join([*texts, ""])
+            chars = np.fromiter(map(len, texts), np.int64, len(texts))
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            signs = np.zeros(len(texts), np.int64)
+            ends = np.cumsum(chars + 1)
+            for at, _ in grams_in(points, 1):
+                signs += np.bincount(np.searchsorted(ends, at, "right"), minlength=len(texts))
+            raw = text.encode()
+            about = pa.StructArray.from_arrays([piece.column("doc_id"), piece.column("lang"), piece.column("text_key"), pa.array(chars), pa.array(signs)], fields=list(ABOUT))
+            yield row(group, part, codec.compress(raw, asbytes=True), len(raw), about, None)
+            seen.add(points, cfg.order)
+            part, filled = part + 1, filled + len(raw)
+            if filled >= cfg.group_bytes or seen.size >= cfg.group_grams:
+                yield from (row(group, None, None, None, None, grams) for grams, _ in seen.taken())
+                group, part, filled = group + 1, 0, 0
+        yield from (row(group, None, None, None, None, grams) for grams, _ in seen.taken())
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(pack, "group long, part int, texts binary, size long, about array<struct<doc_id:bigint,lang:string,text_key:bigint,chars:bigint,signs:bigint>>, grams array<string>")
+
+
+def unpacked(texts: bytes, size: int) -> np.ndarray:
+    """Code points of packed texts."""
+    raw = pa.Codec(*CODEC[:1]).decompress(texts, size, asbytes=True)
+    return np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+
+
+def packed_documents(docs: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 35, 1)
-    return written(deal_postings(docs, cfg, shards), "kn-postings")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * size // cfg.group_bytes, 50_000))
+    return bucketed(deal(docs, cfg), "kn-packed", "group", buckets)
 
 
-def about_documents(postings: DataFrame) -> DataFrame:
-    """(batch, at, doc_id, lang, text_key, signs): one row a document."""
-    rows = postings.filter("shard is null").select("batch", F.posexplode("about").alias("at", "x"))
-    return rows.select("batch", "at", "x.*")
+def about_documents(packed: DataFrame) -> DataFrame:
+    """(group, part, at, doc_id, lang, text_key, chars, signs): one row a document."""
+    rows = packed.filter("part is not null").select("group", "part", F.posexplode("about").alias("at", "x"))
+    return rows.select("group", "part", "at", "x.*")
 
 
-def word_counts(postings: DataFrame, ids: DataFrame) -> DataFrame:
-    """(item, n) over the documents with these doc_ids."""
-    chosen = about_documents(postings).filter("signs > 0").join(ids, "doc_id", "left_semi").groupBy("batch").agg(F.collect_list("at").alias("chosen"))
+def gram_counts(packed: DataFrame, ids: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
+    """(gram, n) over the documents with these doc_ids, combined in tasks only."""
+    chosen = about_documents(packed).filter("signs > 0").join(ids, "doc_id", "left_semi").groupBy("group", "part").agg(F.collect_list("at").alias("chosen"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, sizes, docs, times, chosen in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                wanted = np.zeros(1 << 16, bool)
-                wanted[chosen] = True
-                size = np.frombuffer(sizes, np.uint32)
-                n = np.where(wanted[np.frombuffer(docs, np.uint16)], np.frombuffer(times, np.uint8), 0).astype(np.int64)
-                total = np.add.reduceat(n, np.cumsum(size, dtype=np.int64) - size)
-                some = np.flatnonzero(total)
-                words = words.split(BETWEEN)
-                yield pa.RecordBatch.from_arrays([pa.array([words[i].decode("utf-8", "replace") for i in some], pa.string()), pa.array(total[some])], ["item", "n"])
+        seen = Distinct()
 
-    rows = postings.filter("shard is not null").join(chosen, "batch").select("words", "sizes", "docs", "times", "chosen")
-    return rows.mapInArrow(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
+        def counted() -> Iterator[pa.RecordBatch]:
+            for grams, n in seen.taken():
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
 
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts, size, chars, some = (batch.column(c)[i] for c in range(4))
+                chars = chars.values.to_numpy()
+                wanted = np.zeros(len(chars), bool)
+                wanted[some.values.to_numpy()] = True
+                seen.add(unpacked(texts.as_py(), size.as_py())[np.repeat(wanted, chars + 1)], cfg.order)
+                if seen.size >= cfg.group_grams:
+                    yield from counted()
+        yield from counted()
 
-def grams_of(item: Column, order: int) -> Column:
-    """The n-grams of an item, one for each sign that it adds."""
-    text = F.when(F.substring(item, 1, 1) == START.decode(), F.concat(F.lit(" " * (order - 2)), item)).otherwise(F.substring(item, 2, 1 << 30))
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (order - 1)), lambda i: F.substring(text, i, F.lit(order)))
+    rows = packed.filter("part is not null").join(written(chosen, "kn-chosen"), ["group", "part"])
+    return rows.select("texts", "size", F.col("about.chars").alias("chars"), "chosen").mapInArrow(count, "gram string, n long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -203,10 +250,10 @@ class Model:
 
 
 def train(counts: DataFrame, cfg: KneserNeyConfig) -> Model | None:
-    """The model of the items counted in (item, n); None without any. Lower orders count distinct
+    """The model of the n-grams counted in (gram, n); None without any. Lower orders count distinct
     left neighbours."""
     order = cfg.order
-    level = written(counts.select(F.explode(grams_of(F.col("item"), order)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), f"kn-count-{order}")
+    level = written(counts.groupBy("gram").agg(F.sum("n").alias("n")), f"kn-count-{order}")
     if not level.take(1):
         return None
     levels = [level]
@@ -247,105 +294,36 @@ def gram_probabilities(grams: DataFrame, model: Model) -> DataFrame:
     return found
 
 
-def grams_of_items(items: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of items one after the other, as rows of code points, a hash of each, and how many
-    each item has. The same as `grams_of`."""
-    texts = [" " * (order - 2) + x if x[0] == START.decode() else x[1:] for x in items]
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-    n = lengths - (order - 1)
-    first = np.cumsum(lengths) - lengths
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    grams = np.empty((len(at), order), np.uint32)
-    for i in range(order):
-        grams[:, i] = points[at + i]
-    return grams, gram_hashes(grams), n
-
-
-def gram_hashes(grams: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(grams), np.uint64)
-    for column in grams.T:
-        out = mix64(out ^ column.astype(np.uint64))
-    return out
-
-
-def item_costs(postings: DataFrame, model: Model, cfg: KneserNeyConfig) -> DataFrame:
-    """(shard, item, cost) of all distinct items. They are priced in groups of bounded size, each of
-    which asks for its distinct n-grams once."""
-    order = len(model.orders)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w.decode("utf-8", "replace") for w in words.split(BETWEEN)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(words), pa.int32()), pa.array(words, pa.string())], ["shard", "item"])
-
-    items = written(postings.filter("shard is not null").select("shard", "words").mapInArrow(unpack, "shard int, item string").distinct(), "kn-items")
-    groups = max(1, -(-(items.agg(F.sum(F.octet_length("item"))).first()[0] or 0) // cfg.item_bytes))
-    grouped = items.withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
-
-    def ask(rows: pa.Table) -> pa.Table:
-        grams, hashes, _ = grams_of_items(rows.column("item").to_pylist(), order)
-        grams = grams[np.unique(hashes, return_index=True)[1]]
-        text = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
-        return pa.table({"group": pa.array(np.full(len(grams), rows.column("group")[0].as_py(), np.int32)), "gram": pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string())})
-
-    def price(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"shard": pa.array([], pa.int32()), "item": pa.array([], pa.string()), "cost": pa.array([], pa.int64())})
-        _, hashes, n = grams_of_items(rows.column("item").to_pylist(), order)
-        known = gram_hashes(np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order))
-        place = np.argsort(known)
-        bits = answers.column("bits").to_numpy()[place][np.searchsorted(known[place], hashes)]
-        return pa.table({"shard": rows.column("shard"), "item": rows.column("item"), "cost": pa.array(np.add.reduceat(bits, np.cumsum(n) - n))})
-
-    asked = written(grouped.groupBy("group").applyInArrow(ask, "group int, gram string"), "kn-asked")
-    priced = gram_probabilities(asked.select("gram").distinct(), model)
-    priced = asked.join(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")), "gram")
-    return written(grouped.groupBy("group").cogroup(priced.groupBy("group")).applyInArrow(price, "shard int, item string, cost long"), "kn-costs")
-
-
-def with_perplexity(postings: DataFrame, model: Model | None, cfg: KneserNeyConfig) -> DataFrame:
+def with_perplexity(packed: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang, text_key, has_words, perplexity): one row a document."""
     if model is None:
-        return about_documents(postings).select("doc_id", "lang", "text_key", (F.col("signs") > 0).alias("has_words"), F.lit(None).cast("double").alias("perplexity"))
-    costs = item_costs(postings, model, cfg)
-    lists = postings.filter("shard is not null").drop("about")
-    total = lists.groupBy("shard").agg(F.sum(F.length("words") + F.length("docs") + F.length("times")).alias("bytes"))
-    tasks = written(total.select("shard", F.ceil(F.col("bytes") / cfg.shard_bytes).cast("int").alias("tasks")), "kn-tasks", 1)
-    lists = lists.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("batch"), "tasks").cast("int"))
-    costs = costs.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "item", "cost")
-
-    def price(lists: pa.Table, costs: pa.Table) -> pa.Table:
-        words = [x.split(BETWEEN) for x in lists.column("words").to_pylist()]
-        at = pc.index_in(pa.array(list(chain.from_iterable(words)), pa.binary()), value_set=costs.column("item").combine_chunks().cast(pa.binary()))
-        cost = costs.column("cost").to_numpy()[at.to_numpy()]
-        docs, sums, start = [], [], 0
-        for some, sizes, d, t in zip(words, *(lists.column(c).to_pylist() for c in ("sizes", "docs", "times")), strict=True):
-            each = np.repeat(cost[start : start + len(some)], np.frombuffer(sizes, np.uint32)) * np.frombuffer(t, np.uint8)
-            start += len(some)
-            held, place = np.unique(np.frombuffer(d, np.uint16), return_inverse=True)
-            total = np.zeros(len(held), np.int64)
-            np.add.at(total, place, each)
-            docs.append(held.tobytes())
-            sums.append(total.tobytes())
-        return pa.table({"batch": lists.column("batch"), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
-
-    keys = ("shard", "task")
-    parts = lists.groupBy(*keys).cogroup(costs.groupBy(*keys)).applyInArrow(price, "batch long, docs binary, sums binary")
-
-    def add(parts: pa.Table, about: pa.Table) -> pa.Table:
-        known = pa.concat_arrays([x.values.slice(x.offset and x.offsets[0].as_py() or 0) for x in about.column("about").chunks])
-        total = np.zeros(len(known), np.int64)
-        for docs, sums in zip(parts.column("docs").to_pylist(), parts.column("sums").to_pylist(), strict=True):
-            total[np.frombuffer(docs, np.uint16)] += np.frombuffer(sums, np.int64)
-        signs = known.field("signs").to_numpy()
-        full = signs > 0
-        perplexity = np.exp2(total / PARTS / np.maximum(signs, 1))
-        return pa.table({"doc_id": known.field("doc_id"), "lang": known.field("lang"), "text_key": known.field("text_key"), "has_words": pa.array(full), "perplexity": pa.array(perplexity, mask=~full)})
-
-    about = postings.filter("shard is null").select("batch", "about")
-    return parts.groupBy("batch").cogroup(about.groupBy("batch")).applyInArrow(add, "doc_id long, lang string, text_key long, has_words boolean, perplexity double")
+        return about_documents(packed).select("doc_id", "lang", "text_key", (F.col("signs") > 0).alias("has_words"), F.lit(None).cast("double").alias("perplexity"))
+    order = len(model.orders)
+    asked = packed.filter("grams is not null").select(F.col("group").alias("asker"), F.explode("grams").alias("gram"))
+    priced = gram_probabilities(written(asked.select("gram").distinct(), "kn-asked"), model)
+    prices = asked.join(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")), "gram")
+
+    def score(texts: pa.Table, prices: pa.Table) -> pa.Table:
+        known = np.frombuffer("".join(prices.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order)
+        known, bits = pd.Index(gram_hashes(list(known.T))), prices.column("bits").to_numpy()
+        out = []
+        for i in range(texts.num_rows):
+            packed, size, about = (texts.column(c)[i] for c in ("texts", "size", "about"))
+            about = about.values
+            signs = about.field("signs").to_numpy()
+            ends = np.cumsum(about.field("chars").to_numpy() + 1)
+            total = np.zeros(len(about), np.int64)
+            for at, grams in grams_in(unpacked(packed.as_py(), size.as_py()), order):
+                if len(at):
+                    doc = np.searchsorted(ends, at, "right")
+                    first = np.flatnonzero(np.diff(doc, prepend=-1))
+                    total[doc[first]] += np.add.reduceat(bits[known.get_indexer(gram_hashes(grams))], first)
+            perplexity = np.exp2(total / PARTS / np.maximum(signs, 1))
+            out.append(pa.table({**{c: about.field(c) for c in ("doc_id", "lang", "text_key")}, "has_words": pa.array(signs > 0), "perplexity": pa.array(perplexity, mask=signs == 0)}))
+        return pa.concat_tables(out)
+
+    texts = packed.filter("part is not null").select("group", "texts", "size", "about")
+    return texts.groupBy("group").cogroup(prices.groupBy("asker")).applyInArrow(score, "doc_id long, lang string, text_key long, has_words boolean, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -369,11 +347,10 @@ def thresholds(scored: DataFrame, labels: DataFrame, cfg: KneserNeyConfig) -> Da
 
 def judged(docs: DataFrame, labels: DataFrame, cfg: KneserNeyConfig) -> DataFrame:
     """(doc_id, lang, text_key, perplexity, threshold, kept): one row a document."""
-    postings = postings_of(docs, cfg)
-    counts = written(word_counts(postings, trusted_ids(labels).filter(~calibrates(cfg))), "kn-words")
-    model = train(counts, cfg)
-    scored = written(with_perplexity(postings, model, cfg), "kn-scored")
-    forget(postings, counts)
+    packed = packed_documents(docs, cfg)
+    model = train(gram_counts(packed, trusted_ids(labels).filter(~calibrates(cfg)), cfg), cfg)
+    scored = written(with_perplexity(packed, model), "kn-scored")
+    forget(packed)
     cuts = written(thresholds(scored, labels, cfg), "kn-cuts", 1)
     spare = [x["threshold"] for x in cuts.filter("pooled").collect()]  # one row
     own = cuts.filter("not pooled").select(F.col("lang").alias("own_lang"), F.col("threshold").alias("own"))
