@@ -18,7 +18,8 @@ size, and each group lists its distinct n-grams. The packed table is bucketed by
   prices bucket to bucket, so the texts are never shuffled. Costs are whole numbers, so equal texts
   score equally.
 
-No table of the model reaches the driver or is broadcast by this module. An n-gram in every text is
+No table of the model reaches the driver or is broadcast, however small: all of these joins are
+sort-merge joins. An n-gram in every text is
 one row a group. A text of any length is priced in slices of its characters.
 
 A document is kept if its perplexity is at most the quantile of its language's calibration
@@ -268,8 +269,8 @@ def train(counts: DataFrame, cfg: KneserNeyConfig) -> Model | None:
         seen = level.select("gram", "n", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
         contexts = seen.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("rest"))
         contexts = written(contexts, f"kn-context-{k}")
-        grams = seen.join(contexts, "context")
-        grams = grams.withColumn("lower", F.lit(floor)) if below is None else grams.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        grams = seen.join(contexts.hint("merge"), "context")
+        grams = grams.withColumn("lower", F.lit(floor)) if below is None else grams.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")).hint("merge"), "suffix")
         below = written(grams.select("gram", ((F.col("n") - off) / F.col("total") + F.col("rest") * F.col("lower")).alias("p")), f"kn-order-{k}")
         out.append((below, contexts.select("context", "rest")))
     forget(*levels)
@@ -286,8 +287,8 @@ def gram_probabilities(grams: DataFrame, model: Model) -> DataFrame:
     found = None
     for k, (rows, (seen, contexts)) in enumerate(zip(needed, model.orders, strict=True), 1):
         rows = rows.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
-        rows = rows.join(seen, "gram", "left").join(contexts, "context", "left")
-        rows = rows.withColumn("lower", F.lit(model.floor)) if found is None else rows.join(found.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        rows = rows.join(seen.hint("merge"), "gram", "left").join(contexts.hint("merge"), "context", "left")
+        rows = rows.withColumn("lower", F.lit(model.floor)) if found is None else rows.join(found.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")).hint("merge"), "suffix")
         found = rows.select("gram", F.coalesce("p", F.coalesce("rest", F.lit(1.0)) * F.col("lower")).alias("p"))
         if k == order - 2:
             found = written(found, f"kn-asked-{k}")
@@ -301,7 +302,7 @@ def with_perplexity(packed: DataFrame, model: Model | None) -> DataFrame:
     order = len(model.orders)
     asked = packed.filter("grams is not null").select(F.col("group").alias("asker"), F.explode("grams").alias("gram"))
     priced = gram_probabilities(written(asked.select("gram").distinct(), "kn-asked"), model)
-    prices = asked.join(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")), "gram")
+    prices = asked.join(priced.select("gram", F.round(-F.log2("p") * PARTS).cast("long").alias("bits")).hint("merge"), "gram")
 
     def score(texts: pa.Table, prices: pa.Table) -> pa.Table:
         known = np.frombuffer("".join(prices.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order)
