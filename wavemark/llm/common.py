@@ -50,6 +50,12 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def forget_bucketed(t: DataFrame) -> None:
+    """Deletes a table of `bucketed` that nothing will read again."""
+    t.sparkSession.sql(f"DROP TABLE {t.scratch_name}")
+    forget(t)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

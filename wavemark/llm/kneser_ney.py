@@ -19,8 +19,7 @@ size, and each group lists its distinct n-grams. The packed table is bucketed by
   score equally.
 
 No table of the model reaches the driver or is broadcast, however small: all of these joins are
-sort-merge joins. An n-gram in every text is
-one row a group. A text of any length is priced in slices of its characters.
+sort-merge joins. An n-gram in every text is one row a group. A text of any length is priced in slices of its characters.
 
 A document is kept if its perplexity is at most the quantile of its language's calibration
 documents. A language with fewer than `min_calibration` of these uses the quantile of all together.
@@ -45,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, forget, whole_row, written
+from .common import bucketed, forget, forget_bucketed, whole_row, written
 
 #: What stands before a word and what ends it: white space, which no word holds.
 START, END = 0x20, 0x0D
@@ -67,7 +66,7 @@ class KneserNeyConfig:
     quantile: float = 0.98
     min_calibration: int = 50
     held: int = 4
-    pack_bytes: int = 2 << 20
+    pack_bytes: int = 1 << 20
     group_bytes: int = 64 << 20
     group_grams: int = 1 << 20
 
@@ -119,7 +118,7 @@ class Distinct:
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             self.parts.append((found, np.stack([c[first] for c in grams], 1), np.bincount(code, minlength=len(found))))
             self.waiting += len(found)
-            if self.waiting > self.size + (1 << 19):
+            if self.waiting > self.size + (1 << 18):
                 self.merge()
 
     def merge(self) -> None:
@@ -351,7 +350,7 @@ def judged(docs: DataFrame, labels: DataFrame, cfg: KneserNeyConfig) -> DataFram
     packed = packed_documents(docs, cfg)
     model = train(gram_counts(packed, trusted_ids(labels).filter(~calibrates(cfg)), cfg), cfg)
     scored = written(with_perplexity(packed, model), "kn-scored")
-    forget(packed)
+    forget_bucketed(packed)
     cuts = written(thresholds(scored, labels, cfg), "kn-cuts", 1)
     spare = [x["threshold"] for x in cuts.filter("pooled").collect()]  # one row
     own = cuts.filter("not pooled").select(F.col("lang").alias("own_lang"), F.col("threshold").alias("own"))
