@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavemark.llm.chaining import ChainingConfig, aligned, chains_of, common_words, extend, long_windows, minimisers, passages, repeated_passages, word_hashes, words_of
+from wavemark.llm.chaining import EDGE, ChainingConfig, aligned, alike, chains_of, common_words, extend, long_windows, minimisers, passages, repeated_passages, strays, word_hashes, words_of
 
 CFG = ChainingConfig()
 
@@ -227,3 +228,42 @@ def test_ties_and_split_lists_change_nothing(spark):
     for cfg in (CFG, ChainingConfig(few=2, flush=60)):
         a, b = (sorted(map(tuple, repeated_passages(x, cfg).collect())) for x in (frame.repartition(4), frame.repartition(4)))
         assert {i for r in a for i in r[:2]} == set(range(120)) == {i for r in b for i in r[:2]}
+
+
+@pytest.mark.parametrize("seed", [60, 1, 2])
+def test_fuzzy_passages_of_common_parts_are_all_found(spark, seed):
+    """Parts of each passage stand in 60 more texts, so all lists are long and few hubs hold enough:
+    every text that comparing all pairs reports is reported."""
+    rows = interlopers(seed, 60)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x for r in got for x in (r.doc_id, r.other_doc_id)} == brute(rows)
+
+
+def test_two_groups_of_one_list_are_joined(spark):
+    """Both ways to go on from a common phrase are held by many, and one text of each way goes on like
+    no hub's: it is found with the one text that is like it."""
+    rng = random.Random(14)
+    own = lambda n: [f"o{rng.randrange(10**7)}" for _ in range(n)]
+    phrase, rest = own(20), own(40)
+    rows = [[*own(60), *phrase, *own(60)] for _ in range(40)]
+    rows += [[*own(30), *phrase, *(w if i % 8 else f"x{n}{i}" for i, w in enumerate(rest)), *own(30)] for n in range(2)]
+    rng.shuffle(rows)
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(2)).collect()
+    alike_ones = {i for i, r in enumerate(rows) if rest[1] in r}
+    assert {frozenset((r.doc_id, r.other_doc_id)) for r in got} == {frozenset(alike_ones)}
+
+
+def test_strays_are_what_most_of_a_list_is_not_joined_to():
+    edges = np.array([(7, k, k) for k in range(6)] + [(7, 1, 0), (7, 2, 9), (7, 1, 9), (7, 4, 3), (8, 1, 1), (8, 2, 2)], EDGE)
+    assert strays(edges, 2).tolist() == [(7, 3), (7, 4), (7, 5)]
+    assert strays(edges[-2:], 1).tolist() in ([(8, 1)], [(8, 2)]) and not len(strays(edges[:0], 2))
+
+
+@pytest.mark.parametrize("block", [3, 1_000])
+def test_rows_of_words_alike(block):
+    words = np.random.default_rng(2).integers(0, 30, (240, 25)).astype(np.uint32)
+    words[50:55] = words[10]
+    stray = np.arange(240) % 7 == 3
+    got = {(int(a), int(b)) for x in alike(words, np.arange(240), stray, 9, block) for a, b in zip(*x, strict=True)}
+    bags = [Counter(x for x in row.tolist() if x) for row in words]
+    assert got == {(a, b) for a in range(240) if stray[a] for b in range(240) if sum((bags[a] & bags[b]).values()) >= 9}

@@ -14,6 +14,14 @@ and are seeded once. Places that share a seed are its list, and lists are matche
   its first text. So no text whose window stands word for word in another is left without a match on
   all of it, however common its parts are.
 
+The hub need not be alike, nor hold as much. So lists of pairs that are still long are gone through
+again when passages are known: members whose places passages join to each other, directly or by way
+of others, need no more, and every place that is not joined to most of its list, a stray, is compared
+with all of the list. What is compared are the words around it, as many as a passage has on either
+side; two places go on to be chained and aligned if these share as many words as the least passage
+must agree in. No list, partner or candidate is left out; the price is a list's strays times its
+members, in blocks in memory, of which only what shares enough leaves the task.
+
 Matches of two texts are by all places in one against the first place, and the place of the same
 rank, in the other, so that words repeated over and over still chain. Within one text, a seed's place
 is matched with the place before it and the first, if they are `least_words` apart.
@@ -46,7 +54,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, session_broadcast, window_hashes, word_count, word_hashes, written
@@ -59,9 +67,15 @@ PAIR = np.dtype([("token", "<u8"), ("key", "<i8"), ("at", "<i4"), ("gap", "u1"),
 WINDOW = np.dtype([("token", "<u8"), ("key", "<i8"), ("at", "<i4")])
 MATCH = np.dtype([("a", "<i8"), ("b", "<i8"), ("x", "<i4"), ("y", "<i4")])
 ANCHOR = np.dtype([("x", "<i4"), ("y", "<i4")])
+#: A stretch of a text that a passage joins to another; that two texts of a list are joined; a place
+#: that is joined to few, by list and text.
+COVER = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("partner", "<i8")])
+EDGE = np.dtype([("token", "<u8"), ("key", "<i8"), ("partner", "<i8")])
+STRAY = np.dtype([("token", "<u8"), ("key", "<i8")])
 #: What a packed row holds: places of seeds, of pairs of seeds, of windows; matches of seeds, of
-#: windows; seeds whose list is long, and the texts that hold them.
-SEEDS, PAIRS, WINDOWS, MATCHES, RUNS, COMMON, HOLDERS = range(7)
+#: windows; seeds whose list is long, and the texts that hold them; pairs whose list is long; and of
+#: these lists covers, edges, strays, lists with strays, the words around places.
+SEEDS, PAIRS, WINDOWS, MATCHES, RUNS, COMMON, HOLDERS, LONG, COVERS, EDGES, STRAYS, OPEN, CONTEXTS = range(13)
 PACKED = "kind int, shard int, data binary"
 
 
@@ -128,18 +142,19 @@ def seeds_of(key: int, hashes: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
 
 
 def pairs_of(e: np.ndarray, common: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
-    """Pairs of a text's common seeds within least_words: neighbours, and such as are apart."""
+    """Pairs of a text's seeds within least_words, of which one is common: all that are apart, and
+    neighbours that both are."""
     out = []
-    for step in range(1, cfg.least_words):
-        i = np.flatnonzero(common[: len(e) - step] & common[step:]) if step < len(e) else np.zeros(0, np.int64)
-        gap = e["at"][i + step] - e["at"][i]
-        fine = gap <= cfg.least_words - cfg.k
-        if not fine.any():
+    for step in range(1, len(e)):
+        gap = e["at"][step:] - e["at"][:-step]
+        near = gap <= cfg.least_words - cfg.k
+        if not near.any():
             break
-        i, gap = (v[fine & ((step == 1) | (gap >= cfg.apart))] for v in (i, gap))
+        one, two = common[:-step], common[step:]
+        i = np.flatnonzero(near & (((gap >= cfg.apart) & (one | two)) | (one & two & (step == 1))))
         part = np.zeros(len(i), PAIR)
         part["token"] = mix64(e["token"][i] ^ mix64(e["token"][i + step]))
-        part["key"], part["at"], part["gap"] = e["key"][i], e["at"][i], gap
+        part["key"], part["at"], part["gap"] = e["key"][i], e["at"][i], gap[i]
         out.append(part)
     return np.concatenate(out) if out else np.zeros(0, PAIR)
 
@@ -215,14 +230,14 @@ class Sink:
     def __init__(self, shards: int) -> None:
         self.shards, self.rows = shards, []
 
-    def add(self, kind: int, e: np.ndarray, shard: int | None = None) -> None:
-        """Rows go to the shard of their token, or all to one."""
+    def add(self, kind: int, e: np.ndarray, shard: int | None = None, by: str = "token") -> None:
+        """Rows go to the shard of their token, or of another field, or all to one."""
         if not len(e):
             return
         if shard is not None:
             self.rows.append((kind, shard % self.shards, e.tobytes()))
             return
-        at = (mix64(np.ascontiguousarray(e["token"])) % np.uint64(self.shards)).astype(np.int64)
+        at = (mix64(np.ascontiguousarray(e[by]).view(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         e, at = e[order], at[order]
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
@@ -497,11 +512,31 @@ def common_windows(hashes: np.ndarray, e: np.ndarray, common: np.ndarray, cfg: C
     return out
 
 
-def _common(docs: DataFrame, common: DataFrame, holders: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
-    """Matches of pairs and windows of common seeds. Texts without such seeds are told by a filter of
-    fixed size and not read again."""
-    bits = membership(common, "number", True), membership(holders, "number", True)
-    tokens, keys = (session_broadcast(docs.sparkSession, b, b.nbytes, 1 << 23) for b in bits)
+def _filter(spark: SparkSession, numbers: DataFrame):
+    """A broadcast filter of fixed size that tells numbers that are not there."""
+    bits = membership(numbers, "number", True)
+    return session_broadcast(spark, bits, bits.nbytes, 1 << 23)
+
+
+def _held(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, keys: np.ndarray, cfg: ChainingConfig) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, hashes of words, seeds, whether these are common) of each distinct text that may hold
+    common seeds."""
+    seen: set[int] = set()
+    for batch in batches:
+        batch = batch.filter(pa.array(may_hold(keys, batch.column(0).to_numpy() & (FILTER_BITS - 1))))
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if key in seen:
+                continue
+            seen.add(key)
+            hashes = word_hashes(words_of(text.as_py()))
+            e = seeds_of(key, hashes, cfg)
+            if len(e):
+                yield key, hashes, e, may_hold(tokens, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))
+
+
+def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) -> DataFrame:
+    """Matches of pairs and windows of common seeds, and pairs whose list is long. Texts without such
+    seeds are told by a filter and not read again."""
     far = cfg.least_words - cfg.k
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,26 +560,14 @@ def _common(docs: DataFrame, common: DataFrame, holders: DataFrame, cfg: Chainin
             at = np.where(columns[0].to_numpy() == MATCHES, spread % shards, columns[1].to_numpy()).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(at), *columns], ["at", "kind", "shard", "data"])
 
-        seen: set[int] = set()
         windows, pairs, held = [], [], 0
-        marks = tokens.value
-        for batch in batches:
-            batch = batch.filter(pa.array(may_hold(keys.value, batch.column(0).to_numpy() & (FILTER_BITS - 1))))
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                hashes = word_hashes(words_of(text.as_py()))
-                e = seeds_of(key, hashes, cfg)
-                if not len(e):
-                    continue
-                known = may_hold(marks, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))
-                windows.append(common_windows(hashes, e, known, cfg))
-                pairs.append(pairs_of(e, known, cfg))
-                held += len(windows[-1]) + len(pairs[-1])
-                if held > cfg.flush:
-                    yield spill(windows, pairs)
-                    windows, pairs, held = [], [], 0
+        for _, hashes, e, known in _held(batches, tokens.value, keys.value, cfg):
+            windows.append(common_windows(hashes, e, known, cfg))
+            pairs.append(pairs_of(e, known, cfg))
+            held += len(windows[-1]) + len(pairs[-1])
+            if held > cfg.flush:
+                yield spill(windows, pairs)
+                windows, pairs, held = [], [], 0
         if held:
             yield spill(windows, pairs)
 
@@ -561,19 +584,228 @@ def _common(docs: DataFrame, common: DataFrame, holders: DataFrame, cfg: Chainin
             long = lists.longer(cfg.few)
             sink.add(MATCHES, lists.matches(*lists.partners(~long, long & False), gaps=True), spread)
             sink.add(MATCHES, lists.matches(*lists.partners(long & False, long, False)), spread)
+            sink.add(LONG, lists.e["token"][lists.start[lists.first[long]]], spread)
         made = pa.table(sink.columns(), ["kind", "shard", "data"])
         return pa.concat_tables([made, rows.select(["kind", "shard", "data"]).filter(pc.equal(rows.column("kind"), MATCHES)).cast(made.schema)])
 
     return docs.select("key", "text").mapInArrow(deal, f"at int, {PACKED}").groupBy("at").applyInArrow(meet, PACKED)
 
 
-def _matches(docs: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
+def distinct(e: np.ndarray) -> np.ndarray:
+    """The distinct rows, in the order of their fields."""
+    e = e[np.lexsort([e[c] for c in e.dtype.names[::-1]])]
+    new = np.ones(len(e), bool)
+    if len(e):
+        new[1:] = np.any([e[c][1:] != e[c][:-1] for c in e.dtype.names], axis=0)
+    return e[new]
+
+
+def node(token: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A number for a text in a list."""
+    return mix64(token ^ mix64(np.ascontiguousarray(key).view(np.uint64)))
+
+
+def strays(edges: np.ndarray, few: int) -> np.ndarray:
+    """Of each list with more than `few` texts, those that edges do not join to most of it. Each text
+    has an edge to itself."""
+    own = distinct(edges[edges["key"] == edges["partner"]][["token", "key"]].astype(STRAY))
+    one, two = node(edges["token"], edges["key"]), node(edges["token"], edges["partner"])
+    nodes, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+    one, two = at[: len(edges)], at[len(edges) :]
+    one, two = one[one != two], two[one != two]
+    low = np.arange(len(nodes))
+    while True:
+        near = low.copy()
+        np.minimum.at(near, one, low[two])
+        np.minimum.at(near, two, near[one])
+        near = near[near]
+        if (near == low).all():
+            break
+        low = near
+    group = low[np.searchsorted(nodes, node(own["token"], own["key"]))]
+    new = np.concatenate([[True], own["token"][1:] != own["token"][:-1]]) if len(own) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(own)))
+    # A group lies in one list, so how many of a list's texts are in it is its number of texts.
+    times = np.bincount(group, minlength=len(nodes))
+    found = np.zeros(len(own), bool)
+    for i, n in zip(first[size > few].tolist(), size[size > few].tolist(), strict=True):
+        g = group[i : i + n]
+        found[i : i + n] = g != g[times[g].argmax()]
+    return own[found]
+
+
+def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
+    """The words around a text's places in each list: all that its places there have, each as often as
+    the place that has most of it, in one or more rows."""
+    reach, width = cfg.least_words, 3 * cfg.least_words
+    words = np.concatenate([np.zeros(reach, np.uint32), np.maximum(hashes.astype(np.uint32), 1), np.zeros(width, np.uint32)]).astype(np.uint64)
+    token, owner = np.unique(e["token"], return_inverse=True)
+    held = np.zeros(0, np.uint64)
+    for i in range(0, len(e), 2_000):
+        some = e[i : i + 2_000]
+        around = words[some["at"][:, None] + np.arange(width)]
+        around[np.arange(width) >= some["gap"][:, None] + cfg.k + 2 * reach] = 0
+        around.sort(axis=1)
+        place = np.broadcast_to(np.arange(width), around.shape)
+        begin = np.ones(around.shape, bool)
+        begin[:, 1:] = around[:, 1:] != around[:, :-1]
+        again = place - np.maximum.accumulate(np.where(begin, place, 0), axis=1)
+        codes = owner[i : i + 2_000, None].astype(np.uint64) << np.uint64(40) | around << np.uint64(8) | again.astype(np.uint64)
+        held = np.unique(np.concatenate([held, codes[around > 0]]))
+    owner = (held >> np.uint64(40)).astype(np.int64)
+    size = np.bincount(owner, minlength=len(token))
+    rows = -(-size // width)
+    at = np.arange(len(held)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros(int(rows.sum()), np.dtype([*STRAY.descr, ("words", "<u4", (width,))]))
+    out["token"], out["key"] = np.repeat(token, rows), e["key"][0]
+    out["words"][np.repeat(np.cumsum(rows) - rows, size) + at // width, at % width] = (held >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out
+
+
+def numbered(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Owner and number, in the order of numbers, of each word, told apart from its earlier ones of
+    the owner, that several owners hold, and how many numbers there are. 0 is no word."""
+    row, at = np.nonzero(words)
+    owner, word = owner[row], words[row, at]
+    order = np.lexsort((word, owner))
+    owner, word = owner[order], word[order]
+    begin = np.ones(len(word), bool)
+    begin[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+    again = np.arange(len(word)) - np.maximum.accumulate(np.where(begin, np.arange(len(word)), 0))
+    _, number, times = np.unique(word.astype(np.uint64) << np.uint64(32) | again.astype(np.uint64), return_inverse=True, return_counts=True)
+    fine = times > 1
+    owner, number = owner[fine[number]], (np.cumsum(fine) - 1)[number[fine[number]]]
+    order = np.argsort(number, kind="stable")
+    return owner[order], number[order], int(fine.sum())
+
+
+def alike(words: np.ndarray, owner: np.ndarray, stray: np.ndarray, least: int, block: int = 1_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Owners of rows of words, of which one is a stray, that share `least` words, block by block."""
+    left = np.flatnonzero(stray)
+    for i in range(0, len(left), block):
+        one = left[i : i + block]
+        mine = np.isin(owner, one)
+        for j in range(0, len(stray), block):
+            two = np.arange(j, min(len(stray), j + block))
+            his = (owner >= j) & (owner < j + block)
+            row, number, many = numbered(np.concatenate([words[mine], words[his]]), np.concatenate([np.searchsorted(one, owner[mine]), len(one) + owner[his] - j]))
+            ends = np.searchsorted(number, np.arange(many + 1))
+            shared = np.zeros((len(one), len(two)), np.float32)
+            often = np.diff(ends) > 50
+            # Words that many hold by a product of matrices, the rest one by one.
+            for some in np.array_split(np.flatnonzero(often), int(often.sum()) // 1_000 + 1):
+                held = np.zeros((len(one) + len(two), len(some)), np.float32)
+                for c, w in enumerate(some.tolist()):
+                    held[row[ends[w] : ends[w + 1]], c] = 1
+                shared += held[: len(one)] @ held[len(one) :].T
+            for w in np.flatnonzero(~often).tolist():
+                r = row[ends[w] : ends[w + 1]]
+                a, b = r[r < len(one)], r[r >= len(one)] - len(one)
+                if len(a) and len(b):
+                    shared[a[:, None], b] += 1
+            a, b = np.nonzero(shared >= least)
+            yield one[a], two[b]
+
+
+def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame | None:
+    """Matches of the strays of long lists of pairs with all of their lists, given the passages
+    found; None if there are no strays. `lists`: the pairs whose list is long."""
+    wanted = _filter(docs.sparkSession, lists)
+    texts = docs.select("key", "text")
+
+    def chosen(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, hashes, e, known in _held(batches, tokens.value, keys.value, cfg):
+            e = pairs_of(e, known, cfg)
+            e = e[may_hold(marks, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))]
+            if len(e):
+                yield hashes, e
+
+    def packed(parts: Iterator[tuple[int, np.ndarray]], by: str) -> Iterator[pa.RecordBatch]:
+        sink, rows, held = Sink(shards), {}, 0
+
+        def full() -> pa.RecordBatch:
+            for kind in [*rows]:
+                sink.add(kind, np.concatenate(rows.pop(kind)), by=by)
+            return pa.RecordBatch.from_arrays(sink.columns(), ["kind", "shard", "data"])
+
+        for kind, part in parts:
+            rows.setdefault(kind, []).append(part)
+            held += part.nbytes
+            if held > cfg.shard_bytes // 2:
+                yield full()
+                held = 0
+        if held:
+            yield full()
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(((PAIRS, e) for _, e in chosen(batches, wanted.value)), "key")
+
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part(batch: pa.RecordBatch) -> tuple[int, np.ndarray]:
+            out = np.empty(batch.num_rows, COVER)
+            for name, column in zip(COVER.names, batch.columns, strict=True):
+                out[name] = column.to_numpy()
+            return COVERS, out
+
+        yield from packed(map(part, batches), "key")
+
+    def join(rows: pa.Table) -> pa.Table:
+        """Edges of the places of a text with itself and with the texts that passages over them join."""
+        sink, e, c = Sink(shards), unpacked(rows, PAIRS, PAIR), unpacked(rows, COVERS, COVER)
+        e, c = e[np.argsort(e["key"], kind="stable")], c[np.argsort(c["key"], kind="stable")]
+        own = np.empty(len(e), EDGE)
+        own["token"], own["key"], own["partner"] = e["token"], e["key"], e["key"]
+        out, ids = [own], np.unique(c["key"])
+        for a, b, i, j in zip(*(np.searchsorted(v["key"], ids, side).tolist() for v in (e, c) for side in ("left", "right")), strict=True):
+            for n in range(a, b, 1_000):
+                some, over = e[n : min(b, n + 1_000)], c[i:j]
+                x, y = np.nonzero((some["at"][:, None] >= over["lo"]) & (some["at"][:, None] + some["gap"][:, None] + cfg.k <= over["hi"]))
+                out.append(own[n + x])
+                out[-1]["partner"] = over["partner"][y]
+        sink.add(EDGES, distinct(np.concatenate(out)))
+        return pa.table(sink.columns(), ["kind", "shard", "data"])
+
+    def find(rows: pa.Table) -> pa.Table:
+        sink, lone = Sink(shards), strays(unpacked(rows, EDGES, EDGE), cfg.few)
+        sink.add(STRAYS, lone)
+        sink.add(OPEN, np.unique(lone["token"]), 0)
+        return pa.table(sink.columns(), ["kind", "shard", "data"])
+
+    over = found.filter("a <> b").select(F.col("a").alias("key"), F.col("start").cast("int").alias("lo"), F.col("stop").cast("int").alias("hi"), F.col("b").alias("partner"))
+    edges = texts.mapInArrow(places, PACKED).unionByName(over.mapInArrow(covers, PACKED)).groupBy("shard").applyInArrow(join, PACKED)
+    lone = written(edges.groupBy("shard").applyInArrow(find, PACKED), "chain-strays")
+    if not lone.take(1):
+        return None
+    open_ = _filter(docs.sparkSession, _numbers(lone, OPEN))
+    bag = np.dtype([*STRAY.descr, ("words", "<u4", (3 * cfg.least_words,))])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed((x for hashes, e in chosen(batches, open_.value) for x in ((PAIRS, e), (CONTEXTS, bags_of(hashes, e, cfg)))), "token")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sink, spread = Sink(shards), rows.column("shard")[0].as_py()
+        lone, e, bags = unpacked(rows, STRAYS, STRAY), unpacked(rows, PAIRS, PAIR), unpacked(rows, CONTEXTS, bag)
+        lists = Lists(e[np.isin(e["token"], lone["token"])])
+        bags = bags[np.isin(bags["token"], lone["token"])]
+        bags = bags[np.lexsort((bags["key"], bags["token"]))]
+        owner = np.cumsum(np.concatenate([[False], (bags["token"][1:] != bags["token"][:-1]) | (bags["key"][1:] != bags["key"][:-1])])) if len(bags) else np.zeros(0, np.int64)
+        stray = np.isin(node(lists.e["token"][lists.start], lists.e["key"][lists.start]), node(lone["token"], lone["key"]))
+        for i, n in zip(lists.first.tolist(), lists.texts.tolist(), strict=True):
+            a, b = np.searchsorted(owner, [i, i + n])
+            for x, y in alike(bags["words"][a:b], owner[a:b] - i, stray[i : i + n], int(np.ceil(cfg.identity * cfg.least_words))):
+                x, y = np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
+                x, y = np.divmod(np.unique(x * n + y), n)
+                if len(x):
+                    sink.add(MATCHES, lists.matches(i + x, i + y, gaps=True), spread)
+        return pa.table(sink.columns(), ["kind", "shard", "data"])
+
+    return written(lone.filter(F.col("kind") == STRAYS).unionByName(texts.mapInArrow(contexts, PACKED)).groupBy("shard").applyInArrow(compare, PACKED), "chain-met")
+
+
+def _dealt(packed: DataFrame, shards: int) -> DataFrame:
     """(shard, kind, data): packed matches by the shard of their two texts: a seed's length, or with
     kind RUNS least_words, of words of text a from word x is that of text b from word y."""
-    packed = written(_lists(_seeds(docs, cfg, shards), cfg, shards), "chain-lists")
-    common = written(_numbers(packed, COMMON).distinct(), "chain-common")
-    if common.take(1):
-        packed = packed.unionByName(written(_common(docs, common, _numbers(packed, HOLDERS).distinct(), cfg, shards), "chain-again"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -659,15 +891,25 @@ def _passages(left: DataFrame, right: DataFrame, chains: DataFrame, cfg: Chainin
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, anchors, lo_a, words_a, lo_b, words_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *ids, anchors, lo_a, words_a, lo_b, words_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.frombuffer(anchors, ANCHOR)
                 for x0, x1, y0, y1, agree in passages(np.frombuffer(words_a, np.uint32), np.frombuffer(words_b, np.uint32), at["x"] - lo_a, at["y"] - lo_b, cfg):
-                    out.append((a, b, x0 + lo_a, x1 + lo_a, y0 + lo_b, y1 + lo_b, agree / max(x1 - x0, y1 - y0)))
+                    out.append((*ids, x0 + lo_a, x1 + lo_a, y0 + lo_b, y1 + lo_b, agree / max(x1 - x0, y1 - y0)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 6, pa.float64()), strict=True)], ["doc_id", "other_doc_id", "start", "stop", "other_start", "other_stop", "identity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 8, pa.float64()), strict=True)], ["a", "b", "doc_id", "other_doc_id", "start", "stop", "other_start", "other_stop", "identity"])
 
     rows = chains.join(left.select("chain", F.col("lo").alias("lo_a"), F.col("words").alias("words_a")), "chain").join(right.select("chain", F.col("lo").alias("lo_b"), F.col("words").alias("words_b")), "chain")
-    return rows.select("id_a", "id_b", "anchors", "lo_a", "words_a", "lo_b", "words_b").mapInArrow(align, "doc_id long, other_doc_id long, start long, stop long, other_start long, other_stop long, identity double")
+    return rows.select("a", "b", "id_a", "id_b", "anchors", "lo_a", "words_a", "lo_b", "words_b").mapInArrow(align, "a long, b long, doc_id long, other_doc_id long, start long, stop long, other_start long, other_stop long, identity double")
+
+
+def _found(rows: DataFrame, ids: DataFrame, packed: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
+    """The passages of packed matches, with the keys a and b of their texts."""
+    chains = _chains(_dealt(packed, shards), cfg)
+    chains = chains.join(ids.select(F.col("key").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("id_b")), "b")
+    chains = written(chains.withColumn("chain", F.monotonically_increasing_id()), "chain-chains")
+    sides = [chains.select("chain", F.lit(i).alias("side"), F.col(k).alias("key"), F.col(f"id_{k}").alias("id"), F.col(f"{p}0").alias("lo"), F.col(f"{p}1").alias("hi")) for i, (k, p) in enumerate((("a", "x"), ("b", "y")))]
+    slices = written(_slices(rows, sides[0].unionByName(sides[1]), cfg), "chain-slices")
+    return _passages(slices.filter("side = 0"), slices.filter("side = 1"), chains, cfg)
 
 
 def repeated_passages(docs: DataFrame, cfg: ChainingConfig | None = None) -> DataFrame:
@@ -681,13 +923,22 @@ def repeated_passages(docs: DataFrame, cfg: ChainingConfig | None = None) -> Dat
     words = classes.agg(F.sum(F.col("words") / F.col("size"))).first()[0] or 0
     size = words * SEED.itemsize * 2 / (cfg.window + 1)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // cfg.shard_bytes) + 1)
-    chains = _chains(_matches(rows, cfg, shards), cfg)
     ids = classes.select("key", "id")
-    chains = chains.join(ids.select(F.col("key").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("id_b")), "b")
-    chains = written(chains.withColumn("chain", F.monotonically_increasing_id()), "chain-chains")
-    sides = [chains.select("chain", F.lit(i).alias("side"), F.col(k).alias("key"), F.col(f"id_{k}").alias("id"), F.col(f"{p}0").alias("lo"), F.col(f"{p}1").alias("hi")) for i, (k, p) in enumerate((("a", "x"), ("b", "y")))]
-    slices = written(_slices(rows, sides[0].unionByName(sides[1]), cfg), "chain-slices")
-    found = _passages(slices.filter("side = 0"), slices.filter("side = 1"), chains, cfg)
+    packed = written(_lists(_seeds(rows, cfg, shards), cfg, shards), "chain-lists")
+    common = written(_numbers(packed, COMMON).distinct(), "chain-common")
+    if not common.take(1):
+        found = _found(rows, ids, packed, cfg, shards)
+    else:
+        tokens, keys = _filter(spark, common), _filter(spark, _numbers(packed, HOLDERS).distinct())
+        again = written(_common(rows, tokens, keys, cfg, shards), "chain-again")
+        found = _found(rows, ids, packed.unionByName(again), cfg, shards)
+        lists = again.filter(F.col("kind") == LONG)
+        if lists.take(1):
+            found = written(found, "chain-found")
+            met = _strays(rows, tokens, keys, _numbers(lists, LONG), found, cfg, shards)
+            if met is not None and met.take(1):
+                found = found.unionByName(_found(rows, ids, met, cfg, shards)).distinct()
+    found = found.drop("a", "b")
     copies = narrow.join(classes.filter("size > 1").select("key", "id"), "key").filter((F.col("doc_id") != F.col("id")) & (F.col("n") >= cfg.least_words))
     copies = copies.select("doc_id", F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"), F.lit(0).cast("long").alias("other_start"), F.col("n").alias("other_stop"), F.lit(1.0).alias("identity"))
     return found.unionByName(copies)
