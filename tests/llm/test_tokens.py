@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from wavemark.llm.common import fresh_path
-from wavemark.llm.tokens import ChunkTokenizer, SequenceFile, SequenceWriter, TokenFileConfig, read_files, round_trip, sequence_schema, write_files
+from wavemark.llm.tokens import ChunkTokenizer, SequenceFile, SequenceWriter, TokenFileConfig, deflated, inflated, read_files, round_trip, sequence_schema, write_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 CFG = TokenFileConfig(PATH, length=32, rows=4, docs_per_file=40)
@@ -121,3 +121,12 @@ def test_a_torn_file_is_noticed(spark, docs):
         w.write_table(table.slice(1))
     with pytest.raises(Exception, match="does not hold"):
         read_files(spark, files, out).collect()
+
+
+def test_texts_travel_small(corpus):
+    texts = [r[1] for r in corpus]
+    raw = [x.encode() if x is not None else None for x in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw))), pa.array(range(len(raw))), pa.array(raw, pa.binary())], ["doc_id", "text_key", "text"])
+    (out,) = deflated([batch])
+    assert inflated(out.column(2), out.column(3)) == [x or "" for x in texts]
+    assert out.column(3).nbytes < 0.6 * sum(len(x or b"") for x in raw)
