@@ -57,7 +57,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, session_broadcast, window_hashes, word_count, word_hashes, written
+from .common import mix64, session_broadcast, slices, window_hashes, word_count, word_hashes, written
 from .graph import FILTER_BITS, may_hold, membership, slot_of
 
 #: A place of a seed, or of two, `gap` words apart. `long` marks what a task passes on for more texts
@@ -248,6 +248,14 @@ class Sink:
         return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then what the task has freed goes back to the machine, since workers live on."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def unpacked(rows: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     found = [np.frombuffer(x, dtype) for k, x in zip(rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True) if k == kind]
     return np.concatenate(found) if found else np.zeros(0, dtype)
@@ -463,7 +471,7 @@ def _seeds(docs: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
         if held:
             yield spill(rows)
 
-    return docs.select("key", "text").mapInArrow(deal, f"at int, {PACKED}")
+    return docs.select("key", "text").mapInArrow(lambda batches: given_back(deal(batches)), f"at int, {PACKED}")
 
 
 def _lists(seeds: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
@@ -588,7 +596,7 @@ def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) ->
         made = pa.table(sink.columns(), ["kind", "shard", "data"])
         return pa.concat_tables([made, rows.select(["kind", "shard", "data"]).filter(pc.equal(rows.column("kind"), MATCHES)).cast(made.schema)])
 
-    return docs.select("key", "text").mapInArrow(deal, f"at int, {PACKED}").groupBy("at").applyInArrow(meet, PACKED)
+    return docs.select("key", "text").mapInArrow(lambda batches: given_back(deal(batches)), f"at int, {PACKED}").groupBy("at").applyInArrow(meet, PACKED)
 
 
 def distinct(e: np.ndarray) -> np.ndarray:
@@ -869,7 +877,7 @@ def _slices(docs: DataFrame, spans: DataFrame, cfg: ChainingConfig) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 200):
             out, lows = [], []
             for text, lo, hi in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 if text is not last:
@@ -882,14 +890,14 @@ def _slices(docs: DataFrame, spans: DataFrame, cfg: ChainingConfig) -> DataFrame
 
     texts = docs.select(slot_of(F.col("key")).alias("slot"), "key", F.col("doc_id").alias("id"), "text").mapInArrow(only, "key long, id long, text binary")
     rows = spans.join(texts, ["key", "id"]).select("chain", "side", "text", "lo", "hi")
-    return rows.mapInArrow(cut, "chain long, side int, lo int, words binary").dropDuplicates(["chain", "side"])
+    return rows.mapInArrow(lambda batches: given_back(cut(batches)), "chain long, side int, lo int, words binary").dropDuplicates(["chain", "side"])
 
 
 def _passages(left: DataFrame, right: DataFrame, chains: DataFrame, cfg: ChainingConfig) -> DataFrame:
     """Aligns each chain on the words of both texts and keeps what is long and alike enough."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for *ids, anchors, lo_a, words_a, lo_b, words_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.frombuffer(anchors, ANCHOR)
