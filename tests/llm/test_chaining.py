@@ -1,12 +1,14 @@
 import random
+import resource
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavemark.llm.chaining import EDGE, ChainingConfig, aligned, alike, chains_of, common_words, extend, long_windows, minimisers, passages, repeated_passages, strays, word_hashes, words_of
+from wavemark.llm.chaining import EDGE, ChainingConfig, aligned, alike, chains_of, common_words, extend, given_back, long_windows, minimisers, passages, repeated_passages, strays, word_hashes, words_of
 
 CFG = ChainingConfig()
 
@@ -267,3 +269,14 @@ def test_rows_of_words_alike(block):
     got = {(int(a), int(b)) for x in alike(words, np.arange(240), stray, 9, block) for a, b in zip(*x, strict=True)}
     bags = [Counter(x for x in row.tolist() if x) for row in words]
     assert got == {(a, b) for a in range(240) if stray[a] for b in range(240) if sum((bags[a] & bags[b]).values()) >= 9}
+
+
+def test_tasks_give_freed_memory_back():
+    """Arrays too small to be mapped one by one, freed below one that stays."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize()
+    arrays = [np.ones(12_000) for _ in range(2_000)]
+    last, full = arrays.pop(), resident()
+    assert list(given_back(iter([1, 2]))) == [1, 2]
+    del arrays
+    list(given_back(iter([])))
+    assert full - resident() > 100 << 20 and last.all()

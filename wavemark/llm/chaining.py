@@ -47,8 +47,9 @@ are not reported; empty tables give an empty result; other columns are not read,
 
 from __future__ import annotations
 
+import ctypes
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,9 @@ STRAY = np.dtype([("token", "<u8"), ("key", "<i8")])
 #: these lists covers, edges, strays, lists with strays, the words around places.
 SEEDS, PAIRS, WINDOWS, MATCHES, RUNS, COMMON, HOLDERS, LONG, COVERS, EDGES, STRAYS, OPEN, CONTEXTS = range(13)
 PACKED = "kind int, shard int, data binary"
+#: How many times more shards the places of long lists of pairs have than seeds; places that are
+#: matched at a time.
+FINER, AT_ONCE = 8, 50_000
 
 
 @dataclass(frozen=True)
@@ -221,7 +225,7 @@ class Lists:
             more["x"] += e["gap"][x]
             more["y"] += e["gap"][y]
             out = np.concatenate([out, more])
-        return np.unique(out)
+        return distinct(out)
 
 
 class Sink:
@@ -248,12 +252,31 @@ class Sink:
         return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the machine, since workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; then what the task has freed goes back to the machine, since workers live on."""
+    """The batches; then what the task has freed is given back."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def freeing(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same work on a group; then what it has freed is given back."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = work(rows)
+        give_back()
+        return out
+
+    return run
 
 
 def unpacked(rows: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
@@ -490,7 +513,7 @@ def _lists(seeds: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
         made = pa.table(sink.columns(), ["kind", "shard", "data"])
         return pa.concat_tables([made, rows.select(["kind", "shard", "data"]).filter(pc.not_equal(rows.column("kind"), SEEDS)).cast(made.schema)])
 
-    return seeds.groupBy("at").applyInArrow(meet, PACKED)
+    return seeds.groupBy("at").applyInArrow(freeing(meet), PACKED)
 
 
 def _numbers(packed: DataFrame, kind: int) -> DataFrame:
@@ -596,7 +619,7 @@ def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) ->
         made = pa.table(sink.columns(), ["kind", "shard", "data"])
         return pa.concat_tables([made, rows.select(["kind", "shard", "data"]).filter(pc.equal(rows.column("kind"), MATCHES)).cast(made.schema)])
 
-    return docs.select("key", "text").mapInArrow(lambda batches: given_back(deal(batches)), f"at int, {PACKED}").groupBy("at").applyInArrow(meet, PACKED)
+    return docs.select("key", "text").mapInArrow(lambda batches: given_back(deal(batches)), f"at int, {PACKED}").groupBy("at").applyInArrow(freeing(meet), PACKED)
 
 
 def distinct(e: np.ndarray) -> np.ndarray:
@@ -647,7 +670,7 @@ def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarra
     """The words around a text's places in each list: all that its places there have, each as often as
     the place that has most of it, in one or more rows."""
     reach, width = cfg.least_words, 3 * cfg.least_words
-    words = np.concatenate([np.zeros(reach, np.uint32), np.maximum(hashes.astype(np.uint32), 1), np.zeros(width, np.uint32)]).astype(np.uint64)
+    words = np.concatenate([np.zeros(reach, np.uint32), np.maximum(hashes.astype(np.uint32), 1), np.zeros(width, np.uint32)])
     token, owner = np.unique(e["token"], return_inverse=True)
     held = np.zeros(0, np.uint64)
     for i in range(0, len(e), 2_000):
@@ -655,11 +678,11 @@ def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarra
         around = words[some["at"][:, None] + np.arange(width)]
         around[np.arange(width) >= some["gap"][:, None] + cfg.k + 2 * reach] = 0
         around.sort(axis=1)
-        place = np.broadcast_to(np.arange(width), around.shape)
+        place = np.broadcast_to(np.arange(width, dtype=np.int16), around.shape)
         begin = np.ones(around.shape, bool)
         begin[:, 1:] = around[:, 1:] != around[:, :-1]
-        again = place - np.maximum.accumulate(np.where(begin, place, 0), axis=1)
-        codes = owner[i : i + 2_000, None].astype(np.uint64) << np.uint64(40) | around << np.uint64(8) | again.astype(np.uint64)
+        again = place - np.maximum.accumulate(np.where(begin, place, np.int16(0)), axis=1)
+        codes = owner[i : i + 2_000, None].astype(np.uint64) << np.uint64(40) | around.astype(np.uint64) << np.uint64(8) | again.astype(np.uint64)
         held = np.unique(np.concatenate([held, codes[around > 0]]))
     owner = (held >> np.uint64(40)).astype(np.int64)
     size = np.bincount(owner, minlength=len(token))
@@ -689,15 +712,15 @@ def numbered(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def alike(words: np.ndarray, owner: np.ndarray, stray: np.ndarray, least: int, block: int = 1_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Owners of rows of words, of which one is a stray, that share `least` words, block by block."""
-    left = np.flatnonzero(stray)
-    for i in range(0, len(left), block):
-        one = left[i : i + block]
-        mine = np.isin(owner, one)
-        for j in range(0, len(stray), block):
-            two = np.arange(j, min(len(stray), j + block))
-            his = (owner >= j) & (owner < j + block)
-            row, number, many = numbered(np.concatenate([words[mine], words[his]]), np.concatenate([np.searchsorted(one, owner[mine]), len(one) + owner[his] - j]))
+    """Owners of rows of words, of which one is a stray, that share `least` words, block by block; the
+    rows come in the order of owners."""
+    start = np.searchsorted(owner, np.arange(len(stray) + 1))
+    rows = np.diff(start)
+    left, rest = ([x[i : i + block] for i in range(0, len(x), block)] for x in (np.flatnonzero(stray), np.flatnonzero(~stray)))
+    for i, one in enumerate(left):
+        for j, two in enumerate(left[: i + 1] + rest):
+            both = np.concatenate([one, two])
+            row, number, many = numbered(words[within(start[both], rows[both])], np.repeat(np.arange(len(both)), rows[both]))
             ends = np.searchsorted(number, np.arange(many + 1))
             shared = np.zeros((len(one), len(two)), np.float32)
             often = np.diff(ends) > 50
@@ -713,7 +736,9 @@ def alike(words: np.ndarray, owner: np.ndarray, stray: np.ndarray, least: int, b
                 if len(a) and len(b):
                     shared[a[:, None], b] += 1
             a, b = np.nonzero(shared >= least)
-            yield one[a], two[b]
+            a, b = one[a], two[b]
+            # Two blocks of strays meet once, for both.
+            yield (np.concatenate([a, b]), np.concatenate([b, a])) if j < i else (a, b)
 
 
 def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame | None:
@@ -721,9 +746,11 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
     found; None if there are no strays. `lists`: the pairs whose list is long."""
     wanted = _filter(docs.sparkSession, lists)
     texts = docs.select("key", "text")
+    # What is told of a list's places takes far more than its seeds, so tasks take fewer lists at once.
+    shards = FINER * shards
 
-    def chosen(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, hashes, e, known in _held(batches, tokens.value, keys.value, cfg):
+    def chosen(batches: Iterator[pa.RecordBatch], marks: np.ndarray, holders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, hashes, e, known in _held(batches, tokens.value, holders, cfg):
             e = pairs_of(e, known, cfg)
             e = e[may_hold(marks, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))]
             if len(e):
@@ -747,7 +774,7 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
             yield full()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed(((PAIRS, e) for _, e in chosen(batches, wanted.value)), "key")
+        yield from packed(((PAIRS, e) for _, e in chosen(batches, wanted.value, keys.value)), "key")
 
     def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part(batch: pa.RecordBatch) -> tuple[int, np.ndarray]:
@@ -775,28 +802,45 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
         return pa.table(sink.columns(), ["kind", "shard", "data"])
 
     def find(rows: pa.Table) -> pa.Table:
-        sink, lone = Sink(shards), strays(unpacked(rows, EDGES, EDGE), cfg.few)
+        sink, edges = Sink(shards), unpacked(rows, EDGES, EDGE)
+        lone = strays(edges, cfg.few)
         sink.add(STRAYS, lone)
+        sink.add(HOLDERS, np.unique(edges["key"][np.isin(edges["token"], lone["token"])]), 0)
         sink.add(OPEN, np.unique(lone["token"]), 0)
         return pa.table(sink.columns(), ["kind", "shard", "data"])
 
     over = found.filter("a <> b").select(F.col("a").alias("key"), F.col("start").cast("int").alias("lo"), F.col("stop").cast("int").alias("hi"), F.col("b").alias("partner"))
-    edges = texts.mapInArrow(places, PACKED).unionByName(over.mapInArrow(covers, PACKED)).groupBy("shard").applyInArrow(join, PACKED)
-    lone = written(edges.groupBy("shard").applyInArrow(find, PACKED), "chain-strays")
+    edges = texts.mapInArrow(lambda batches: given_back(places(batches)), PACKED).unionByName(over.mapInArrow(lambda batches: given_back(covers(batches)), PACKED)).groupBy("shard").applyInArrow(freeing(join), PACKED)
+    lone = written(edges.groupBy("shard").applyInArrow(freeing(find), PACKED), "chain-strays")
     if not lone.take(1):
         return None
-    open_ = _filter(docs.sparkSession, _numbers(lone, OPEN))
+    open_, members = _filter(docs.sparkSession, _numbers(lone, OPEN)), _filter(docs.sparkSession, _numbers(lone, HOLDERS).distinct())
     bag = np.dtype([*STRAY.descr, ("words", "<u4", (3 * cfg.least_words,))])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed((x for hashes, e in chosen(batches, open_.value) for x in ((PAIRS, e), (CONTEXTS, bags_of(hashes, e, cfg)))), "token")
+        yield from packed((x for hashes, e in chosen(batches, open_.value, members.value) for x in ((PAIRS, e), (CONTEXTS, bags_of(hashes, e, cfg)))), "token")
 
-    def compare(rows: pa.Table) -> pa.Table:
-        sink, spread = Sink(shards), rows.column("shard")[0].as_py()
-        lone, e, bags = unpacked(rows, STRAYS, STRAY), unpacked(rows, PAIRS, PAIR), unpacked(rows, CONTEXTS, bag)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, spread, parts = Sink(shards), 0, {kind: [np.zeros(0, dtype)] for kind, dtype in ((STRAYS, STRAY), (PAIRS, PAIR), (CONTEXTS, bag))}
+        for batch in batches:
+            for kind, spread, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                parts[kind].append(np.frombuffer(data.as_buffer(), parts[kind][0].dtype))
+        batch = data = None
+        # Of all arrays, the words around places alone are large: they are copied once, in order.
+        lone, e = (np.concatenate(parts.pop(kind)) for kind in (STRAYS, PAIRS))
         lists = Lists(e[np.isin(e["token"], lone["token"])])
-        bags = bags[np.isin(bags["token"], lone["token"])]
-        bags = bags[np.lexsort((bags["key"], bags["token"]))]
+        found = parts.pop(CONTEXTS)
+        names = np.concatenate([x[["token", "key"]].astype(STRAY) for x in found])
+        order = np.lexsort((names["key"], names["token"]))
+        order = order[np.isin(names["token"][order], lone["token"])]
+        at = np.full(len(names), -1)
+        at[order] = np.arange(len(order))
+        bags, first = np.empty(len(order), bag), 0
+        for i in range(len(found)):
+            to = at[first : first + len(found[i])]
+            bags[to[to >= 0]] = found[i][to >= 0]
+            first, found[i] = first + len(to), None
+        del found, e
         owner = np.cumsum(np.concatenate([[False], (bags["token"][1:] != bags["token"][:-1]) | (bags["key"][1:] != bags["key"][:-1])])) if len(bags) else np.zeros(0, np.int64)
         stray = np.isin(node(lists.e["token"][lists.start], lists.e["key"][lists.start]), node(lone["token"], lone["key"]))
         for i, n in zip(lists.first.tolist(), lists.texts.tolist(), strict=True):
@@ -804,11 +848,17 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
             for x, y in alike(bags["words"][a:b], owner[a:b] - i, stray[i : i + n], int(np.ceil(cfg.identity * cfg.least_words))):
                 x, y = np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
                 x, y = np.divmod(np.unique(x * n + y), n)
-                if len(x):
-                    sink.add(MATCHES, lists.matches(i + x, i + y, gaps=True), spread)
-        return pa.table(sink.columns(), ["kind", "shard", "data"])
+                # A text may have thousands of places in a list, so pairs are taken by these.
+                cuts = np.flatnonzero(np.diff(np.cumsum(lists.places[i + x]) // AT_ONCE)) + 1
+                for some in np.split(np.arange(len(x)), cuts) if len(x) else ():
+                    sink.add(MATCHES, lists.matches(i + x[some], i + y[some], gaps=True), spread)
+                    if sum(len(row[2]) for row in sink.rows) > cfg.shard_bytes // 4:
+                        yield pa.RecordBatch.from_arrays(sink.columns(), ["kind", "shard", "data"])
+        del lists, bags
+        give_back()
+        yield pa.RecordBatch.from_arrays(sink.columns(), ["kind", "shard", "data"])
 
-    return written(lone.filter(F.col("kind") == STRAYS).unionByName(texts.mapInArrow(contexts, PACKED)).groupBy("shard").applyInArrow(compare, PACKED), "chain-met")
+    return written(lone.filter(F.col("kind") == STRAYS).unionByName(texts.mapInArrow(lambda batches: given_back(contexts(batches)), PACKED)).groupBy("shard").applyInArrow(compare, PACKED), "chain-met")
 
 
 def _dealt(packed: DataFrame, shards: int) -> DataFrame:
@@ -826,7 +876,7 @@ def _dealt(packed: DataFrame, shards: int) -> DataFrame:
                 parts = [m[i:j].tobytes() for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(m)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(at[cuts]), pa.array([kind] * len(cuts), pa.int32()), pa.array(parts, pa.binary())], ["shard", "kind", "data"])
 
-    return packed.filter(F.col("kind").isin(MATCHES, RUNS)).select("kind", "data").mapInArrow(deal, "shard int, kind int, data binary")
+    return packed.filter(F.col("kind").isin(MATCHES, RUNS)).select("kind", "data").mapInArrow(lambda batches: given_back(deal(batches)), "shard int, kind int, data binary")
 
 
 def _chains(matches: DataFrame, cfg: ChainingConfig) -> DataFrame:
@@ -859,7 +909,7 @@ def _chains(matches: DataFrame, cfg: ChainingConfig) -> DataFrame:
         columns = list(zip(*out, strict=True)) if out else [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["a", "b", "x0", "x1", "y0", "y1", "anchors"])
 
-    return matches.groupBy("shard").applyInArrow(chain, "a long, b long, x0 int, x1 int, y0 int, y1 int, anchors binary")
+    return matches.groupBy("shard").applyInArrow(freeing(chain), "a long, b long, x0 int, x1 int, y0 int, y1 int, anchors binary")
 
 
 def _slices(docs: DataFrame, spans: DataFrame, cfg: ChainingConfig) -> DataFrame:
@@ -888,7 +938,7 @@ def _slices(docs: DataFrame, spans: DataFrame, cfg: ChainingConfig) -> DataFrame
                 out.append(hashes[lows[-1] : hi + margin].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lows, pa.int32()), pa.array(out, pa.binary())], ["chain", "side", "lo", "words"])
 
-    texts = docs.select(slot_of(F.col("key")).alias("slot"), "key", F.col("doc_id").alias("id"), "text").mapInArrow(only, "key long, id long, text binary")
+    texts = docs.select(slot_of(F.col("key")).alias("slot"), "key", F.col("doc_id").alias("id"), "text").mapInArrow(lambda batches: given_back(only(batches)), "key long, id long, text binary")
     rows = spans.join(texts, ["key", "id"]).select("chain", "side", "text", "lo", "hi")
     return rows.mapInArrow(lambda batches: given_back(cut(batches)), "chain long, side int, lo int, words binary").dropDuplicates(["chain", "side"])
 
@@ -907,7 +957,7 @@ def _passages(left: DataFrame, right: DataFrame, chains: DataFrame, cfg: Chainin
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 8, pa.float64()), strict=True)], ["a", "b", "doc_id", "other_doc_id", "start", "stop", "other_start", "other_stop", "identity"])
 
     rows = chains.join(left.select("chain", F.col("lo").alias("lo_a"), F.col("words").alias("words_a")), "chain").join(right.select("chain", F.col("lo").alias("lo_b"), F.col("words").alias("words_b")), "chain")
-    return rows.select("a", "b", "id_a", "id_b", "anchors", "lo_a", "words_a", "lo_b", "words_b").mapInArrow(align, "a long, b long, doc_id long, other_doc_id long, start long, stop long, other_start long, other_stop long, identity double")
+    return rows.select("a", "b", "id_a", "id_b", "anchors", "lo_a", "words_a", "lo_b", "words_b").mapInArrow(lambda batches: given_back(align(batches)), "a long, b long, doc_id long, other_doc_id long, start long, stop long, other_start long, other_stop long, identity double")
 
 
 def _found(rows: DataFrame, ids: DataFrame, packed: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
