@@ -4,10 +4,12 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from wavemark.llm import chaining
 from wavemark.llm.chaining import EDGE, ChainingConfig, aligned, alike, chains_of, common_words, extend, given_back, long_windows, minimisers, passages, repeated_passages, strays, word_hashes, words_of
 
 CFG = ChainingConfig()
@@ -280,3 +282,21 @@ def test_tasks_give_freed_memory_back():
     del arrays
     list(given_back(iter([])))
     assert full - resident() > 100 << 20 and last.all()
+
+
+def test_packed_matches_travel_in_small_cells_and_are_dealt_many_at_a_time():
+    rng = np.random.default_rng(3)
+    m = np.zeros(50_000, chaining.MATCH)
+    m["a"], m["b"], m["x"], m["y"] = (rng.integers(0, n, len(m)) for n in (300, 300, 5_000, 5_000))
+    sink = chaining.Sink(4)
+    sink.add(chaining.MATCHES, m, 6)
+    kind, shard, data = sink.columns()
+    assert set(shard.to_pylist()) == {2}
+    assert max(map(len, data.to_pylist())) <= chaining.CELL
+    assert b"".join(data.to_pylist()) == m.tobytes()
+    found = list(chaining.dealt(iter([pa.RecordBatch.from_arrays([kind, data], ["kind", "data"])]), 16))
+    assert sum(b.num_rows for b in found) == 16
+    parts = [np.frombuffer(x, chaining.MATCH) for b in found for x in b.column("data").to_pylist()]
+    assert (np.sort(np.concatenate(parts)) == np.sort(m)).all()
+    pairs = [set(zip(p["a"].tolist(), p["b"].tolist(), strict=True)) for p in parts]
+    assert sum(map(len, pairs)) == len(set().union(*pairs))

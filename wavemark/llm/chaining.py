@@ -81,6 +81,9 @@ PACKED = "kind int, shard int, data binary"
 #: How many times more shards the places of long lists of pairs have than seeds; places that are
 #: matched at a time.
 FINER, AT_ONCE = 8, 50_000
+#: Bytes of a packed cell at most, where no shard divides them: thousands of cells are read at once.
+#: Bytes of cells that are dealt to shards at a time.
+CELL, DEALT = 4_000, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -239,7 +242,8 @@ class Sink:
         if not len(e):
             return
         if shard is not None:
-            self.rows.append((kind, shard % self.shards, e.tobytes()))
+            n = CELL // e.itemsize
+            self.rows += [(kind, shard % self.shards, e[i : i + n].tobytes()) for i in range(0, len(e), n)]
             return
         at = (mix64(np.ascontiguousarray(e[by]).view(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
         order = np.argsort(at, kind="stable")
@@ -793,11 +797,14 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
         own["token"], own["key"], own["partner"] = e["token"], e["key"], e["key"]
         out, ids = [own], np.unique(c["key"])
         for a, b, i, j in zip(*(np.searchsorted(v["key"], ids, side).tolist() for v in (e, c) for side in ("left", "right")), strict=True):
-            for n in range(a, b, 1_000):
-                some, over = e[n : min(b, n + 1_000)], c[i:j]
+            # Many passages over a place may join the same two texts.
+            step = max(1, min(1_000, 1_000_000 // max(1, j - i)))
+            for n in range(a, b, step):
+                some, over = e[n : min(b, n + step)], c[i:j]
                 x, y = np.nonzero((some["at"][:, None] >= over["lo"]) & (some["at"][:, None] + some["gap"][:, None] + cfg.k <= over["hi"]))
-                out.append(own[n + x])
-                out[-1]["partner"] = over["partner"][y]
+                edge = own[n + x]
+                edge["partner"] = over["partner"][y]
+                out.append(distinct(edge))
         sink.add(EDGES, distinct(np.concatenate(out)))
         return pa.table(sink.columns(), ["kind", "shard", "data"])
 
@@ -861,22 +868,28 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
     return written(lone.filter(F.col("kind") == STRAYS).unionByName(texts.mapInArrow(lambda batches: given_back(contexts(batches)), PACKED)).groupBy("shard").applyInArrow(compare, PACKED), "chain-met")
 
 
-def _dealt(packed: DataFrame, shards: int) -> DataFrame:
-    """(shard, kind, data): packed matches by the shard of their two texts: a seed's length, or with
-    kind RUNS least_words, of words of text a from word x is that of text b from word y."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(data, MATCH)
+def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """(shard, kind, data) of batches (kind, data) of packed matches, by their two texts; many cells at
+    a time, so that what goes to a shard is not in as many pieces."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // DEALT)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            some = batch.slice(i, j - i)
+            for kind in some.column(0).unique().to_pylist():
+                m = np.frombuffer(b"".join(some.column(1).filter(pc.equal(some.column(0), kind)).to_pylist()), MATCH)
                 at = (mix64(mix64(np.ascontiguousarray(m["a"]).view(np.uint64)) ^ np.ascontiguousarray(m["b"]).view(np.uint64)) % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(at, kind="stable")
                 m, at = m[order], at[order]
-                cuts = np.flatnonzero(np.diff(at, prepend=-1))
-                parts = [m[i:j].tobytes() for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(m)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(at[cuts]), pa.array([kind] * len(cuts), pa.int32()), pa.array(parts, pa.binary())], ["shard", "kind", "data"])
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                parts = [m[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(m)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array([kind] * len(first), pa.int32()), pa.array(parts, pa.binary())], ["shard", "kind", "data"])
+
 
-    return packed.filter(F.col("kind").isin(MATCHES, RUNS)).select("kind", "data").mapInArrow(lambda batches: given_back(deal(batches)), "shard int, kind int, data binary")
+def _dealt(packed: DataFrame, shards: int) -> DataFrame:
+    """(shard, kind, data): packed matches by the shard of their two texts: a seed's length, or with
+    kind RUNS least_words, of words of text a from word x is that of text b from word y."""
+    return packed.filter(F.col("kind").isin(MATCHES, RUNS)).select("kind", "data").mapInArrow(lambda batches: given_back(dealt(batches, shards)), "shard int, kind int, data binary")
 
 
 def _chains(matches: DataFrame, cfg: ChainingConfig) -> DataFrame:
@@ -995,7 +1008,7 @@ def repeated_passages(docs: DataFrame, cfg: ChainingConfig | None = None) -> Dat
             found = written(found, "chain-found")
             met = _strays(rows, tokens, keys, _numbers(lists, LONG), found, cfg, shards)
             if met is not None and met.take(1):
-                found = found.unionByName(_found(rows, ids, met, cfg, shards)).distinct()
+                found = found.unionByName(_found(rows, ids, met, cfg, FINER * shards)).distinct()
     found = found.drop("a", "b")
     copies = narrow.join(classes.filter("size > 1").select("key", "id"), "key").filter((F.col("doc_id") != F.col("id")) & (F.col("n") >= cfg.least_words))
     copies = copies.select("doc_id", F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"), F.lit(0).cast("long").alias("other_start"), F.col("n").alias("other_stop"), F.lit(1.0).alias("identity"))
