@@ -1,5 +1,6 @@
 import random
 import resource
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -300,3 +301,39 @@ def test_packed_matches_travel_in_small_cells_and_are_dealt_many_at_a_time():
     assert (np.sort(np.concatenate(parts)) == np.sort(m)).all()
     pairs = [set(zip(p["a"].tolist(), p["b"].tolist(), strict=True)) for p in parts]
     assert sum(map(len, pairs)) == len(set().union(*pairs))
+
+
+def test_many_texts_are_hashed_and_seeded_as_one_by_one_and_fast():
+    rng = random.Random(15)
+    texts = [bytes(rng.choice(b"aBZz09 \t\n\x0b\x0c\r\xc3\x9f") if rng.random() < 0.3 else rng.randrange(256) for _ in range(rng.randrange(300))) for _ in range(500)]
+    texts += [b"", b" ", b"A", b"a b " * 30, b"x" * 40 + b" Y" + b"z" * 17, b"one two three four five"]
+    hashes, bounds = chaining.text_hashes(texts)
+    assert len(bounds) == len(texts) + 1 and bounds[-1] == len(hashes)
+    expected = []
+    for key, text in enumerate(texts):
+        own = word_hashes(words_of(text))
+        assert (hashes[bounds[key] : bounds[key + 1]] == own).all() and bounds[key + 1] - bounds[key] == len(own)
+        expected += [(int(token), key, int(at), 0) for token, at in zip(*minimisers(own, CFG), strict=True)]
+    assert chaining.seeds_of_all(np.arange(len(texts)), hashes, bounds, CFG).tolist() == expected
+    texts = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(100)).encode() for _ in range(2_000)]
+    now = time.thread_time
+    one = now()
+    for text in texts:
+        minimisers(word_hashes(words_of(text)), CFG)
+    two = now()
+    chaining.seeds_of_all(np.arange(len(texts)), *chaining.text_hashes(texts), CFG)
+    assert now() - two < 0.7 * (two - one)
+
+
+def test_strays_go_to_no_more_shards_than_there_are_partitions(spark, monkeypatch):
+    """So the packed cells between them grow with the input, not with the square of the partitions."""
+    made, write = [], chaining.written
+    monkeypatch.setattr(chaining, "written", lambda df, name, parts=None: made.append((name, write(df, name, parts))) or made[-1][1])
+    frame = spark.createDataFrame(interlopers(60, 60), "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        repeated_passages(frame.repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    lone = dict(made)["chain-strays"].filter(f"kind = {chaining.STRAYS}").select("shard").collect()
+    assert lone and max(r[0] for r in lone) < 16

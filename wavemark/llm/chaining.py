@@ -51,14 +51,16 @@ import ctypes
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import lt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, session_broadcast, slices, window_hashes, word_count, word_hashes, written
+from .common import forget, mix64, session_broadcast, slices, window_hashes, word_count, word_hashes, written  # noqa: F401
 from .graph import FILTER_BITS, may_hold, membership, slot_of
 
 #: A place of a seed, or of two, `gap` words apart. `long` marks what a task passes on for more texts
@@ -81,6 +83,8 @@ PACKED = "kind int, shard int, data binary"
 #: How many times more shards the places of long lists of pairs have than seeds; places that are
 #: matched at a time.
 FINER, AT_ONCE = 8, 50_000
+#: Bytes of texts that are hashed at a time, many small texts at once.
+READ = 1 << 19
 #: Bytes of a packed cell at most, where no shard divides them: thousands of cells are read at once.
 #: Bytes of cells that are dealt to shards at a time.
 CELL, DEALT = 4_000, 4 << 20
@@ -113,6 +117,118 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def _avalanche(h: np.ndarray, shift: int, prime: int, last: int) -> np.ndarray:
+    h ^= h >> np.uint64(shift)
+    h *= np.uint64(prime)
+    h ^= h >> np.uint64(last)
+    return h
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The two halves of each product of 128 bits, one xor the other."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    one, two = a1 * b0, a0 * b1
+    middle = (a0 * b0 >> half) + (one & low) + (two & low)
+    return (a * b) ^ (a1 * b1 + (one >> half) + (two >> half) + (middle >> half))
+
+
+def _xxh3(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxh3_64 of pieces of the data, as word_hashes gives it; the data go on for 8 bytes at least after
+    each start."""
+    out = np.empty(len(start), np.uint64)
+    at8, at4 = (np.ndarray(len(data) - n + 1, f"<u{n}", data, strides=(1,)) for n in (8, 4))
+    bytes_ = np.frombuffer(data, np.uint8)
+    i = np.flatnonzero(size <= 3)
+    a, n = start[i], size[i]
+    h = bytes_[a].astype(np.uint64) << np.uint64(16) | bytes_[a + (n >> 1)].astype(np.uint64) << np.uint64(24) | bytes_[a + n - 1].astype(np.uint64)
+    h = (h | n.astype(np.uint64) << np.uint64(8)) ^ np.uint64(0x87275A9B)
+    h = _avalanche(h, 33, 0xC2B2AE3D27D4EB4F, 29) * np.uint64(0x165667B19E3779F9)
+    out[i] = h ^ (h >> np.uint64(32))
+    i = np.flatnonzero((size > 3) & (size <= 8))
+    a, n = start[i], size[i]
+    h = (at4[a + n - 4].astype(np.uint64) + (at4[a].astype(np.uint64) << np.uint64(32))) ^ np.uint64(0xC73AB174C5ECD5A2)
+    h ^= (h << np.uint64(49) | h >> np.uint64(15)) ^ (h << np.uint64(24) | h >> np.uint64(40))
+    h *= np.uint64(0x9FB21C651E98DF25)
+    h ^= (h >> np.uint64(35)) + n.astype(np.uint64)
+    h *= np.uint64(0x9FB21C651E98DF25)
+    out[i] = h ^ (h >> np.uint64(28))
+    i = np.flatnonzero((size > 8) & (size <= 16))
+    a, n = start[i], size[i]
+    low, high = at8[a] ^ np.uint64(0x6782737BEA4239B9), at8[a + n - 8] ^ np.uint64(0xAF56BC3B0996523A)
+    out[i] = _avalanche(n.astype(np.uint64) + low.byteswap() + high + _folded(low, high), 37, 0x165667919E3779F9, 32)
+    for j in np.flatnonzero(size > 16).tolist():
+        out[j] = xxhash.xxh3_64_intdigest(data[start[j] : start[j] + size[j]])
+    return out
+
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def text_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts, one text after the other, and where each text begins and
+    the last ends: word_hashes(words_of(text)) for each."""
+    data = b" ".join([*texts, bytes(8)]).lower()
+    space = _SPACE[np.frombuffer(data, np.uint8, len(data) - 8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(space) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    start = edges[::2]
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    return _xxh3(data, start, edges[1::2] - start), np.searchsorted(start, begins)
+
+
+def least_of(h: np.ndarray, window: int) -> np.ndarray:
+    """Place of the first least of each `window` neighbours, of which there are as many at least."""
+    n, least, off = 1, h, np.zeros(len(h), np.uint16)
+    while n < window:
+        step = min(n, window - n)
+        right = least[step:] < least[:-step]
+        off = np.where(right, off[step:] + np.uint16(step), off[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        n += step
+    return off + np.arange(len(off))
+
+
+def distinct_texts(batches: Iterator[pa.RecordBatch], cfg: ChainingConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, hashes of words and bounds of the distinct texts of batches (key, text), READ bytes at a time."""
+    seen: set[int] = set()
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if key in seen:
+                continue
+            seen.add(key)
+            keys.append(key)
+            texts.append(text.as_py())
+            held += len(texts[-1])
+            if held > min(READ, cfg.flush):
+                yield np.array(keys, np.int64), *text_hashes(texts)
+                keys, texts, held = [], [], 0
+    if keys:
+        yield np.array(keys, np.int64), *text_hashes(texts)
+
+
+def seeds_of_all(keys: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
+    """The seeds of several texts, one text after the other, given the hashes of their words."""
+    size = np.diff(bounds)
+    keys, first, size = keys[size >= cfg.k], bounds[:-1][size >= cfg.k], size[size >= cfg.k]
+    if not len(keys):
+        return np.zeros(0, SEED)
+    # After each text's shingles come as many that are never the least.
+    many = size - cfg.k + 1
+    begin = np.cumsum(many + cfg.window) - many - cfg.window
+    h = np.full(int((many + cfg.window).sum()), np.uint64(0xFFFFFFFFFFFFFFFF))
+    h[within(begin, many)] = window_hashes(hashes, cfg.k)[within(first, many)]
+    chosen = np.zeros(len(h), bool)
+    chosen[least_of(h, cfg.window)[within(begin, np.maximum(1, many - cfg.window + 1))]] = True
+    at = np.flatnonzero(chosen)
+    text = np.searchsorted(begin, at, "right") - 1
+    out = np.zeros(len(at), SEED)
+    out["token"], out["key"], out["at"] = h[at], keys[text], at - begin[text]
+    return out
+
+
 def minimisers(hashes: np.ndarray, cfg: ChainingConfig) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the seeds of a text, given its words' hashes."""
     if len(hashes) < cfg.k:
@@ -121,8 +237,7 @@ def minimisers(hashes: np.ndarray, cfg: ChainingConfig) -> tuple[np.ndarray, np.
     if len(h) <= cfg.window:
         at = np.array([int(h.argmin())])
     else:
-        view = np.lib.stride_tricks.sliding_window_view(h, cfg.window)
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+        at = np.unique(least_of(h, cfg.window))
     return h[at], at
 
 
@@ -141,31 +256,36 @@ def long_windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix64((total[n:] - total[:-n]) * up[: len(h) - n + 1])
 
 
-def seeds_of(key: int, hashes: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
-    token, at = minimisers(hashes, cfg)
-    out = np.zeros(len(token), SEED)
-    out["token"], out["key"], out["at"] = token, key, at
-    return out
-
-
 def pairs_of(e: np.ndarray, common: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
-    """Pairs of a text's seeds within least_words, of which one is common: all that are apart, and
+    """Pairs of each text's seeds within least_words, of which one is common: all that are apart, and
     neighbours that both are."""
     out = []
+    token, key, place = (np.ascontiguousarray(e[c]) for c in ("token", "key", "at"))
     for step in range(1, len(e)):
-        gap = e["at"][step:] - e["at"][:-step]
-        near = gap <= cfg.least_words - cfg.k
+        gap = place[step:] - place[:-step]
+        near = (gap <= cfg.least_words - cfg.k) & (key[step:] == key[:-step])
         if not near.any():
             break
         one, two = common[:-step], common[step:]
         i = np.flatnonzero(near & (((gap >= cfg.apart) & (one | two)) | (one & two & (step == 1))))
         part = np.zeros(len(i), PAIR)
-        part["token"] = mix64(e["token"][i] ^ mix64(e["token"][i + step]))
-        part["key"], part["at"], part["gap"] = e["key"][i], e["at"][i], gap[i]
+        part["token"] = mix64(token[i] ^ mix64(token[i + step]))
+        part["key"], part["at"], part["gap"] = key[i], place[i], gap[i]
         out.append(part)
     return np.concatenate(out) if out else np.zeros(0, PAIR)
 
 
+def met_again(e: np.ndarray) -> np.ndarray:
+    """Whether each place's token is on another row too, or its list is long: the rest match nothing."""
+    token = np.ascontiguousarray(e["token"])
+    order = np.argsort(token)
+    same = token[order[1:]] == token[order[:-1]]
+    out = e["long"] > 0
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 class Lists:
     """Places of several lists, in the order of list, text and place, copies taken away."""
 
@@ -299,12 +419,37 @@ def run_ends(m: np.ndarray, far: int) -> np.ndarray:
     return np.concatenate([first, last])
 
 
+def _rising_chains(x: list[int], y: list[int], cfg: ChainingConfig) -> list[list[int]]:
+    """chains_of matches that rise in both: the best before each is the one just before it, since what
+    ends there is worth a seed more than all before, wherever it began."""
+    score, before, best = [], [], -1e18
+    for i, (u, v) in enumerate(zip(x, y, strict=True)):
+        cost = cfg.skip * (u + v)
+        gain = best - cost
+        score.append(cfg.k + gain if gain > 0 else float(cfg.k))
+        before.append(gain > 0)
+        best = score[-1] + cost
+    ends, end = [], len(x)
+    # From each first match of a run, up to the best end, then what is left of the run in the same way.
+    for i in range(len(x) - 1, -1, -1):
+        if not before[i]:
+            a = i
+            while a < end:
+                m = max(range(a, end), key=lambda m: (score[m], -m))
+                ends.append((a, m))
+                a = m + 1
+            end = i
+    return [[*range(a, m + 1)] for a, m in sorted(ends, key=lambda e: (-score[e[1]], e[1]))]
+
+
 def chains_of(x: list[int], y: list[int], cfg: ChainingConfig) -> list[list[int]]:
     """Chains of matches, best first, as rising indices; the matches come in the order of x, y.
 
     Within one x no match follows another, so all of an x are scored before any is entered.
     """
     n, worth, skip = len(x), float(cfg.k), cfg.skip
+    if n > 1 and all(map(lt, x, x[1:])) and all(map(lt, y, y[1:])):
+        return _rising_chains(x, y, cfg)
     places = sorted(set(y))
     tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(places) + 1)
     score, before = [0.0] * n, [-1] * n
@@ -348,12 +493,16 @@ def diagonal_chains(x: np.ndarray, y: np.ndarray, cfg: ChainingConfig) -> list[n
     order = np.lexsort((x, y - x))
     d, at = (y - x)[order], x[order]
     out, taken = [], []
-    parts = np.split(order, np.flatnonzero((d[1:] != d[:-1]) | (at[1:] - at[:-1] > cfg.least_words)) + 1)
-    for part in sorted((p for p in parts if len(p) >= cfg.least_seeds), key=lambda p: int(x[p[0]] - x[p[-1]])):
-        a, b = int(x[part[0]]), int(x[part[-1]]) + cfg.k
-        if b - a >= cfg.least_span and all(2 * (min(b, v) - max(a, u)) <= b - a for u, v in taken):
+    first = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (at[1:] - at[:-1] > cfg.least_words)) + 1])
+    stop = np.append(first[1:], len(order))
+    fine = (stop - first >= cfg.least_seeds) & (at[stop - 1] + cfg.k - at[first] >= cfg.least_span)
+    first, stop = first[fine], stop[fine]
+    longest = np.argsort(at[first] - at[stop - 1], kind="stable")
+    for i, j in zip(first[longest].tolist(), stop[longest].tolist(), strict=True):
+        a, b = int(at[i]), int(at[j - 1]) + cfg.k
+        if all(2 * (min(b, v) - max(a, u)) <= b - a for u, v in taken):
             taken.append((a, b))
-            out.append(part)
+            out.append(order[i:j])
     return out
 
 
@@ -383,13 +532,17 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def agreement(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The seeds that add words to those before them, and how many words agree up to the end of each."""
     kept, total, agree, cx, cy = [], [], 0, int(x[0]), int(y[0])
-    for i, (sx, sy) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+    same = np.diff(x) == np.diff(y)
+    turns = [*(np.flatnonzero(~same) + 1).tolist(), len(x)]
+    i = turn = 0
+    while i < len(x):
+        while turns[turn] <= i:
+            turn += 1
+        sx, sy, i = int(x[i]), int(y[i]), i + 1
+        new = k
         if sx < cx or sy < cy:  # overlaps the seed before: only what is new on both sides counts
             step = max(cx - sx, cy - sy)
-            sx, sy = sx + step, sy + step
-            new = k - step
-        else:
-            new = k
+            sx, sy, new = sx + step, sy + step, k - step
         if new <= 0:
             continue
         if sx > cx and sy > cy:
@@ -397,8 +550,15 @@ def agreement(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int
             agree += int((gap_a == gap_b).sum()) if len(gap_a) == len(gap_b) else common_words(gap_a, gap_b)
         agree += new
         cx, cy = sx + new, sy + new
-        kept.append(i)
+        kept.append(i - 1)
         total.append(agree)
+        j = turns[turn]
+        if i < j:  # the seeds that follow on the same diagonal
+            stop = int(x[j - 1]) + k
+            equal = np.cumsum(a[cx:stop] == b[cy : cy + stop - cx])
+            kept += range(i, j)
+            total += (agree + equal[x[i:j] + k - cx - 1]).tolist()
+            agree, cx, cy, i = total[-1], stop, cy + stop - cx, j
     return np.array(kept), np.array(total)
 
 
@@ -460,7 +620,7 @@ def passages(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, cfg: Ch
 
 def _seeds(docs: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
     """Packed places of the seeds, and what a task has matched itself; `at` is the shard of this
-    step. A task seeds each distinct text once."""
+    step. A task seeds each distinct text once, many at a time."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -468,7 +628,10 @@ def _seeds(docs: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
         spread, sink = TaskContext.get().partitionId(), Sink(shards)
 
         def spill(rows: list[np.ndarray]) -> pa.RecordBatch:
-            lists = Lists(np.concatenate(rows))
+            e = np.concatenate(rows)
+            again = met_again(e)
+            lists = Lists(e[again])
+            sink.add(SEEDS, e[~again])
             long = lists.longer(cfg.few)
             sink.add(MATCHES, lists.matches(*lists.partners(long & False, long)), spread)
             if cfg.inside:
@@ -483,18 +646,13 @@ def _seeds(docs: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
             at = np.where(columns[0].to_numpy() == SEEDS, columns[1].to_numpy(), spread % shards).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(at), *columns], ["at", "kind", "shard", "data"])
 
-        seen: set[int] = set()
         rows, held = [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                rows.append(seeds_of(key, word_hashes(words_of(text.as_py())), cfg))
-                held += len(rows[-1])
-                if held > cfg.flush:
-                    yield spill(rows)
-                    rows, held = [], 0
+        for texts in distinct_texts(batches, cfg):
+            rows.append(seeds_of_all(*texts, cfg))
+            held += len(rows[-1])
+            if held > cfg.flush:
+                yield spill(rows)
+                rows, held = [], 0
         if held:
             yield spill(rows)
 
@@ -508,7 +666,7 @@ def _lists(seeds: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
         sink, spread = Sink(shards), rows.column("at")[0].as_py()
         e = unpacked(rows, SEEDS, SEED)
         if len(e):
-            lists = Lists(e)
+            lists = Lists(e[met_again(e)])
             long = lists.longer(cfg.few)
             sink.add(MATCHES, lists.matches(*lists.partners(~long, long)), spread)
             held = lists.of_places(long[lists.list])
@@ -531,19 +689,24 @@ def _numbers(packed: DataFrame, kind: int) -> DataFrame:
     return packed.filter(F.col("kind") == kind).select("data").mapInArrow(flat, "number long")
 
 
-def common_windows(hashes: np.ndarray, e: np.ndarray, common: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
-    """The windows of least_words words in which all seeds e, as the window's own words tell them, are
-    common."""
+def common_windows(keys: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, e: np.ndarray, common: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
+    """The windows of least_words words of several texts in which all seeds e, as the window's own
+    words tell them, are common."""
     least, reach = cfg.least_words, cfg.least_words - (cfg.k + cfg.window - 1)
-    n = len(hashes) - least + 1
-    if n <= 0 or reach < 0:
+    many = np.maximum(0, np.diff(bounds) - least + 1)
+    if not many.any() or not common.any() or reach < 0:
         return np.zeros(0, WINDOW)
+    place, text = within(bounds[:-1], many), np.repeat(np.arange(len(keys)), many)
     rare = np.concatenate([[0], np.cumsum(~common)])
-    view = np.lib.stride_tricks.sliding_window_view(window_hashes(hashes, cfg.k), cfg.window)
-    owner = np.searchsorted(e["at"], view.argmin(axis=1) + np.arange(len(view)))
-    place = np.flatnonzero(rare[owner[reach : reach + n] + 1] == rare[owner[:n]])
+    size = np.bincount(np.cumsum(np.diff(e["key"], prepend=e["key"][0]) != 0))
+    seeded = np.flatnonzero(np.diff(bounds) >= cfg.k)
+    chosen = least_of(window_hashes(hashes, cfg.k), cfg.window)
+    at = np.repeat(bounds[seeded], size) + e["at"]
+    fine = rare[np.searchsorted(at, chosen[place + reach]) + 1] == rare[np.searchsorted(at, chosen[place])]
+    place, text = place[fine], text[fine]
     out = np.empty(len(place), WINDOW)
-    out["token"], out["key"], out["at"] = long_windows(hashes, least)[place], e["key"][0], place
+    if len(place):
+        out["token"], out["key"], out["at"] = long_windows(hashes, least)[place], keys[text], place - bounds[text]
     return out
 
 
@@ -553,20 +716,14 @@ def _filter(spark: SparkSession, numbers: DataFrame):
     return session_broadcast(spark, bits, bits.nbytes, 1 << 23)
 
 
-def _held(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, keys: np.ndarray, cfg: ChainingConfig) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, hashes of words, seeds, whether these are common) of each distinct text that may hold
-    common seeds."""
-    seen: set[int] = set()
-    for batch in batches:
-        batch = batch.filter(pa.array(may_hold(keys, batch.column(0).to_numpy() & (FILTER_BITS - 1))))
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if key in seen:
-                continue
-            seen.add(key)
-            hashes = word_hashes(words_of(text.as_py()))
-            e = seeds_of(key, hashes, cfg)
-            if len(e):
-                yield key, hashes, e, may_hold(tokens, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))
+def _held(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, keys: np.ndarray, cfg: ChainingConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, hashes of words, bounds, seeds, whether these are common) of the distinct texts that may
+    hold common seeds, many at a time."""
+    likely = (batch.filter(pa.array(may_hold(keys, batch.column(0).to_numpy() & (FILTER_BITS - 1)))) for batch in batches)
+    for texts in distinct_texts(likely, cfg):
+        e = seeds_of_all(*texts, cfg)
+        if len(e):
+            yield *texts, e, may_hold(tokens, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))
 
 
 def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) -> DataFrame:
@@ -584,7 +741,10 @@ def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) ->
             every = np.ones(len(lists.texts), bool)
             sink.add(MATCHES, run_ends(lists.matches(*lists.partners(~every, every, False)), far), spread)
             sink.add(WINDOWS, lists.e[lists.of_places(lists.rank == 0)])
-            lists = Lists(np.concatenate(pairs))
+            e = np.concatenate(pairs)
+            again = met_again(e)
+            lists = Lists(e[again])
+            sink.add(PAIRS, e[~again])
             long = lists.longer(cfg.few)
             sink.add(MATCHES, lists.matches(*lists.partners(long & False, long, False)), spread)
             held = lists.of_places(long[lists.list])
@@ -596,8 +756,8 @@ def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) ->
             return pa.RecordBatch.from_arrays([pa.array(at), *columns], ["at", "kind", "shard", "data"])
 
         windows, pairs, held = [], [], 0
-        for _, hashes, e, known in _held(batches, tokens.value, keys.value, cfg):
-            windows.append(common_windows(hashes, e, known, cfg))
+        for *texts, e, known in _held(batches, tokens.value, keys.value, cfg):
+            windows.append(common_windows(*texts, e, known, cfg))
             pairs.append(pairs_of(e, known, cfg))
             held += len(windows[-1]) + len(pairs[-1])
             if held > cfg.flush:
@@ -615,7 +775,7 @@ def _common(docs: DataFrame, tokens, keys, cfg: ChainingConfig, shards: int) ->
             sink.add(RUNS, lists.matches(*lists.partners(~every, every, False)), spread)
         e = unpacked(rows, PAIRS, PAIR)
         if len(e):
-            lists = Lists(e)
+            lists = Lists(e[met_again(e)])
             long = lists.longer(cfg.few)
             sink.add(MATCHES, lists.matches(*lists.partners(~long, long & False), gaps=True), spread)
             sink.add(MATCHES, lists.matches(*lists.partners(long & False, long, False)), spread)
@@ -675,8 +835,18 @@ def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarra
     the place that has most of it, in one or more rows."""
     reach, width = cfg.least_words, 3 * cfg.least_words
     words = np.concatenate([np.zeros(reach, np.uint32), np.maximum(hashes.astype(np.uint32), 1), np.zeros(width, np.uint32)])
+    token, owner, times = np.unique(e["token"], return_inverse=True, return_counts=True)
+    # A list with one place has its words as they are.
+    once = e[times[owner] == 1]
+    single = np.zeros(len(once), np.dtype([*STRAY.descr, ("words", "<u4", (width,))]))
+    single["token"], single["key"], single["words"] = once["token"], once["key"], words[once["at"][:, None] + np.arange(width)]
+    single["words"][np.arange(width) >= once["gap"][:, None] + cfg.k + 2 * reach] = 0
+    e = e[times[owner] > 1]
+    if not len(e):
+        return single
+    e = e[np.argsort(e["token"], kind="stable")]
     token, owner = np.unique(e["token"], return_inverse=True)
-    held = np.zeros(0, np.uint64)
+    held, rest = [], np.zeros(0, np.uint64)
     for i in range(0, len(e), 2_000):
         some = e[i : i + 2_000]
         around = words[some["at"][:, None] + np.arange(width)]
@@ -687,15 +857,19 @@ def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarra
         begin[:, 1:] = around[:, 1:] != around[:, :-1]
         again = place - np.maximum.accumulate(np.where(begin, place, np.int16(0)), axis=1)
         codes = owner[i : i + 2_000, None].astype(np.uint64) << np.uint64(40) | around.astype(np.uint64) << np.uint64(8) | again.astype(np.uint64)
-        held = np.unique(np.concatenate([held, codes[around > 0]]))
+        rest = np.unique(np.concatenate([rest, codes[around > 0]]))
+        done = np.searchsorted(rest, np.uint64(owner[i : i + 2_000][-1]) << np.uint64(40))
+        held.append(rest[:done])
+        rest = rest[done:]
+    held = np.concatenate([*held, rest])
     owner = (held >> np.uint64(40)).astype(np.int64)
     size = np.bincount(owner, minlength=len(token))
     rows = -(-size // width)
     at = np.arange(len(held)) - np.repeat(np.cumsum(size) - size, size)
-    out = np.zeros(int(rows.sum()), np.dtype([*STRAY.descr, ("words", "<u4", (width,))]))
+    out = np.zeros(int(rows.sum()), single.dtype)
     out["token"], out["key"] = np.repeat(token, rows), e["key"][0]
     out["words"][np.repeat(np.cumsum(rows) - rows, size) + at // width, at % width] = (held >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return out
+    return np.concatenate([single, out])
 
 
 def numbered(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -750,15 +924,23 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
     found; None if there are no strays. `lists`: the pairs whose list is long."""
     wanted = _filter(docs.sparkSession, lists)
     texts = docs.select("key", "text")
-    # What is told of a list's places takes far more than its seeds, so tasks take fewer lists at once.
-    shards = FINER * shards
 
-    def chosen(batches: Iterator[pa.RecordBatch], marks: np.ndarray, holders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, hashes, e, known in _held(batches, tokens.value, holders, cfg):
+    def chosen(batches: Iterator[pa.RecordBatch], marks: np.ndarray, holders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for *texts, e, known in _held(batches, tokens.value, holders, cfg):
             e = pairs_of(e, known, cfg)
             e = e[may_hold(marks, (e["token"] & np.uint64(FILTER_BITS - 1)).astype(np.int64))]
             if len(e):
-                yield hashes, e
+                yield *texts, e
+
+    def around(batches: Iterator[pa.RecordBatch], marks: np.ndarray, holders: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for keys, hashes, bounds, e in chosen(batches, marks, holders):
+            yield PAIRS, e
+            e = e[np.argsort(e["key"], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
+            text = {key: i for i, key in enumerate(keys.tolist())}
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)], strict=True):
+                i = text[int(e["key"][a])]
+                yield CONTEXTS, bags_of(hashes[bounds[i] : bounds[i + 1]], e[a:b], cfg)
 
     def packed(parts: Iterator[tuple[int, np.ndarray]], by: str) -> Iterator[pa.RecordBatch]:
         sink, rows, held = Sink(shards), {}, 0
@@ -778,7 +960,7 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
             yield full()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed(((PAIRS, e) for _, e in chosen(batches, wanted.value, keys.value)), "key")
+        yield from packed(((PAIRS, e) for *_, e in chosen(batches, wanted.value, keys.value)), "key")
 
     def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part(batch: pa.RecordBatch) -> tuple[int, np.ndarray]:
@@ -825,7 +1007,7 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
     bag = np.dtype([*STRAY.descr, ("words", "<u4", (3 * cfg.least_words,))])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed((x for hashes, e in chosen(batches, open_.value, members.value) for x in ((PAIRS, e), (CONTEXTS, bags_of(hashes, e, cfg)))), "token")
+        yield from packed(around(batches, open_.value, members.value), "token")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, spread, parts = Sink(shards), 0, {kind: [np.zeros(0, dtype)] for kind, dtype in ((STRAYS, STRAY), (PAIRS, PAIR), (CONTEXTS, bag))}
@@ -939,16 +1121,15 @@ def _slices(docs: DataFrame, spans: DataFrame, cfg: ChainingConfig) -> DataFrame
                 yield pa.RecordBatch.from_arrays(batch.columns[1:], ["key", "id", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hashes = None, np.zeros(0, np.uint64)
         for batch in slices(batches, 200):
-            out, lows = [], []
-            for text, lo, hi in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                if text is not last:
-                    if text != last:
-                        hashes = word_hashes(words_of(text)).astype(np.uint32)
-                    last = text
+            at, out, lows = {}, [], []
+            texts, los, his = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            which = [at.setdefault(text, len(at)) for text in texts]
+            hashes, bounds = text_hashes([*at])
+            hashes = hashes.astype(np.uint32)
+            for i, lo, hi in zip(which, los, his, strict=True):
                 lows.append(max(0, lo - margin))
-                out.append(hashes[lows[-1] : hi + margin].tobytes())
+                out.append(hashes[bounds[i] + lows[-1] : min(bounds[i + 1], bounds[i] + hi + margin)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lows, pa.int32()), pa.array(out, pa.binary())], ["chain", "side", "lo", "words"])
 
     texts = docs.select(slot_of(F.col("key")).alias("slot"), "key", F.col("doc_id").alias("id"), "text").mapInArrow(lambda batches: given_back(only(batches)), "key long, id long, text binary")
@@ -974,13 +1155,16 @@ def _passages(left: DataFrame, right: DataFrame, chains: DataFrame, cfg: Chainin
 
 
 def _found(rows: DataFrame, ids: DataFrame, packed: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame:
-    """The passages of packed matches, with the keys a and b of their texts."""
+    """The passages of packed matches, with the keys a and b of their texts; the tables they are read
+    from as `scratch`."""
     chains = _chains(_dealt(packed, shards), cfg)
     chains = chains.join(ids.select(F.col("key").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("id_b")), "b")
     chains = written(chains.withColumn("chain", F.monotonically_increasing_id()), "chain-chains")
     sides = [chains.select("chain", F.lit(i).alias("side"), F.col(k).alias("key"), F.col(f"id_{k}").alias("id"), F.col(f"{p}0").alias("lo"), F.col(f"{p}1").alias("hi")) for i, (k, p) in enumerate((("a", "x"), ("b", "y")))]
     slices = written(_slices(rows, sides[0].unionByName(sides[1]), cfg), "chain-slices")
-    return _passages(slices.filter("side = 0"), slices.filter("side = 1"), chains, cfg)
+    out = _passages(slices.filter("side = 0"), slices.filter("side = 1"), chains, cfg)
+    out.scratch = chains, slices
+    return out
 
 
 def repeated_passages(docs: DataFrame, cfg: ChainingConfig | None = None) -> DataFrame:
@@ -993,7 +1177,9 @@ def repeated_passages(docs: DataFrame, cfg: ChainingConfig | None = None) -> Dat
     classes = written(narrow.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.sum("n").alias("words")), "chain-classes")
     words = classes.agg(F.sum(F.col("words") / F.col("size"))).first()[0] or 0
     size = words * SEED.itemsize * 2 / (cfg.window + 1)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // cfg.shard_bytes) + 1)
+    least, sized = int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // cfg.shard_bytes) + 1
+    # What is told of a list's places takes far more than its seeds, so tasks take fewer lists at once.
+    shards, finer = max(least, sized), max(least, FINER * sized)
     ids = classes.select("key", "id")
     packed = written(_lists(_seeds(rows, cfg, shards), cfg, shards), "chain-lists")
     common = written(_numbers(packed, COMMON).distinct(), "chain-common")
@@ -1005,10 +1191,14 @@ def repeated_passages(docs: DataFrame, cfg: ChainingConfig | None = None) -> Dat
         found = _found(rows, ids, packed.unionByName(again), cfg, shards)
         lists = again.filter(F.col("kind") == LONG)
         if lists.take(1):
+            scratch = found.scratch
             found = written(found, "chain-found")
-            met = _strays(rows, tokens, keys, _numbers(lists, LONG), found, cfg, shards)
+            forget(packed, *scratch)
+            met = _strays(rows, tokens, keys, _numbers(lists, LONG), found, cfg, finer)
+            forget(again)
             if met is not None and met.take(1):
-                found = found.unionByName(_found(rows, ids, met, cfg, FINER * shards)).distinct()
+                found = found.unionByName(_found(rows, ids, met, cfg, finer)).distinct()
+                forget(met)
     found = found.drop("a", "b")
     copies = narrow.join(classes.filter("size > 1").select("key", "id"), "key").filter((F.col("doc_id") != F.col("id")) & (F.col("n") >= cfg.least_words))
     copies = copies.select("doc_id", F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"), F.lit(0).cast("long").alias("other_start"), F.col("n").alias("other_stop"), F.lit(1.0).alias("identity"))
