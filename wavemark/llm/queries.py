@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chaining, decontaminate, jaccard, kneser_ney, language, mixing, rules, sharding, tokens, toxicity, trie, urls
+from . import chaining, decontaminate, jaccard, kneser_ney, language, mixing, negatives, rules, sharding, tokens, toxicity, trie, urls
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(width=4, least=85))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
 
@@ -64,11 +68,12 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op3_toxicity_chain, op4_kneser_ney_quality, op5_language_id, op6_collinear_chaining, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join, op12_prefix_trie, op13_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bm25_decontamination, op2_hilbert_sharding, op3_toxicity_chain, op4_kneser_ney_quality, op5_language_id, op6_collinear_chaining, op7_pareto_mixing, op8_risk_controlled_rules, op9_token_files, op10_ngram_jaccard_join, op11_hard_negatives, op12_prefix_trie, op13_url_filters)}
 
 SQL: dict[str, str] = {
     "op7_pareto_mixing": mixing.SQL,
     "op8_risk_controlled_rules": rules.SQL,
+    "op11_hard_negatives": negatives.SQL,
     "op12_prefix_trie": trie.SQL,
     "op13_url_filters": urls.SQL,
     "op10_ngram_jaccard_join": r"""
