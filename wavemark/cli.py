@@ -10,10 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .errors import WaveError
-from .operators.index import FingerprintIndex
 from .plans import as_queries, fingerprint
-from .sources import store
-from .sources.wav import failed, good, read_wavs, wav_files
+from .sources import folder, store
+from .sources.wav import failed, good, read_wavs
 
 
 #: What scripts read from this command's output.
@@ -38,23 +37,18 @@ def arguments() -> argparse.ArgumentParser:
 
 
 def index(spark: SparkSession, db: str, path: str, verbose: bool) -> None:
-    """All files in one job; a file that fails is reported and the others go on. A track that is
-    indexed again has its postings replaced by the union of both, as an append does."""
-    files = wav_files(spark, path).count()
-    print(f"{files} files to index", flush=True)
-    signals = read_wavs(spark, path).persist()
-    prints = fingerprint(good(signals)).persist()
-    counts = good(signals).select("track_name").distinct().join(prints.groupBy("track_name").count(), "track_name", "left")
-    bad = 0
-    for row in failed(signals).orderBy("track_name").toLocalIterator():
-        bad += 1
+    """Files that the database has not seen, in one job; one that fails is reported and the others go on.
+    Running it again decodes only what is new or changed."""
+    change = folder.update(spark, db, path)
+    print(f"{change.fresh} files to index", flush=True)
+    if change.listed > change.fresh:
+        print(f"{change.listed - change.fresh} files known")
+    for row in change.failed.orderBy("track_name", "path").toLocalIterator():
         print(f"skipped {row['track_name']}: {row['error']}")
     if verbose:
-        for row in counts.orderBy("track_name").toLocalIterator():
-            print(f"{row['track_name']}: {row['count'] or 0} hashes")
-    print(f"{files - bad} of {files} files fingerprinted", flush=True)
-    held = store.load(spark, db) if store.Store(spark, db).exists() else FingerprintIndex.empty(spark)
-    store.save(held.insert(prints, good(signals).select("track_name")), db)
+        for row in change.tracks.orderBy("track_name").toLocalIterator():
+            print(f"{row['track_name']}: {row['hashes']} hashes")
+    print(f"{change.made} of {change.fresh} files fingerprinted", flush=True)
     print(f"saved to {db}")
 
 

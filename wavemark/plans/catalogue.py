@@ -387,6 +387,36 @@ def append_and_query(spark: SparkSession, d: str) -> DataFrame:
     return store.query_store(spark, path, _asked(rows)).withColumn("offset_secs", _d("offset_secs"))
 
 
+@_query("store_levels_query", f"WITH {_sql_votes('emb')} SELECT query_id, track_id, score, offset_bin, {SECONDS} FROM ranked WHERE rank <= 2")
+def levels_query(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks that come in four parts, merged by pairs as levels fill, in shards of 2,000 postings."""
+    rows, path = _prints(spark, d, "emb"), fresh_path(spark, "index")
+    for k in range(4):
+        store.append(spark, path, rows.filter(F.col("track_name").cast("long") % 4 == k), layout=store.Layout(shard_rows=2_000, level_rows=1_000, fanout=2))
+    return store.query_store(spark, path, _asked(rows), top_k=2).drop("rank").withColumn("offset_secs", _d("offset_secs"))
+
+
+@_query("store_pruned_postings", f"WITH {_sql_prints('emb')} SELECT hash, track_name, count(*) AS postings FROM prints WHERE hash IN (SELECT hash FROM prints WHERE track_name::BIGINT % 10 = 0) GROUP BY ALL")
+def pruned_postings(spark: SparkSession, d: str) -> DataFrame:
+    """What a set of fingerprints hits on disk, read from the shards of these alone."""
+    rows, path = _prints(spark, d, "emb"), fresh_path(spark, "index")
+    store.save(_index(rows), path, store.Layout(shard_rows=1_000))
+    held = store.hit_postings(spark, path, _asked(rows))
+    return held.postings.join(held.tracks, "track_id").groupBy("hash", "track_name").agg(F.count("*").alias("postings"))
+
+
+@_query("store_silent_tracks", f"WITH {_sql_prints('emb')} SELECT vec_id::VARCHAR AS track_name, (SELECT count(*) FROM prints p WHERE p.track_name = vec_id::VARCHAR AND vec_id % 3 = 0) AS hashes FROM embeddings")
+def silent_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """An index made where there is none, then filled; tracks without fingerprints are still there when
+    it is opened again."""
+    rows, path = _prints(spark, d, "emb"), fresh_path(spark, "index")
+    store.open_or_create(spark, path)
+    store.append(spark, path, rows.filter(F.col("track_name").cast("long") % 3 == 0), signals(spark, d, "emb"))
+    held = store.open_or_create(spark, path)
+    counts = held.postings.groupBy("track_id").agg(F.count("*").alias("n"))
+    return held.tracks.join(counts, "track_id", "left").select("track_name", F.coalesce("n", F.lit(0)).alias("hashes"))
+
+
 @_query("index_new_ids", f"""WITH {_sql_prints('emb')}, n AS (SELECT DISTINCT track_name, track_name::BIGINT >= 5 AS late FROM prints)
 SELECT (row_number() OVER (PARTITION BY late ORDER BY substr(md5(track_name), 1, 3), track_name) - 1 + CASE WHEN late THEN (SELECT count(*) FROM n WHERE NOT late) ELSE 0 END)::INT AS track_id, track_name FROM n""")
 def new_ids(spark: SparkSession, d: str) -> DataFrame:

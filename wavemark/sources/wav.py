@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from typing import Protocol
@@ -70,9 +71,15 @@ class FileSource:
         return load_wav(validate_audio_file(self.path)).samples
 
 
-def decoded(files: DataFrame, strict: bool = False) -> DataFrame:
+def track_name(path: str) -> str:
+    """A file's name without its extension."""
+    return os.path.splitext(path.rsplit("/", 1)[-1])[0]
+
+
+def decoded(files: DataFrame, strict: bool = False, checksum: bool = False) -> DataFrame:
     """Signals from (path, content) rows. Unless strict, a file that cannot be decoded has no
-    samples, and its error in a column; strict fails on it."""
+    samples, and its error in a column; strict fails on it. `checksum` adds the SHA-256 of the bytes,
+    taken while they are at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +90,14 @@ def decoded(files: DataFrame, strict: bool = False) -> DataFrame:
                     if strict:
                         raise
                     out, error = None, str(e)
-                name = os.path.splitext(path.rsplit("/", 1)[-1])[0]
                 samples = pa.ListArray.from_arrays(pa.array([0, len(out.samples)], pa.int32()), pa.array(out.samples, pa.float32())) if out else pa.array([None], pa.list_(pa.float32()))
                 rest = ((out and out.sample_rate, pa.int32()), (out and out.original_channels, pa.int16()), (path, pa.string()), (error, pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), samples, *(pa.array([x], t) for x, t in rest)], ["track_name", "samples", "sample_rate", "original_channels", "path", "error"])
+                if checksum:
+                    rest += ((hashlib.sha256(content.as_buffer()).hexdigest(), pa.string()),)
+                yield pa.RecordBatch.from_arrays([pa.array([track_name(path)]), samples, *(pa.array([x], t) for x, t in rest)], names)
 
-    return files.select("path", "content").mapInArrow(run, schemas.SIGNALS_PERMISSIVE)
+    names = ["track_name", "samples", "sample_rate", "original_channels", "path", "error", *(["checksum"] if checksum else [])]
+    return files.select("path", "content").mapInArrow(run, schemas.SIGNALS_PERMISSIVE + (", checksum string" if checksum else ""))
 
 
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +117,7 @@ def read_wavs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
 
 
 def good(signals: DataFrame) -> DataFrame:
-    return signals.filter(F.col("error").isNull()).drop("path", "error")
+    return signals.filter(F.col("error").isNull()).drop("path", "error", "checksum")
 
 
 def failed(signals: DataFrame) -> DataFrame:
