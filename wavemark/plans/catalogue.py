@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as W
 from ..config import HashConfig, IndexConfig, PeakConfig, PipelineConfig
-from ..operators import hashes, index, peaks, spectrogram
+from ..operators import chunks, hashes, index, peaks, spectrogram
 from ..shared import fresh_path, written
 from ..sources import store
 from ..sources.wav import decoded
@@ -214,6 +214,20 @@ for _view in ("emb", "evt"):
         return rows.select("track_name", "seq", "hash", _d("anchor_time").alias("anchor_time"))
 
 
+@_query("peaks_chunked_evt", SQL["peaks_evt"])
+def peaks_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks of tracks cut in runs of 50 frames, each with what it needs from its neighbours."""
+    rows = chunks.peaks_from_chunks(chunks.split_signals(signals(spark, d, "evt"), EVT, 50), EVT)
+    return rows.select("track_name", "frame", "bin", _d("amplitude").alias("amplitude"))
+
+
+@_query("fingerprints_chunked_evt", SQL["fingerprints_evt"])
+def prints_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of such runs; anchors are numbered over the whole track."""
+    rows = chunks.fingerprints_from_chunks(chunks.split_signals(signals(spark, d, "evt"), EVT, 50), EVT)
+    return rows.select("track_name", "seq", "hash", _d("anchor_time").alias("anchor_time"))
+
+
 @_query("spectrogram_loudest_bin", f"WITH {_sql_cells('emb')} SELECT track_name, frame, bin FROM cells QUALIFY row_number() OVER (PARTITION BY track_name, frame ORDER BY db DESC, bin) = 1")
 def loudest(spark: SparkSession, d: str) -> DataFrame:
     rows = _cells(spark, d, "emb").groupBy("track_name", "frame").agg(F.max(F.struct("db", -F.col("bin"))).alias("x"))

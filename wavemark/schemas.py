@@ -4,6 +4,8 @@ from __future__ import annotations
 
 SIGNALS = "track_name string, samples array<float>, sample_rate int, original_channels smallint"
 SIGNALS_PERMISSIVE = f"{SIGNALS}, path string, error string"
+#: A run of frames first..last-1 of a track, with the samples from frame `start` on, which is before it.
+CHUNKS = "track_name string, path string, first bigint, last bigint, start bigint, samples array<float>"
 SPECTROGRAM = "track_name string, frame int, db array<float>"
 CELLS = "track_name string, frame int, bin int, db float"
 PEAKS = "track_name string, frame int, bin int, time float, freq float, amplitude float"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 
@@ -70,9 +71,23 @@ def downmix(samples: np.ndarray, channels: int) -> np.ndarray:
     return total / np.float32(channels)
 
 
-def decode(data: bytes, path: str) -> Decoded:
-    found = chunks(data, path)
-    head = found.get(b"fmt ", b"")
+@dataclass(frozen=True)
+class Form:
+    """How samples are stored: kind of number, bits, channels, rate."""
+
+    kind: int
+    bits: int
+    channels: int
+    rate: int
+
+    @property
+    def step(self) -> int:
+        """Bytes of one sample of all channels."""
+        return self.channels * (self.bits // 8)
+
+
+def form_of(head: bytes, path: str) -> Form:
+    """From a format chunk."""
     if len(head) < 16:
         raise InvalidWavFormat(f"{path}: no format chunk")
     kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head)
@@ -82,9 +97,48 @@ def decode(data: bytes, path: str) -> Decoded:
         (kind,) = struct.unpack_from("<H", head, 24)
     if not channels:
         raise InvalidWavFormat(f"{path}: no channels")
+    return Form(kind, bits, channels, rate)
+
+
+def decode(data: bytes, path: str) -> Decoded:
+    found = chunks(data, path)
+    form = form_of(found.get(b"fmt ", b""), path)
     if b"data" not in found:
         raise InvalidWavFormat(f"{path}: no data chunk")
-    samples = raw_samples(found[b"data"], kind, bits, path)
+    samples = raw_samples(found[b"data"], form.kind, form.bits, path)
     if not len(samples):
         raise AudioTooShort(path)
-    return Decoded(downmix(samples, channels), rate, channels)
+    return Decoded(downmix(samples, form.channels), form.rate, form.channels)
+
+
+def located(file: BinaryIO, path: str) -> tuple[Form, int, int]:
+    """Form, place and samples of an open file's data, from the heads of its chunks alone."""
+    size = file.seek(0, 2)
+    file.seek(0)
+    start = file.read(12)
+    if len(start) < 12 or start[:4] != b"RIFF" or start[8:] != b"WAVE":
+        raise InvalidWavFormat(f"{path}: no RIFF WAVE header")
+    head, data, at = b"", None, 12
+    while at + 8 <= size:
+        file.seek(at)
+        name, length = struct.unpack("<4sI", file.read(8))
+        if name == b"fmt " and not head:
+            head = file.read(length)
+        if name == b"data":
+            if at + 8 + length > size:
+                raise InvalidWavFormat(f"{path}: the data chunk is cut short")
+            data = data or (at + 8, length)
+        at += 8 + length + length % 2
+    form = form_of(head, path)
+    if data is None:
+        raise InvalidWavFormat(f"{path}: no data chunk")
+    raw_samples(b"", form.kind, form.bits, path)
+    if data[1] < form.bits // 8:
+        raise AudioTooShort(path)
+    return form, data[0], data[1] // form.step
+
+
+def samples_between(file: BinaryIO, form: Form, at: int, first: int, last: int, path: str) -> np.ndarray:
+    """Mono samples first..last-1 of the data that starts at `at`."""
+    file.seek(at + first * form.step)
+    return downmix(raw_samples(file.read((last - first) * form.step), form.kind, form.bits, path), form.channels)
