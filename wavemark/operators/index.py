@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as W
 from .. import schemas
 from ..config import IndexConfig
+from ..shared import written
 
 
 def name_bucket(name: Column) -> Column:
@@ -82,11 +83,41 @@ class FingerprintIndex:
         offset = W.offset_to_bin(F.col("anchor_time") - F.col("query_time"), self.config.offset_bin_size)
         return asked.join(held, "hash").groupBy("query_id", "track_id", offset.alias("offset_bin")).agg(F.sum(F.col("asked") * F.col("held")).alias("score"))
 
-    def query_batch(self, queries: DataFrame, top_k: int = 1, min_score: int = 1) -> DataFrame:
+    def balanced_pairs(self, queries: DataFrame, block: int = 2_000) -> DataFrame:
+        """(query_id, track_id, query_time, anchor_time, asked, held): every pair of a query's and a
+        track's equal fingerprint. A fingerprint that many rows have on both sides is cut in blocks of
+        about `block` rows on each: a row takes one block of its own side and meets all blocks of the
+        other, so its pairs spread evenly and no task gets more than `block` times `block` of them at a
+        time. The plain join does as well while at most one side of a fingerprint is large."""
+        asked = queries.groupBy("query_id", "hash", F.col("anchor_time").alias("query_time")).agg(F.count("*").alias("asked"))
+        held = self.postings.groupBy("hash", "track_id", "anchor_time").agg(F.count("*").alias("held"))
+        asked, held = written(asked, "index-asked"), written(held.join(asked.select("hash").distinct(), "hash", "left_semi"), "index-held")
+
+        def blocks(rows: DataFrame, name: str) -> DataFrame:
+            return rows.groupBy("hash").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+        cut = written(blocks(asked, "rows").join(blocks(held, "columns"), "hash").filter("rows > 1 or columns > 1"), "index-blocks")
+
+        def dealt(side: DataFrame, own: str, other: str, *keys: str) -> DataFrame:
+            side = side.join(cut, "hash", "left").fillna(1, ["rows", "columns"])
+            side = side.withColumn(f"of_{own}", F.pmod(F.xxhash64(*keys), F.col(own)).cast("int"))
+            return side.withColumn(f"of_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("rows", "columns")
+
+        asked, held = dealt(asked, "rows", "columns", "query_id", "query_time"), dealt(held, "columns", "rows", "track_id", "anchor_time")
+        return asked.join(held, ["hash", "of_rows", "of_columns"]).select("query_id", "track_id", "query_time", "anchor_time", "asked", "held")
+
+    def balanced_histogram(self, queries: DataFrame, block: int = 2_000) -> DataFrame:
+        """As `histogram`, from balanced pairs."""
+        offset = W.offset_to_bin(F.col("anchor_time") - F.col("query_time"), self.config.offset_bin_size)
+        return self.balanced_pairs(queries, block).groupBy("query_id", "track_id", offset.alias("offset_bin")).agg(F.sum(F.col("asked") * F.col("held")).alias("score"))
+
+    def query_batch(self, queries: DataFrame, top_k: int = 1, min_score: int = 1, block: int | None = None) -> DataFrame:
         """The best tracks of each query of (query_id, hash, anchor_time): score descending, then
         track name, then offset. Each track enters with its best offset. Queries without a hit have
-        no row."""
-        votes = self.histogram(queries).filter(F.col("score") >= min_score).join(self.tracks, "track_id")
+        no row. `block` asks for the balanced join, for batches whose fingerprints may be very common
+        on both sides."""
+        votes = self.histogram(queries) if block is None else self.balanced_histogram(queries, block)
+        votes = votes.filter(F.col("score") >= min_score).join(self.tracks, "track_id")
         best = Window.partitionBy("query_id", "track_id").orderBy(F.desc("score"), "offset_bin")
         votes = votes.withColumn("of_track", F.row_number().over(best)).filter("of_track = 1")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "track_name", "offset_bin")

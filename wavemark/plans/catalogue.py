@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as W
 from ..config import HashConfig, IndexConfig, PeakConfig, PipelineConfig
+from ..functions.tables import register_tables
 from ..operators import chunks, hashes, index, peaks, spectrogram
 from ..shared import fresh_path, written
 from ..sources import store
@@ -214,6 +215,17 @@ for _view in ("emb", "evt"):
         return rows.select("track_name", "seq", "hash", _d("anchor_time").alias("anchor_time"))
 
 
+@_query("spectrogram_table_evt", SQL["spectrogram_db_evt"])
+def spectrogram_table(spark: SparkSession, d: str) -> DataFrame:
+    """The table function of SQL, over tracks that come in pieces of 40 samples."""
+    register_tables(spark)
+    place = F.posexplode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("samples") - 1) / 40), F.lit(0)).cast("int")))
+    pieces = signals(spark, d, "evt").select("track_name", "samples", place.alias("place", "i")).select("track_name", "place", F.slice("samples", F.col("i") * 40 + 1, F.lit(40)).alias("samples"))
+    cfg = EVT.spectrogram
+    rows = spark.sql(f"SELECT * FROM wave_spectrogram(TABLE({{pieces}}) PARTITION BY (track_name) ORDER BY (place), {cfg.window_size}, {cfg.hop_size})", pieces=pieces)
+    return spectrogram.to_cells(rows).select("track_name", "frame", "bin", _d("db").alias("db"))
+
+
 @_query("peaks_chunked_evt", SQL["peaks_evt"])
 def peaks_chunked(spark: SparkSession, d: str) -> DataFrame:
     """Peaks of tracks cut in runs of 50 frames, each with what it needs from its neighbours."""
@@ -353,6 +365,17 @@ def min_score(spark: SparkSession, d: str) -> DataFrame:
     return _index(rows).identify(_asked(rows), names, 10).select("query_id", "track_id", "score", "status")
 
 
+@_query("offset_histogram_common", f"""WITH {_sql_prints('emb')}, p AS (SELECT track_name, anchor_time, CASE WHEN seq % 4 = 0 THEN 7 ELSE hash END AS hash FROM prints),
+asked AS (SELECT * FROM p WHERE track_name::BIGINT % 10 = 0)
+SELECT q.track_name AS query_id, p.track_name, round((p.anchor_time - q.anchor_time) / {W.f32(0.05)!r}::FLOAT)::BIGINT AS offset_bin, count(*) AS score FROM asked q JOIN p USING (hash) GROUP BY ALL""")
+def common_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Votes where one fingerprint is a quarter of all rows on both sides, by the balanced join."""
+    common = F.when(F.col("seq") % 4 == 0, F.lit(7).cast("long")).otherwise(F.col("hash"))
+    rows = written(_prints(spark, d, "emb").withColumn("hash", common), "common-prints")
+    held = _index(rows)
+    return held.balanced_histogram(_asked(rows), 50).join(held.tracks, "track_id").select("query_id", "track_name", "offset_bin", "score")
+
+
 @_query("identify_no_match", "SELECT 'q' AS query_id, 'no_match' AS status")
 def no_match(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([("q", -1, 0.0)], "query_id string, hash long, anchor_time float")
