@@ -92,7 +92,7 @@ def test_levels_bound_the_parts(spark, tmp_path):
     assert (index.track_count(), index.hash_count()) == (n, 10 * n)
     assert sorted(r.track_id for r in index.tracks.collect()) == list(range(n))
     on_disk = {x for x in held.children() if x.startswith("part-")}
-    assert {part["name"] for part in held.current()["parts"]} <= on_disk and len(on_disk) <= len(levels) + 5
+    assert {part["name"] for part in held.current()["parts"]} <= on_disk and len(on_disk) <= len(levels) + 8
     assert store.compact(spark, path, Layout(level_rows=10**6, fanout=2)) == 1 and len(held.current()["parts"]) == 1
     assert store.load(spark, path).hash_count() == 10 * n
 

@@ -86,11 +86,10 @@ def peaks_from_chunks(chunks: DataFrame, cfg: PipelineConfig) -> DataFrame:
     return chunks.filter("samples is not null").select("track_name", "path", "first", "last", "start", "samples").mapInArrow(run, schemas.PEAKS)
 
 
-def fingerprints_from_chunks(chunks: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """Fingerprints of all chunks. Anchors are numbered inside their chunk, and the peaks of the
-    chunks before, one number a chunk, are added; pairs need no other chunk."""
-    if cfg.hashes.min_dt > 0 or cfg.hashes.fan_value <= 0 or not math.isfinite(cfg.hashes.max_dt) or cfg.hashes.max_dt <= 0:
-        return fingerprints(peaks_from_chunks(chunks, cfg), cfg.hashes)
+def local_prints(chunks: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """(track_name, path, first, seq, hash, anchor_time) of the anchors that chunks own, numbered inside
+    their chunk, and for each chunk a row without a fingerprint whose seq is the number of its peaks.
+    Pairs need no other chunk, so this works on a stream of chunks too."""
     names = ["track_name", "path", "first", "seq", "hash", "anchor_time"]
     ahead = margins(cfg)[1] - cfg.peaks.time_neighborhood
 
@@ -101,14 +100,26 @@ def fingerprints_from_chunks(chunks: DataFrame, cfg: PipelineConfig) -> DataFram
                 own = int((frame < last).sum())
                 seq, hash_, time = track_hashes(frame, bin_, cfg)
                 mine = seq < own
-                # A row without a fingerprint tells how many peaks the chunk owns.
                 seq, hash_, time = np.r_[own, seq[mine]], np.r_[0, hash_[mine]], np.r_[np.float32(0), time[mine]]
                 n, told = len(seq), np.arange(len(seq)) == 0
                 columns = [pa.array([name] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array(np.full(n, first)), pa.array(seq.astype(np.int64)), pa.array(hash_.astype(np.int64), mask=told), pa.array(time.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = chunks.filter("samples is not null").select("track_name", "path", "first", "last", "start", "samples")
-    rows = written(rows.mapInArrow(run, "track_name string, path string, first bigint, seq bigint, hash bigint, anchor_time float"), "chunk-prints")
+    return rows.mapInArrow(run, "track_name string, path string, first bigint, seq bigint, hash bigint, anchor_time float")
+
+
+def pairs_within(cfg: PipelineConfig) -> bool:
+    """Whether a chunk carries all that its anchors pair with."""
+    return cfg.hashes.min_dt <= 0 < cfg.hashes.fan_value and math.isfinite(cfg.hashes.max_dt) and cfg.hashes.max_dt > 0
+
+
+def fingerprints_from_chunks(chunks: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Fingerprints of all chunks. To the number of an anchor in its chunk the peaks of the chunks
+    before are added, which are one number a chunk."""
+    if not pairs_within(cfg):
+        return fingerprints(peaks_from_chunks(chunks, cfg), cfg.hashes)
+    rows = written(local_prints(chunks, cfg), "chunk-prints")
     before = F.coalesce(F.sum("seq").over(Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = rows.filter("hash is null").select("path", "first", before.alias("before"))
     return rows.filter("hash is not null").join(counts, ["path", "first"]).select("track_name", (F.col("before") + F.col("seq")).cast("int").alias("seq"), "hash", "anchor_time")

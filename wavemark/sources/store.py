@@ -45,6 +45,8 @@ POINTER, FORMAT = "CURRENT-", 2
 PRUNING = 200_000
 #: Seconds before a part that no pointer names counts as left behind, and attempts to commit.
 GRACE, ATTEMPTS = 86_400, 100
+#: Names of segments that a pointer remembers; they are deleted long before so many have come.
+SEGMENTS = 1_000
 FILES = "path string, length bigint, modified timestamp, checksum string, track_name string, error string, seen bigint"
 
 
@@ -72,6 +74,19 @@ def shard_of(fingerprint: Column, shards: int) -> Column:
     return F.xxhash64(fingerprint).bitwiseAND(shards - 1).cast("int")
 
 
+class SegmentTaken(IndexStoreError):
+    """Another writer has taken this segment in."""
+
+
+def with_segments(meta: dict, before: dict, fresh: list[str]) -> dict:
+    """What a pointer says after `before`, with the names of written segments (`sink`) whose rows the
+    index holds."""
+    taken = before.get("segments", [])
+    if set(fresh) & set(taken):
+        raise SegmentTaken(", ".join(fresh))
+    return meta | {"segments": [*taken, *fresh][-SEGMENTS:]}
+
+
 class Store:
     """The folder of an index, reached through Hadoop's file systems."""
 
@@ -156,8 +171,8 @@ class Store:
     def point(self, meta: dict) -> None:
         """Makes this the state of the index, whatever it was before, then clears."""
         for _ in range(ATTEMPTS):
-            numbers = self.numbers()
-            if self.commit(numbers[-1] + 1 if numbers else 1, meta):
+            number, before = self.latest()
+            if self.commit(number + 1, with_segments(meta, before, meta.get("segments", []))):
                 return self.clear()
         raise StoreIoError(f"{self.path}: other writers are faster")
 
@@ -224,12 +239,12 @@ def _named_by(store: Store, name: str) -> bool:
     return store.exists() and any(part["name"] == name for part in store.latest()[1]["parts"])
 
 
-def save(index: FingerprintIndex, path: str, layout: Layout | None = None) -> None:
+def save(index: FingerprintIndex, path: str, layout: Layout | None = None, segment: str | None = None) -> None:
     """Makes the folder hold exactly this index; saving again changes nothing."""
     store, name = Store(index.tracks.sparkSession, path), f"snapshot-{uuid.uuid4().hex}"
     try:
         part = store.write(name, index.tracks, index.postings, None, layout or Layout())
-        store.point(store.described([part], index.config))
+        store.point(store.described([part], index.config) | {"segments": [segment] if segment else []})
     except BaseException as e:
         if not _named_by(store, name):
             store.drop(name)
@@ -238,7 +253,7 @@ def save(index: FingerprintIndex, path: str, layout: Layout | None = None) -> No
         raise
 
 
-def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataFrame | None = None, files: DataFrame | None = None, layout: Layout | None = None) -> None:
+def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataFrame | None = None, files: DataFrame | None = None, layout: Layout | None = None, segment: str | None = None) -> None:
     """Adds tracks and postings as one more part beside those on disk, then merges levels that are full.
     Only the new rows are written. Writers may come at the same time: known names keep their ids and new
     ones take the next, counted again if another writer was first."""
@@ -254,10 +269,10 @@ def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataF
             fresh = written(numbered(incoming.join(held, "track_name", "left_anti"), sum(part["tracks"] for part in meta["parts"])), "store-tracks")
             ids = fresh.unionByName(held.join(incoming, "track_name", "left_semi").select("track_id", "track_name"))
             part = store.write(name, fresh, FingerprintIndex._postings(prints, ids), None if listed is None else listed.withColumn("seen", F.lit(number + 1).cast("long")), layout)
-            done = store.commit(number + 1, meta | {"kind": "data", "parts": [*meta["parts"], part]})
-        except BaseException:
+            done = store.commit(number + 1, with_segments(meta | {"kind": "data", "parts": [*meta["parts"], part]}, meta, [segment] if segment else []))
+        except BaseException as e:
             store.drop(name)
-            if store.latest()[0] == number:
+            if store.latest()[0] == number or isinstance(e, SegmentTaken):
                 raise
             continue  # what this attempt read was cleared by writers that came first
         if done:
