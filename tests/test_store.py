@@ -82,7 +82,7 @@ def test_a_very_common_fingerprint_fills_several_files(spark, tmp_path):
 
 
 def test_levels_bound_the_parts(spark, tmp_path):
-    path, n, layout = f"file://{tmp_path}/db", 9, Layout(level_rows=20, shard_rows=1000, fanout=2)
+    path, n, layout = f"file://{tmp_path}/db", 6, Layout(level_rows=20, shard_rows=1000, fanout=2)
     for i in range(n):
         store.append(spark, path, prints(spark, {f"n{i}": [(i * 10 + k, 0.1 * k) for k in range(10)]}), layout=layout)
     held = Store(spark, path)
@@ -161,7 +161,7 @@ def test_a_writer_that_comes_second_counts_again(spark, tmp_path, monkeypatch):
 def test_a_merge_whose_parts_are_gone_is_dropped(spark, tmp_path, monkeypatch):
     path, one = f"file://{tmp_path}/db", Layout(fanout=2)
     for i in range(2):
-        store.append(spark, path, prints(spark, {f"a{i}": [(i, 0.0)]}), layout=Layout(fanout=9))
+        store.append(spark, path, prints(spark, {f"a{i}": [(i, 0.0)]}), layout=one, merge=False)
     plain, done = Store.write, []
 
     def slow(self, *args):

@@ -76,12 +76,13 @@ class FingerprintIndex:
 
     def histogram(self, queries: DataFrame) -> DataFrame:
         """(query_id, track_id, offset_bin, score): hits by query, track and time offset. Equal
-        fingerprints on either side count for each of their pairs; they are counted before the
-        join, so that what is joined does not multiply."""
-        asked = queries.groupBy("query_id", "hash", F.col("anchor_time").alias("query_time")).agg(F.count("*").alias("asked"))
-        held = self.postings.groupBy("hash", "track_id", "anchor_time").agg(F.count("*").alias("held"))
+        fingerprints on either side count for each of their pairs. Both sides go into the join as they
+        are, once by hash, or the postings not at all where the queries are few enough to be
+        broadcast; hits are counted in each task before they move. Fingerprints that are very common on
+        both sides are for `balanced_histogram`."""
+        asked = queries.select("query_id", "hash", F.col("anchor_time").alias("query_time"))
         offset = W.offset_to_bin(F.col("anchor_time") - F.col("query_time"), self.config.offset_bin_size)
-        return asked.join(held, "hash").groupBy("query_id", "track_id", offset.alias("offset_bin")).agg(F.sum(F.col("asked") * F.col("held")).alias("score"))
+        return asked.join(self.postings, "hash").groupBy("query_id", "track_id", offset.alias("offset_bin")).agg(F.count("*").alias("score"))
 
     def balanced_pairs(self, queries: DataFrame, block: int = 2_000) -> DataFrame:
         """(query_id, track_id, query_time, anchor_time, asked, held): every pair of a query's and a
@@ -117,13 +118,16 @@ class FingerprintIndex:
         no row. `block` asks for the balanced join, for batches whose fingerprints may be very common
         on both sides."""
         votes = self.histogram(queries) if block is None else self.balanced_histogram(queries, block)
-        votes = votes.filter(F.col("score") >= min_score).join(self.tracks, "track_id")
-        best = Window.partitionBy("query_id", "track_id").orderBy(F.desc("score"), "offset_bin")
-        votes = votes.withColumn("of_track", F.row_number().over(best)).filter("of_track = 1")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "track_name", "offset_bin")
-        votes = votes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-        out = [F.col("query_id"), F.col("track_name").alias("track_id"), "score", "offset_bin", W.bin_to_offset(F.col("offset_bin"), self.config.offset_bin_size).alias("offset_secs")]
-        return votes.select(*out, "rank") if top_k > 1 else votes.select(*out)
+        # A track's best offset first, so that names are looked up once for each track of a query.
+        best = votes.filter(F.col("score") >= min_score).groupBy("query_id", "track_id").agg(F.min(F.struct((-F.col("score")).alias("score"), "offset_bin")).alias("best"))
+        best = best.join(self.tracks, "track_id").select("query_id", F.struct("best.score", "track_name", "best.offset_bin").alias("best"))
+        if top_k > 1:
+            order = Window.partitionBy("query_id").orderBy("best")
+            best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        else:
+            best = best.groupBy("query_id").agg(F.min("best").alias("best"))
+        out = [F.col("query_id"), F.col("best.track_name").alias("track_id"), (-F.col("best.score")).alias("score"), F.col("best.offset_bin").alias("offset_bin"), W.bin_to_offset(F.col("best.offset_bin"), self.config.offset_bin_size).alias("offset_secs")]
+        return best.select(*out, "rank") if top_k > 1 else best.select(*out)
 
     def identify(self, queries: DataFrame, names: DataFrame, min_score: int = 10) -> DataFrame:
         """One row for each of `names` (query_id): its best track with status match, low_confidence

@@ -16,6 +16,9 @@ Parts are levelled by size. Appending adds a part; when a level holds `fanout` p
 into one, so there are at most `fanout - 1` of each of a logarithmic number of levels, and a posting is
 rewritten once a level. Merging is a commit like any other; one whose inputs are gone is dropped.
 
+On a local disk the pointer is put in place by a link, elsewhere by a rename; the file system has to
+refuse a rename onto a file that is there, as HDFS does.
+
 The tables of the last two states stay for readers that still use them, and those that merges have
 replaced in between; parts that no pointer ever named are dropped when they are a day old.
 """
@@ -253,9 +256,9 @@ def save(index: FingerprintIndex, path: str, layout: Layout | None = None, segme
         raise
 
 
-def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataFrame | None = None, files: DataFrame | None = None, layout: Layout | None = None, segment: str | None = None) -> None:
-    """Adds tracks and postings as one more part beside those on disk, then merges levels that are full.
-    Only the new rows are written. Writers may come at the same time: known names keep their ids and new
+def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataFrame | None = None, files: DataFrame | None = None, layout: Layout | None = None, segment: str | None = None, merge: bool = True) -> None:
+    """Adds tracks and postings as one more part beside those on disk, then merges levels that are full,
+    unless that is left to another job (`compact`). Only the new rows are written. Writers may come at the same time: known names keep their ids and new
     ones take the next, counted again if another writer was first."""
     store, layout = Store(spark, path), layout or Layout()
     prints = written(fingerprints.select("track_name", "hash", "anchor_time"), "store-prints")
@@ -278,7 +281,8 @@ def append(spark: SparkSession, path: str, fingerprints: DataFrame, names: DataF
         if done:
             forget(prints, incoming, fresh, *([listed] if listed is not None else []))
             store.clear()
-            compact(spark, path, layout)
+            if merge:
+                compact(spark, path, layout)
             return
         store.drop(name)
         forget(fresh)
