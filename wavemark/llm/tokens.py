@@ -1,7 +1,8 @@
 """Operator 9: token ids in Arrow stream files of fixed-size-list batches.
 
 Documents are dealt out by ranges of doc_id and sorted, then tokenised and written where they
-stand, so file f holds a run of ids and the files in order hold all. Texts travel, not ids, which
+stand, so file f holds a run of ids and the files in order hold all. The ranges come from the keys
+alone, so that texts are read and packed once. Texts travel, not ids, which
 are larger, and each in zstd, which takes two thirds of what the shuffle's own compression does. In a file the ids of its documents stand end to end, each document closed by the end
 id, cut in sequences of `length` ids; the last is filled up. A row is one sequence: `ids`
 (fixed-size list of uint16, or uint32 for vocabularies beyond 65536) and `mask` (fixed-size list of
@@ -211,6 +212,24 @@ class SequenceFile:
         return ids, mask.view(bool)
 
 
+KEY = np.dtype([("given", "i1"), ("doc_id", "<i8"), ("text_key", "<i8")])
+#: Greatest number of files, each of which has one key in the table of their ends.
+MOST_FILES = 1 << 20
+
+
+def file_ends(docs: DataFrame, files: int) -> np.ndarray:
+    """The greatest key of each file, in order, when keys (doc_id, text_key) are ranged evenly: only
+    keys move for that. Null ids come first."""
+    given = F.col("doc_id").isNotNull().cast("int")
+    keys = docs.select(given.alias("given"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    keys = keys.repartitionByRange(files, "given", "doc_id", "text_key")
+    ends = keys.groupBy(F.spark_partition_id()).agg(F.max(F.struct("given", "doc_id", "text_key")).alias("x")).select("x.*").toArrow()
+    out = np.zeros(ends.num_rows, KEY)
+    for c in KEY.names:
+        out[c] = ends.column(c).to_numpy()
+    return np.sort(out)
+
+
 def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, size, data): texts in zstd and their sizes in bytes; null is empty."""
     codec = pa.Codec("zstd", 1)
@@ -220,6 +239,15 @@ def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, texts), pa.int32()), pa.array(data, pa.binary())], ["doc_id", "text_key", "size", "data"])
 
 
+def dealt(batches: Iterator[pa.RecordBatch], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of `deflated` with the file that each goes to, as part."""
+    for batch in deflated(batches):
+        key = np.zeros(batch.num_rows, KEY)
+        key["given"], key["doc_id"], key["text_key"] = batch.column(0).is_valid().to_numpy(False), batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+        part = np.minimum(np.searchsorted(ends, key), max(0, len(ends) - 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", *batch.schema.names])
+
+
 def inflated(sizes: pa.Array, data: pa.Array) -> list[str]:
     codec = pa.Codec("zstd")
     return [codec.decompress(x, n, asbytes=True).decode() if n else "" for n, x in zip(sizes.to_pylist(), data.to_pylist(), strict=True)]
@@ -268,9 +296,13 @@ def write_files(docs: DataFrame, cfg: TokenFileConfig, out: str) -> DataFrame:
             row = ((part, pa.int32()), (names[0], pa.string()), (names[1], pa.string()), (n_docs, pa.int64()), (n_tokens, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], ["part", "path", "docs_path", "n_docs", "n_tokens"])
 
-    files = rows_per_task(docs.sparkSession, docs.count(), cfg.docs_per_file)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")).mapInArrow(deflated, "doc_id long, text_key long, size int, data binary")
-    rows = rows.repartitionByRange(files, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key").select("doc_id", "size", "data")
+    total = docs.count()
+    files = rows_per_task(docs.sparkSession, total, max(cfg.docs_per_file, -(-total // MOST_FILES)))
+    ends = file_ends(docs, files)
+    bounds = session_broadcast(docs.sparkSession, ends, ends.nbytes, MOST_FILES * KEY.itemsize)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    rows = rows.mapInArrow(lambda batches: dealt(batches, bounds.value), "part int, doc_id long, text_key long, size int, data binary")
+    rows = rows.repartitionById(max(1, len(ends)), "part").sortWithinPartitions("doc_id", "text_key").select("doc_id", "size", "data")
     return written(rows.mapInArrow(write, "part int, path string, docs_path string, n_docs long, n_tokens long"), "token-files")
 
 
