@@ -109,6 +109,10 @@ class Shared:
     def value(self):
         return pickle.loads(self._broadcast.value)
 
+    def release(self) -> None:
+        """Frees it everywhere, when all that needs it has been written."""
+        self._broadcast.destroy()
+
 
 def session_broadcast(spark: SparkSession, value: object, size: int, bound: int) -> object:
     """A broadcast variable for a value whose size was measured; beyond the bound it is an error,
