@@ -4,7 +4,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from wavemark.llm.mixing import mix, resampled
+from wavemark.llm.common import running_sums
+from wavemark.llm.mixing import mix, resampled, source_targets
 
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
@@ -76,3 +77,32 @@ def test_one_source_is_taken_whole(spark):
     rows = [(i, "w " * (10 + i), "a") for i in range(50)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), merit=lambda s: s * 0 + 1).collect()
     assert {r.copies for r in got} == {1}
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables keep their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_sums_over_ranges(spark, many_ranges):
+    rows = [(i * 7919 % 5000, i % 13) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "k int, v int").withColumn("one", F.lit(1))
+    got = running_sums(frame, ["k"], {"rank": "one", "upto": "v"}, "t").orderBy("k").collect()
+    upto = 0
+    for i, r in enumerate(got):
+        assert (r.k, r["rank"], r.upto, r.all_rank, r.all_upto) == (i, i, upto, 5000, sum(v for _, v in rows))
+        upto += r.v
+    assert running_sums(frame.limit(0), ["k"], {"rank": "one"}, "t").count() == 0
+
+
+def test_as_many_sources_as_documents(spark, many_ranges):
+    sizes = {(f"s{i:05}" if i else None): 1 + i * 7919 % 997 for i in range(4000)} | {"none": 0}
+    classes = spark.createDataFrame([*sizes.items()], "source string, class_size long")
+    table = source_targets(classes, (5, 2, 1), 3)
+    got = {r.source: (r.source_size, r.target) for r in table.collect()}
+    expected = brute_targets({s: n for s, n in sizes.items()})
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert all(got[s][1] == pytest.approx(expected[s]) for s in sizes)

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,29 @@ def test_edges(empty, odd_columns, spark):
     out = with_shards(odd_columns)
     assert out.columns == [*odd_columns.columns, "shard_1", "slot_1"] and out.count() == odd_columns.count()
     assert {r["Shard"] for r in out.select("Shard").distinct().collect()} == {"own"}
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_cells_are_those_of_brute_force(spark, docs, corpus, coalesce):
+    """Steps of languages, sources and sizes counted in Python; the curve's index from the cells alone."""
+
+    def steps(values):
+        times, before, out = Counter(values), 0, {}
+        for v in sorted(times, key=lambda v: (v is None, v or "")):
+            out[v] = before * 64 // len(values)
+            before += times[v]
+        return out
+
+    lang, source = steps([r[2] for r in corpus]), steps([r[3] for r in corpus])
+    length = lambda text: min(63, math.floor(math.log2(len((text or "").encode()) + 1) * 2))
+    cells = [(lang[r[2]], source[r[3]], length(r[1])) for r in corpus]
+    axes = spark.createDataFrame(sorted(set(cells)), "a int, b int, c int")
+    index = {tuple(r[:3]): r.h for r in axes.withColumn("h", hilbert_index([F.col("a"), F.col("b"), F.col("c")])).collect()}
+    crc = lambda text: zlib.crc32((text or "").encode())
+    order = sorted((index[c], crc(r[1]), -1 if r[0] is None else r[0], len((r[1] or "").encode()) + 1) for c, r in zip(cells, corpus, strict=True))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        rows = sorted(shard(docs).collect(), key=lambda r: (r.shard, r.slot))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.hilbert, r.text_crc32, -1 if r.doc_id is None else r.doc_id, r["size"]) for r in rows] == order

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import forget, fresh_path, shared_dir, written  # noqa: F401
@@ -56,6 +56,22 @@ def forget_bucketed(t: DataFrame) -> None:
     forget(t)
 
 
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """The rows with, for each name in `sums`, the sum of its column over all rows before, and, as all_ and
+    the name, over all rows. Rows are written in ranges of the order: a task sums inside its range,
+    and one row a range gives the sums of the ranges before. Rows that tie in the order count in any."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), name)
+    totals = ranged.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy().orderBy("__range")
+    starts = [(F.sum(n).over(before) - F.col(n)).alias(f"__from_{n}") for n in sums]
+    totals = totals.select("__range", *starts, *[F.sum(n).over(Window.partitionBy()).alias(f"all_{n}") for n in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.select("*", *[(F.sum(c).over(inside) - F.col(c)).alias(f"__in_{n}") for n, c in sums.items()])
+    # One row for each range, of which there are as many as the session has shuffle partitions.
+    out = summed.join(F.broadcast(totals), "__range")
+    return out.select(*rows.columns, *[(F.col(f"__from_{n}") + F.col(f"__in_{n}")).alias(n) for n in sums], *[f"all_{n}" for n in sums])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,8 @@
 
 Sources get shares of all words by weight, none above `most` times its own words; what a source
 cannot take is shared again by weight among the others until none is above (water filling, solved
-at once from running sums in the order of cap over weight). Within a source, documents are further
+at once from running sums in the order of cap over weight). Ranks and sums of sources come from ranges
+of them, so that sources may be as many as documents. Within a source, documents are further
 weighted by `merit`, by the same rule, which gives every document an expected number of copies.
 
 The whole part of that number is certain: so many copies are taken. The rest is the inclusion
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, whole_row, word_count, written
+from .common import forget, running_sums, whole_row, word_count, written
 
 BINS = 4096
 
@@ -52,12 +53,17 @@ def filled(rows: DataFrame, within: list[str], weight: str, cap: str, total: str
 def source_targets(classes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, target) from (source, class_size): one row a source."""
     rows = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
-    every = Window.partitionBy()
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()))
-    rows = rows.withColumn("__tie", rank).withColumn("weight", F.array(*map(F.lit, weights))[(F.col("__tie") - 1) % len(weights)])
-    rows = rows.withColumn("cap", most * F.col("source_size")).withColumn("total", F.sum("source_size").over(every))
-    full = filled(rows.filter("cap > 0"), [], "weight", "cap", "total", "target")
-    return full.select("source", "source_size", "target").unionByName(rows.filter("cap = 0").select("source", "source_size", F.lit(0.0).alias("target")))
+    rows = rows.select("source", "source_size", F.col("source").isNull().alias("last"), F.lit(1).alias("one"), (most * F.col("source_size")).alias("cap"))
+    rows = running_sums(rows, ["last", "source"], {"rank": "one", "words": "source_size"}, "mix-sources")
+    weight = F.array(*map(F.lit, weights))[(F.col("rank") % len(weights)).cast("int")]
+    rows = written(rows.withColumn("weight", weight).withColumn("ratio", F.col("cap") / F.col("weight")), "mix-ranks")
+    # As in filled, over all sources: in the order of ratio, the first that the level does not pass.
+    levels = running_sums(rows.filter("cap > 0"), ["ratio", "rank"], {"capped": "cap", "weighed": "weight"}, "mix-ratios")
+    levels = levels.withColumn("level", (F.col("all_words") - F.col("capped")) / (F.col("all_weighed") - F.col("weighed")))
+    level = levels.filter("level <= ratio").agg(F.min(F.struct("ratio", "rank", "level")).alias("x")).first().x
+    cap = F.col("cap").cast("double")
+    target = cap if level is None else F.least(cap, F.lit(level["level"]) * F.col("weight"))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -76,13 +82,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     base = written(base, "mix-rows")
     rows = base.select(F.col("__row").alias("row"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__merit").alias("merit"), F.col("__u").alias("u"))
 
-    classes = written(rows.groupBy("source", "merit").agg(F.sum("size").alias("class_size")), "mix-classes", 1)
-    targets = written(source_targets(classes, weights, most), "mix-targets", 1)
+    classes = written(rows.groupBy("source", "merit").agg(F.sum("size").alias("class_size")), "mix-classes")
+    targets = written(source_targets(classes, weights, most), "mix-targets")
     shares = classes.filter("class_size > 0").alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source"))
     shares = shares.select("c.source", "merit", "class_size", "target", F.expr("class_size * merit").alias("weight"), (most * F.col("class_size")).alias("cap"), F.col("merit").alias("__tie"))
     shares = filled(shares, ["source"], "weight", "cap", "target", "share").withColumn("expected", F.col("share") / F.col("class_size"))
     shares = shares.withColumn("whole", F.floor("expected")).withColumn("part", F.col("expected") - F.floor("expected"))
-    shares = written(shares.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("class_size")).over(Window.partitionBy("source"))).select("source", "merit", "whole", "part", "rest"), "mix-shares", 1)
+    shares = written(shares.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("class_size")).over(Window.partitionBy("source"))).select("source", "merit", "whole", "part", "rest"), "mix-shares")
 
     # Rank each document, and find the bin in which its source is full.
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
@@ -93,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     bins = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
     cut = bins.filter("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
-    cut = written(cut.select("source", F.col("x.bin").alias("cut"), F.col("x.before").alias("before")), "mix-cut", 1)
+    cut = written(cut.select("source", F.col("x.bin").alias("cut"), F.col("x.before").alias("before")), "mix-cut")
     placed = ranked.alias("r").join(cut.alias("c"), F.expr("r.source <=> c.source"), "left").select("r.*", "cut", "before")
     placed = placed.filter(F.col("bin") < BINS)  # the others take whole copies only
     # The rows of the bin that holds the target, ranged in their order: sums of the ranges before and

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, free_name, rows_per_task, whole_row, written
+from .common import crc32_of, free_name, rows_per_task, running_sums, whole_row, written
 
 STEPS_BITS = 6
 
@@ -82,14 +82,8 @@ def hilbert_index(axes: list[Column], bits: int = STEPS_BITS) -> Column:
 def value_steps(rows: DataFrame, column: str) -> DataFrame:
     """(value, step) of a column's values: step is the share of rows before it, in 64ths."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select("value", "n", F.col("value").isNull().alias("last"))
-    # Every partition holds a range of values; the window inside one orders no more than its own.
-    counts = counts.repartitionByRange("last", "value").withColumn("part", F.spark_partition_id())
-    counts = written(counts, f"shard-{column}-counts")
-    parts = counts.groupBy("part").agg(F.sum("n").alias("n"))
-    starts = parts.select("part", (F.sum("n").over(Window.partitionBy().orderBy("part")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    before = F.sum("n").over(Window.partitionBy("part").orderBy("last", "value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    # One row for each partition of the counts.
-    return counts.withColumn("before", before).join(F.broadcast(starts), "part").select("value", F.floor((F.col("start") + F.col("before")) * (1 << STEPS_BITS) / F.col("all")).cast("int").alias("step"))
+    counts = running_sums(counts, ["last", "value"], {"before": "n"}, f"shard-{column}-counts")
+    return counts.select("value", F.floor(F.col("before") * (1 << STEPS_BITS) / F.col("all_before")).cast("int").alias("step"))
 
 
 def ranked(docs: DataFrame, carry: Column | None) -> DataFrame:
@@ -99,7 +93,7 @@ def ranked(docs: DataFrame, carry: Column | None) -> DataFrame:
     crc = F.coalesce(crc32_of(F.col("text")), F.lit(0)).cast("long")
     rows = docs.select(*([] if carry is None else [carry.alias("row")]), F.col("doc_id").alias("id"), "lang", "source", size.alias("size"), crc.alias("crc"))
     for column in ("lang", "source"):
-        steps = written(value_steps(docs, column), f"shard-{column}", 1).select(F.col("value").alias(f"{column}_value"), F.col("step").alias(f"{column}_step"))
+        steps = written(value_steps(docs, column), f"shard-{column}").select(F.col("value").alias(f"{column}_value"), F.col("step").alias(f"{column}_step"))
         rows = rows.join(steps, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left")
     length = F.least(F.floor(F.log2(F.col("size")) * 2), F.lit((1 << STEPS_BITS) - 1)).cast("int")
     rows = rows.withColumn("hilbert", hilbert_index([F.col("lang_step"), F.col("source_step"), length]))
