@@ -3,11 +3,12 @@ import pickle
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavemark.llm.decontaminate import DecontaminationConfig, Index, contaminated, item_parts, keep_clean, ngrams, split_item, terms
+from wavemark.llm.decontaminate import DecontaminationConfig, Index, contaminated, item_parts, keep_clean, ngrams, passes, split_item, terms, unpacked
 
 SCHEMA = "item_id long, text string"
 
@@ -134,3 +135,20 @@ def test_parts_are_within_their_bound(spark):
     parts = list(item_parts(spark.createDataFrame([*enumerate(texts)], SCHEMA), cfg))
     assert len(parts) > 3 and all(len(p) <= 50_000 for p in parts)
     assert sorted(i for p in parts for i in pickle.loads(p).ids) == list(range(300))
+
+
+def test_workers_hold_one_part_at_a_time(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    cfg = DecontaminationConfig(index_bytes=50_000)
+    (group,) = passes(spark.createDataFrame([*enumerate(texts)], SCHEMA), cfg)
+    assert len(group) >= 8
+
+    def opened(batches):
+        for _ in batches:
+            for _ in range(2):
+                ids = [i for part in group for i in unpacked(part).ids]
+                yield pa.RecordBatch.from_pydict({"items": [len(ids)], "kept": [sum("_value" in part.__dict__ for part in group)]})
+
+    rows = spark.range(4).mapInArrow(opened, "items long, kept long").collect()
+    assert {(r["items"], r.kept) for r in rows} == {(400, 0)}

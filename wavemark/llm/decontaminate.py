@@ -275,6 +275,15 @@ def passes(benchmark: DataFrame, cfg: DecontaminationConfig) -> Iterator[list]:
         yield group
 
 
+def unpacked(part) -> Index:
+    """The index of a broadcast part. A worker process keeps the bytes of each broadcast that it has
+    opened; these are let go, and read again from the executor's disk when they are needed."""
+    index = pickle.loads(part.value)
+    if getattr(part, "_path", None):
+        part.__dict__.pop("_value", None)
+    return index
+
+
 def portions(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
     """The rows in portions of so many characters of their first column, or of one row."""
     held, size = [], 0
@@ -302,11 +311,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     for group in passes(benchmark, cfg):
 
         def search(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            single = pickle.loads(group[0].value) if len(group) == 1 else None
+            single = unpacked(group[0]) if len(group) == 1 else None
             for batch in batches if single else portions(batches, cfg.held_chars):
                 ids, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
                 for part in group:
-                    index = single or pickle.loads(part.value)
+                    index = None  # before the next one is made
+                    index = single or unpacked(part)
                     rows = [(doc, index.ids[item], *best) for doc, text in zip(ids, texts, strict=True) for item, best in index.matches(text).items()]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -323,10 +333,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig
     for group in passes(benchmark, cfg):
 
         def clean(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            single = pickle.loads(group[0].value) if len(group) == 1 else None
+            single = unpacked(group[0]) if len(group) == 1 else None
             for batch in batches if single else portions(batches, cfg.held_chars):
                 for part in group:
-                    index = single or pickle.loads(part.value)
+                    index = None  # before the next one is made
+                    index = single or unpacked(part)
                     batch = batch.filter(pa.array([not index.matches(text) for text in batch.column(0).to_pylist()], pa.bool_()))
                 yield batch
 
