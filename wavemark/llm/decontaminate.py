@@ -276,8 +276,8 @@ def passes(benchmark: DataFrame, cfg: DecontaminationConfig) -> Iterator[list]:
 
 
 def unpacked(part) -> Index:
-    """The index of a broadcast part. A worker process keeps the bytes of each broadcast that it has
-    opened; these are let go, and read again from the executor's disk when they are needed."""
+    """The index of one of several broadcast parts. A worker process keeps the bytes of each broadcast
+    that it has opened; these are let go, and read again from the executor's disk when they are needed."""
     index = pickle.loads(part.value)
     if getattr(part, "_path", None):
         part.__dict__.pop("_value", None)
@@ -311,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     for group in passes(benchmark, cfg):
 
         def search(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            single = unpacked(group[0]) if len(group) == 1 else None
+            single = pickle.loads(group[0].value) if len(group) == 1 else None
             for batch in batches if single else portions(batches, cfg.held_chars):
                 ids, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
                 for part in group:
@@ -333,7 +333,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig
     for group in passes(benchmark, cfg):
 
         def clean(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            single = unpacked(group[0]) if len(group) == 1 else None
+            single = pickle.loads(group[0].value) if len(group) == 1 else None
             for batch in batches if single else portions(batches, cfg.held_chars):
                 for part in group:
                     index = None  # before the next one is made
