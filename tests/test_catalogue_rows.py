@@ -1,8 +1,12 @@
 """Queries of the catalogue on rows that the given tables have few of."""
 
 import duckdb
+import numpy as np
 from comparing import rows_of
 
+from wavemark.config import PipelineConfig
+from wavemark.functions import hann_weights
+from wavemark.operators.dsp import spectrum_db
 from wavemark.plans import catalogue
 
 
@@ -20,3 +24,16 @@ def test_constellation_counts_seconds_of_the_clock(spark, tmp_path):
     first = "select -1 - i as event_id, timestamp '2024-01-01 00:00:00' + to_microseconds(i * 4999) as ts, i as user_id, 0.0::DOUBLE as value from range(200) r(i)"
     got, expected = both(spark, tmp_path, "constellation_evt", events=f"{events} union all {first}")
     assert got == expected
+
+
+def test_levels_are_those_of_double_precision():
+    """A periodic signal, whose cells beside and after each other are equal in exact arithmetic."""
+    cfg = PipelineConfig().spectrogram
+    x = np.tile(np.array([0.25, -0.5, 0.125, 0.75, -0.25], np.float32), 2000)
+    weights = np.array(hann_weights(cfg.window_size), np.float32)
+    got = spectrum_db(x, cfg.window_size, cfg.hop_size, 0, 8, weights)
+    view = np.lib.stride_tricks.sliding_window_view(x, cfg.window_size)[: 7 * cfg.hop_size + 1 : cfg.hop_size]
+    angle = 2 * np.pi * np.outer(np.arange(cfg.window_size), np.arange(cfg.bins)) / cfg.window_size
+    frames = (view * weights).astype(np.float64)
+    exact = 10 * np.log10((frames @ np.cos(angle)) ** 2 + (frames @ np.sin(angle)) ** 2 + 1e-10)
+    assert (got == exact.astype(np.float32))[exact >= -40].mean() > 0.99
