@@ -154,6 +154,22 @@ def test_strays_of_large_families(spark, seed):
     assert sorted(got, key=str) == brute(rows, cfg)
 
 
+def test_families_cut_by_bytes_alone_lose_nothing(spark):
+    """Families below the block whose differences are many bytes, and some that end at other levels."""
+    rng = random.Random(1)
+    rows = []
+    for g, members in enumerate((40, 120)):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(members):
+            text = list(base)
+            for _ in range(rng.randrange(7)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**7)}"
+            rows.append((len(rows), " ".join(text)))
+    cfg = JaccardConfig(4, 70, family_bytes=2_000)
+    got = [tuple(r) for r in join(spark.createDataFrame(rows, SCHEMA), cfg).collect()]
+    assert sorted(got, key=str) == brute(rows, cfg)
+
+
 def test_crowds_of_several_families_cost_their_size(spark, monkeypatch):
     """Sets of two sizes share a rare block, so that whichever set is its hub, half of them have none;
     few of their pairs link."""
