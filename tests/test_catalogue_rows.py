@@ -19,7 +19,7 @@ def both(spark, folder, name, **tables):
 
 
 def test_constellation_counts_seconds_of_the_clock(spark, tmp_path):
-    """A day and 0.2 s that begin 0.9 s after a second of the clock end in the second after."""
+    """Events about a day apart, whose users begin at different fractions of a second."""
     events = "select i as event_id, timestamp '2024-01-01 00:00:00.5' + to_microseconds(((i // 2) * 200000000 + (i % 2) * (86400000000 + i * 10007) + 399999)) as ts, i // 2 as user_id, i::DOUBLE as value from range(400) r(i)"
     first = "select -1 - i as event_id, timestamp '2024-01-01 00:00:00' + to_microseconds(i * 4999) as ts, i as user_id, 0.0::DOUBLE as value from range(200) r(i)"
     got, expected = both(spark, tmp_path, "constellation_evt", events=f"{events} union all {first}")
