@@ -337,3 +337,24 @@ def test_strays_go_to_no_more_shards_than_there_are_partitions(spark, monkeypatc
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     lone = dict(made)["chain-strays"].filter(f"kind = {chaining.STRAYS}").select("shard").collect()
     assert lone and max(r[0] for r in lone) < 16
+
+
+def test_runs_of_one_word_make_few_pairs_that_reach_as_far():
+    """A word said over and over makes some pairs a place, not one for each other place near it, and
+    lists have the same shortest pairs and the same words around them as of all pairs."""
+    rng = random.Random(16)
+    words = [b"o%d" % rng.randrange(10**6) for _ in range(60)] + [b"the"] * 200 + [b"o%d" % rng.randrange(10**6) for _ in range(60)] + [b"and"] * 30
+    hashes, bounds = chaining.text_hashes([b" ".join(words)])
+    e = chaining.seeds_of_all(np.array([5]), hashes, bounds, CFG)
+    known = np.array([rng.random() < 0.5 or i for i in np.isin(e["token"], e["token"][np.flatnonzero(e["token"][1:] == e["token"][:-1])])])
+    got = chaining.pairs_of(e, known, CFG)
+    every = []
+    for i in range(len(e)):
+        for j in range(i + 1, len(e)):
+            gap = int(e["at"][j] - e["at"][i])
+            if gap <= CFG.least_words - CFG.k and ((gap >= CFG.apart and (known[i] or known[j])) or (j == i + 1 and known[i] and known[j])):
+                every.append((chaining.mix64(e["token"][i : i + 1] ^ chaining.mix64(e["token"][j : j + 1]))[0], 5, e["at"][i], gap, 0))
+    every = np.array(sorted(every, key=lambda r: r[3]), chaining.PAIR)
+    assert len(got) < 0.2 * len(every) and (chaining.Lists(got).e == chaining.Lists(every).e).all()
+    bags = [{int(t): Counter(x["words"][x["token"] == t].ravel().tolist()) - Counter({0: 10**9}) for t in np.unique(x["token"])} for x in (chaining.bags_of(hashes, p, CFG) for p in (got, every))]
+    assert bags[0] == bags[1]

@@ -48,7 +48,6 @@ are not reported; empty tables give an empty result; other columns are not read,
 from __future__ import annotations
 
 import ctypes
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import lt
@@ -83,6 +82,8 @@ PACKED = "kind int, shard int, data binary"
 #: How many times more shards the places of long lists of pairs have than seeds; places that are
 #: matched at a time.
 FINER, AT_ONCE = 8, 50_000
+#: Pairs of texts from which a word is counted by a product of matrices: there a pair costs as much.
+OFTEN = 5_000
 #: Bytes of texts that are hashed at a time, many small texts at once.
 READ = 1 << 19
 #: Bytes of a packed cell at most, where no shard divides them: thousands of cells are read at once.
@@ -258,16 +259,30 @@ def long_windows(h: np.ndarray, n: int) -> np.ndarray:
 
 def pairs_of(e: np.ndarray, common: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
     """Pairs of each text's seeds within least_words, of which one is common: all that are apart, and
-    neighbours that both are."""
+    neighbours that both are. In a run of one seed, as of a word said over and over, a place has the
+    pair of its seed with itself once, with its neighbour; and of a place's pairs with the places of a
+    run, which are one pair, the shortest and the longest are kept."""
     out = []
     token, key, place = (np.ascontiguousarray(e[c]) for c in ("token", "key", "at"))
+    runs = np.zeros(len(e), bool)
+    runs[:-1] = (token[1:] == token[:-1]) & (key[1:] == key[:-1]) & (place[1:] - place[:-1] <= cfg.least_words - cfg.k)
+    inner = runs.copy()
+    inner[1:] &= runs[:-1]
+    inner[:1] = False
+    runs &= common
+    after = np.append(place[1:], 0)
     for step in range(1, len(e)):
         gap = place[step:] - place[:-step]
         near = (gap <= cfg.least_words - cfg.k) & (key[step:] == key[:-step])
         if not near.any():
             break
         one, two = common[:-step], common[step:]
-        i = np.flatnonzero(near & (((gap >= cfg.apart) & (one | two)) | (one & two & (step == 1))))
+        fine = near & (((gap >= cfg.apart) & (one | two)) | (one & two & (step == 1)))
+        if step > 1:
+            fine &= ~(runs[:-step] & (token[step:] == token[:-step]))
+            between = (place[step - 1 : -1] - place[:-step] >= cfg.apart) & (after[step:] - place[:-step] <= cfg.least_words - cfg.k)
+            fine &= ~(inner[step:] & between)
+        i = np.flatnonzero(fine)
         part = np.zeros(len(i), PAIR)
         part["token"] = mix64(token[i] ^ mix64(token[i + step]))
         part["key"], part["at"], part["gap"] = key[i], place[i], gap[i]
@@ -447,36 +462,40 @@ def chains_of(x: list[int], y: list[int], cfg: ChainingConfig) -> list[list[int]
 
     Within one x no match follows another, so all of an x are scored before any is entered.
     """
-    n, worth, skip = len(x), float(cfg.k), cfg.skip
+    n, worth = len(x), float(cfg.k)
     if n > 1 and all(map(lt, x, x[1:])) and all(map(lt, y, y[1:])):
         return _rising_chains(x, y, cfg)
-    places = sorted(set(y))
-    tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(places) + 1)
+    places, rank = np.unique(np.array(y), return_inverse=True)
+    cost, rank, size = (cfg.skip * (np.array(x) + np.array(y))).tolist(), rank.tolist(), len(places)
+    #: Of the Fenwick tree's nodes: the best value, and the last match that has it.
+    value, last = [-1e18] * (size + 1), [-1] * (size + 1)
     score, before = [0.0] * n, [-1] * n
     i = 0
     while i < n:
-        j = i
-        while j < n and x[j] == x[i]:
-            at = bisect_left(places, y[j])
-            best = (-1e18, -1)
-            k = at
-            while k > 0:
-                if tree[k] > best:
-                    best = tree[k]
+        j, at = i, x[i]
+        while j < n and x[j] == at:
+            k, best, m = rank[j], -1e18, -1
+            while k:
+                v = value[k]
+                if v > best or (v == best and last[k] > m):
+                    best, m = v, last[k]
                 k &= k - 1
-            gain = best[0] - skip * (x[j] + y[j])
-            score[j], before[j] = (worth + gain, best[1]) if gain > 0 else (worth, -1)
+            gain = best - cost[j]
+            if gain > 0:
+                score[j], before[j] = worth + gain, m
+            else:
+                score[j] = worth
             j += 1
         for m in range(i, j):
-            entry = (score[m] + skip * (x[m] + y[m]), m)
-            k = bisect_left(places, y[m]) + 1
-            while k < len(tree):
-                if entry > tree[k]:
-                    tree[k] = entry
+            v, k = score[m] + cost[m], rank[m] + 1
+            while k <= size:
+                # Matches come in rising order, so of equal values this is the last.
+                if v >= value[k]:
+                    value[k], last[k] = v, m
                 k += k & -k
         i = j
     used, out = [False] * n, []
-    for m in sorted(range(n), key=lambda m: (-score[m], m)):
+    for m in sorted(range(n), key=score.__getitem__, reverse=True):
         chain = []
         while m >= 0 and not used[m]:
             used[m] = True
@@ -844,8 +863,12 @@ def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarra
     e = e[times[owner] > 1]
     if not len(e):
         return single
-    e = e[np.argsort(e["token"], kind="stable")]
+    e = e[np.lexsort((e["at"], e["token"]))]
     token, owner = np.unique(e["token"], return_inverse=True)
+    # In a run of one seed a place reaches as far as the last pair of the run that a pair may span.
+    end = e["at"].astype(np.int64) + e["gap"]
+    run = np.cumsum(np.concatenate([[0], (owner[1:] != owner[:-1]) | (e["at"][1:] != end[:-1])])) << 40
+    e["gap"] = end[np.searchsorted(run + end, run + e["at"] + reach - cfg.k, "right") - 1] - e["at"]
     held, rest = [], np.zeros(0, np.uint64)
     for i in range(0, len(e), 2_000):
         some = e[i : i + 2_000]
@@ -899,20 +922,22 @@ def alike(words: np.ndarray, owner: np.ndarray, stray: np.ndarray, least: int, b
         for j, two in enumerate(left[: i + 1] + rest):
             both = np.concatenate([one, two])
             row, number, many = numbered(words[within(start[both], rows[both])], np.repeat(np.arange(len(both)), rows[both]))
-            ends = np.searchsorted(number, np.arange(many + 1))
-            shared = np.zeros((len(one), len(two)), np.float32)
-            often = np.diff(ends) > 50
-            # Words that many hold by a product of matrices, the rest one by one.
+            here, there = row < len(one), row >= len(one)
+            a, wa, b, wb = row[here], number[here], row[there] - len(one), number[there]
+            na, nb = np.bincount(wa, minlength=many), np.bincount(wb, minlength=many)
+            often = na * nb > OFTEN
+            # Words that many hold by a product of matrices, the rest by the pairs of their holders.
+            few = wa[~often[wa]]
+            x = np.repeat(a[~often[wa]], nb[few])
+            y = b[within((np.cumsum(nb) - nb)[few], nb[few])]
+            shared = np.bincount(x * len(two) + y, minlength=len(one) * len(two)).astype(np.float32).reshape(len(one), len(two))
             for some in np.array_split(np.flatnonzero(often), int(often.sum()) // 1_000 + 1):
-                held = np.zeros((len(one) + len(two), len(some)), np.float32)
-                for c, w in enumerate(some.tolist()):
-                    held[row[ends[w] : ends[w + 1]], c] = 1
-                shared += held[: len(one)] @ held[len(one) :].T
-            for w in np.flatnonzero(~often).tolist():
-                r = row[ends[w] : ends[w + 1]]
-                a, b = r[r < len(one)], r[r >= len(one)] - len(one)
-                if len(a) and len(b):
-                    shared[a[:, None], b] += 1
+                column = np.full(many, -1)
+                column[some] = np.arange(len(some))
+                left_, right_ = np.zeros((len(one), len(some)), np.float32), np.zeros((len(two), len(some)), np.float32)
+                for held, r, w in ((left_, a, column[wa]), (right_, b, column[wb])):
+                    held[r[w >= 0], w[w >= 0]] = 1
+                shared += left_ @ right_.T
             a, b = np.nonzero(shared >= least)
             a, b = one[a], two[b]
             # Two blocks of strays meet once, for both.
@@ -1090,8 +1115,9 @@ def _chains(matches: DataFrame, cfg: ChainingConfig) -> DataFrame:
             if xs[-1] - xs[0] + cfg.k < cfg.least_span:
                 continue
             kept, spare = [], []
-            for found in chains_of(xs.tolist(), ys.tolist(), cfg):
-                long = len(found) >= cfg.least_seeds and min(xs[found[-1]] - xs[found[0]], ys[found[-1]] - ys[found[0]]) + cfg.k >= cfg.least_span
+            u, v = xs.tolist(), ys.tolist()
+            for found in chains_of(u, v, cfg):
+                long = len(found) >= cfg.least_seeds and min(u[found[-1]] - u[found[0]], v[found[-1]] - v[found[0]]) + cfg.k >= cfg.least_span
                 kept.append(found) if long else spare.extend(found)
             if len(spare) >= cfg.least_seeds:
                 rest = np.array(spare)
