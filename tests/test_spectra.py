@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +140,37 @@ def test_vectorised_and_window_forms_agree(spark):
     b = {tuple(r) for r in peaks_from_signals(rows, cfg).select("track_name", "frame", "bin", "time", "freq").collect()}
     assert a == b and len(a) > 10
     assert peaks_from_signals(rows.withColumn("samples", F.lit(None).cast("array<float>")), cfg).count() == 0
+
+
+def test_texts_are_read_in_the_task_and_peaks_leave_together(spark, monkeypatch):
+    """Samples of a text are those of the view in SQL operations, and so are its peaks; short tracks'
+    peaks share batches, and the window's weights are made once a task."""
+    from pyspark.sql import functions as F
+
+    from wavemark.operators import peaks
+    from wavemark.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "é€\U0001f600\x00 z", None, *("".join(map(chr, rng.integers(32, 400, n))) for n in (255, 256, 257, 700, 3_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: catalogue.W.pcm_sample(F.ascii(c) - 128, 8))
+    signals = rows.select(F.col("doc_id").cast("string").alias("track_name"), chars.alias("samples"))
+    for got, text in zip(signals.orderBy("track_name").collect(), texts, strict=True):
+        assert got.samples is None if text is None else np.float32(got.samples).tolist() == catalogue.characters(pa.scalar(text)).tolist()
+    packed = rows.select(F.col("doc_id").cast("string").alias("track_name"), F.col("text").alias("samples"))
+    one, two = peaks.peaks_from_signals(signals, catalogue.DOC), peaks.peaks_from_signals(packed, catalogue.DOC, catalogue.characters)
+    assert one.count() > 50 and sorted(one.collect()) == sorted(two.collect())
+    held = []
+    monkeypatch.setattr(peaks, "track_peaks", lambda samples, cfg, weights: held.append(weights) or track_peaks(samples, cfg, weights))
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            self.run = f
+
+    frame = Frame()
+    peaks.peaks_from_signals(frame, catalogue.DOC, catalogue.characters)
+    batches = list(frame.run(iter([pa.record_batch([pa.array(map(str, range(9))), pa.array(texts)], ["track_name", "samples"])])))
+    assert len(batches) == 1 and batches[0].num_rows == one.count() and len(set(map(id, held))) == 1
