@@ -358,3 +358,56 @@ def test_runs_of_one_word_make_few_pairs_that_reach_as_far():
     assert len(got) < 0.2 * len(every) and (chaining.Lists(got).e == chaining.Lists(every).e).all()
     bags = [{int(t): Counter(x["words"][x["token"] == t].ravel().tolist()) - Counter({0: 10**9}) for t in np.unique(x["token"])} for x in (chaining.bags_of(hashes, p, CFG) for p in (got, every))]
     assert bags[0] == bags[1]
+
+
+def test_runs_of_one_word_too_short_for_a_passage_are_not_chained(spark, monkeypatch):
+    """Texts that share a word said 40 to 48 times and nothing around it are strays of one list; what
+    they share is as much as a passage must agree in, but no passage, so none of it leaves the task."""
+    rows_of, write = {}, chaining.written
+
+    def written(df, name, parts=None):
+        out = write(df, name, parts)
+        if name in ("chain-strays", "chain-met"):
+            rows_of[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(chaining, "written", written)
+    rng = random.Random(17)
+    own = lambda n: [f"o{rng.randrange(10**7)}" for _ in range(n)]
+    rows = [(i, " ".join([*own(30), *["the"] * (40 + i % 9), *own(30)])) for i in range(60)]
+    rows += [(60 + i, " ".join([*own(30), *rows[0][1].split()[20:90], *own(30)])) for i in range(2)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {x for r in got for x in (r.doc_id, r.other_doc_id)} == {0, 60, 61}
+    assert any(r.kind == chaining.STRAYS for r in rows_of["chain-strays"])
+    assert sum(len(r.data) for r in rows_of["chain-met"]) < 100 * chaining.MATCH.itemsize
+
+
+def test_dense_stretches_and_words_in_order():
+    cfg = ChainingConfig(least_words=6, identity=0.75)
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 25, 400)
+    held = (rng.random((400, 30)) < rng.choice([0.5, 0.7, 0.8], (400, 1))) & (np.arange(30) < size[:, None])
+    cut = rng.integers(0, 4, 400)
+
+    def brute_dense(row, n, cut):
+        before, after = 6 * (cut & 1), 6 * (cut >> 1)
+        row = [True] * before + row[:n].tolist() + [True] * after
+        # A place has six words of the text on each side that is cut.
+        first, last = 2 * before, before + n - after
+        return any(row[i] and row[j - 1] and sum(row[i:j]) >= 0.75 * (j - i) and (i < last or not after) and (j > first or not before) for i in range(len(row)) for j in range(i + 6, len(row) + 1))
+
+    expected = [brute_dense(*x) for x in zip(held, size.tolist(), cut.tolist(), strict=True)]
+    assert chaining.dense(held, size, cut, cfg).tolist() == expected and 50 < sum(expected) < 350
+    for _ in range(50):
+        a, b = (rng.integers(0, 8, rng.integers(0, 40)) for _ in range(2))
+        assert chaining.in_order(a.tolist(), b.tolist()) == common_words(a, b)
+
+
+def test_words_around_places_keep_their_order():
+    """Places whose words overlap are one stretch, those far apart are two, and rows go on where the last
+    ended."""
+    hashes = np.arange(1, 1001, dtype=np.uint64)
+    e = np.array([(7, 3, at, 10, 0) for at in (10, 60, 160, 600)] + [(9, 3, 985, 10, 0)], chaining.PAIR)
+    got = chaining.bags_of(hashes, e, CFG)
+    assert got[["token", "lo", "at", "cut"]].tolist() == [(7, 0, 0, 2), (7, 0, 150, 2), (7, 550, 550, 3), (9, 935, 935, 1)]
+    assert [[x for x in w.tolist() if x] for w in got["words"]] == [[*range(1, 151)], [*range(151, 226)], [*range(551, 666)], [*range(936, 1001)]]

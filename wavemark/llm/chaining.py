@@ -19,8 +19,10 @@ again when passages are known: members whose places passages join to each other,
 of others, need no more, and every place that is not joined to most of its list, a stray, is compared
 with all of the list. What is compared are the words around it, as many as a passage has on either
 side; two places go on to be chained and aligned if these share as many words as the least passage
-must agree in. No list, partner or candidate is left out; the price is a list's strays times its
-members, in blocks in memory, of which only what shares enough leaves the task.
+must agree in, so many of them in one order, and if in either text a passage may run over the place:
+from a shared word to a shared word, long enough, with enough shared, where the text beyond those words
+counts as shared for as many again. The price is a list's strays times its members, in blocks in
+memory, of which only what may hold a passage leaves the task.
 
 Matches of two texts are by all places in one against the first place, and the place of the same
 rank, in the other, so that words repeated over and over still chain. Within one text, a seed's place
@@ -74,6 +76,7 @@ ANCHOR = np.dtype([("x", "<i4"), ("y", "<i4")])
 COVER = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("partner", "<i8")])
 EDGE = np.dtype([("token", "<u8"), ("key", "<i8"), ("partner", "<i8")])
 STRAY = np.dtype([("token", "<u8"), ("key", "<i8")])
+STRETCH = np.dtype([*STRAY.descr, ("lo", "<i4"), ("at", "<i4"), ("cut", "u1")])
 #: What a packed row holds: places of seeds, of pairs of seeds, of windows; matches of seeds, of
 #: windows; seeds whose list is long, and the texts that hold them; pairs whose list is long; and of
 #: these lists covers, edges, strays, lists with strays, the words around places.
@@ -84,6 +87,8 @@ PACKED = "kind int, shard int, data binary"
 FINER, AT_ONCE = 8, 50_000
 #: Pairs of texts from which a word is counted by a product of matrices: there a pair costs as much.
 OFTEN = 5_000
+#: Words of two stretches up to which their order is compared.
+IN_ORDER = 600
 #: Bytes of texts that are hashed at a time, many small texts at once.
 READ = 1 << 19
 #: Bytes of a packed cell at most, where no shard divides them: thousands of cells are read at once.
@@ -850,49 +855,27 @@ def strays(edges: np.ndarray, few: int) -> np.ndarray:
 
 
 def bags_of(hashes: np.ndarray, e: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
-    """The words around a text's places in each list: all that its places there have, each as often as
-    the place that has most of it, in one or more rows."""
+    """The words around a text's places in each list, in their order: places whose words overlap make one
+    stretch, from `lo`, in one or more rows from `at`; `cut` has 1 if the text has words before it, 2 if after."""
     reach, width = cfg.least_words, 3 * cfg.least_words
-    words = np.concatenate([np.zeros(reach, np.uint32), np.maximum(hashes.astype(np.uint32), 1), np.zeros(width, np.uint32)])
-    token, owner, times = np.unique(e["token"], return_inverse=True, return_counts=True)
-    # A list with one place has its words as they are.
-    once = e[times[owner] == 1]
-    single = np.zeros(len(once), np.dtype([*STRAY.descr, ("words", "<u4", (width,))]))
-    single["token"], single["key"], single["words"] = once["token"], once["key"], words[once["at"][:, None] + np.arange(width)]
-    single["words"][np.arange(width) >= once["gap"][:, None] + cfg.k + 2 * reach] = 0
-    e = e[times[owner] > 1]
-    if not len(e):
-        return single
     e = e[np.lexsort((e["at"], e["token"]))]
-    token, owner = np.unique(e["token"], return_inverse=True)
-    # In a run of one seed a place reaches as far as the last pair of the run that a pair may span.
-    end = e["at"].astype(np.int64) + e["gap"]
-    run = np.cumsum(np.concatenate([[0], (owner[1:] != owner[:-1]) | (e["at"][1:] != end[:-1])])) << 40
-    e["gap"] = end[np.searchsorted(run + end, run + e["at"] + reach - cfg.k, "right") - 1] - e["at"]
-    held, rest = [], np.zeros(0, np.uint64)
-    for i in range(0, len(e), 2_000):
-        some = e[i : i + 2_000]
-        around = words[some["at"][:, None] + np.arange(width)]
-        around[np.arange(width) >= some["gap"][:, None] + cfg.k + 2 * reach] = 0
-        around.sort(axis=1)
-        place = np.broadcast_to(np.arange(width, dtype=np.int16), around.shape)
-        begin = np.ones(around.shape, bool)
-        begin[:, 1:] = around[:, 1:] != around[:, :-1]
-        again = place - np.maximum.accumulate(np.where(begin, place, np.int16(0)), axis=1)
-        codes = owner[i : i + 2_000, None].astype(np.uint64) << np.uint64(40) | around.astype(np.uint64) << np.uint64(8) | again.astype(np.uint64)
-        rest = np.unique(np.concatenate([rest, codes[around > 0]]))
-        done = np.searchsorted(rest, np.uint64(owner[i : i + 2_000][-1]) << np.uint64(40))
-        held.append(rest[:done])
-        rest = rest[done:]
-    held = np.concatenate([*held, rest])
-    owner = (held >> np.uint64(40)).astype(np.int64)
-    size = np.bincount(owner, minlength=len(token))
-    rows = -(-size // width)
-    at = np.arange(len(held)) - np.repeat(np.cumsum(size) - size, size)
-    out = np.zeros(int(rows.sum()), single.dtype)
-    out["token"], out["key"] = np.repeat(token, rows), e["key"][0]
-    out["words"][np.repeat(np.cumsum(rows) - rows, size) + at // width, at % width] = (held >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return np.concatenate([single, out])
+    token = np.ascontiguousarray(e["token"])
+    owner = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+    lo = np.maximum(e["at"].astype(np.int64) - reach, 0)
+    hi = np.minimum(e["at"].astype(np.int64) + e["gap"] + cfg.k + reach, len(hashes))
+    # The end of all places of the list up to each; a list's numbers are above those of the one before.
+    far = np.maximum.accumulate(owner * (len(hashes) + 1) + hi) - owner * (len(hashes) + 1)
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (lo[1:] > far[:-1])]))
+    lo, hi, token = lo[first], far[np.append(first[1:], len(e)) - 1], token[first]
+    rows = -(-(hi - lo) // width)
+    out = np.zeros(int(rows.sum()), np.dtype([*STRETCH.descr, ("words", "<u4", (width,))]))
+    out["token"], out["key"], out["lo"] = np.repeat(token, rows), e["key"][0], np.repeat(lo, rows)
+    out["cut"] = np.repeat((lo > 0) + 2 * (hi < len(hashes)), rows)
+    out["at"] = within(np.zeros(len(rows), np.int64), rows) * width + out["lo"]
+    words = np.concatenate([np.maximum(hashes.astype(np.uint32), 1), np.zeros(width, np.uint32)])
+    out["words"] = words[out["at"][:, None] + np.arange(width)]
+    out["words"][np.arange(width) >= (np.repeat(hi, rows) - out["at"])[:, None]] = 0
+    return out
 
 
 def numbered(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -944,6 +927,83 @@ def alike(words: np.ndarray, owner: np.ndarray, stray: np.ndarray, least: int, b
             yield (np.concatenate([a, b]), np.concatenate([b, a])) if j < i else (a, b)
 
 
+def dense(held: np.ndarray, size: np.ndarray, cut: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
+    """Whether a passage may run over the places of each stretch, a row, given which of its words the
+    other text has: from a held word to a held word, least_words at least, enough of them held. Where the
+    text goes on beyond the stretch, as many words as it has around a place count as held."""
+    least, (n, width) = cfg.least_words, held.shape
+    at, size, cut = np.arange(width + 2 * least), size[:, None], cut[:, None]
+    every = np.zeros((n, width + 2 * least), bool)
+    every[:, least:-least] = held
+    every[:, :least] = cut & 1
+    every |= (at >= least + size) & (at < 2 * least + size) & (cut > 1)
+    worth = np.cumsum(every - np.float32(cfg.identity), axis=1, dtype=np.float32)
+    # A sum up to a word is compared with sums before words least - 1 and more ahead of it.
+    begin = np.where(every & ((at < size) | (cut < 2)), worth - np.float32(1 - cfg.identity), np.inf)
+    end = np.where(every & ((at >= 2 * least) | (cut & 1 == 0)), worth, -np.inf)
+    return (end[:, least - 1 :] >= np.minimum.accumulate(begin[:, : width + least + 1], axis=1) - 1e-3).any(axis=1)
+
+
+def in_order(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, a bit a word of b."""
+    at: dict[int, int] = {}
+    for i, word in enumerate(b):
+        at[word] = at.get(word, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    left = full
+    for word in a:
+        both = left & at.get(word, 0)
+        left = ((left + both) | (left - both)) & full
+    return len(b) - left.bit_count()
+
+
+def passable(words: np.ndarray, cut: np.ndarray, owner: np.ndarray, x: np.ndarray, y: np.ndarray, cfg: ChainingConfig) -> np.ndarray:
+    """Whether two owners' words, in their order, may hold a passage: in both, words that the other has
+    too make a dense stretch, and as many as the least passage needs follow each other in one order.
+    The rows come in the order of owners and words."""
+    out, least = np.zeros(len(x), bool), int(np.ceil(cfg.identity * cfg.least_words))
+    ids = np.unique(np.concatenate([x, y]))
+    start, stop = np.searchsorted(owner, ids), np.searchsorted(owner, ids, "right")
+    x, y, rows = np.searchsorted(ids, x), np.searchsorted(ids, y), stop - start
+    # Pairs of one number of rows at a time, so that few long stretches do not make all wide.
+    most = np.maximum(rows[x], rows[y])
+    for many in np.unique(most).tolist():
+        pairs = np.flatnonzero(most == many)
+        pairs = pairs[np.argsort(x[pairs], kind="stable")]
+        used = np.unique(np.concatenate([x[pairs], y[pairs]]))
+        flat = np.zeros((len(used), many, words.shape[1]), np.uint32)
+        flat[np.repeat(np.arange(len(used)), rows[used]), within(np.zeros(len(used), np.int64), rows[used])] = words[within(start[used], rows[used])]
+        names, flat = np.unique(flat, return_inverse=True)
+        flat = flat.reshape(len(used), -1)
+        # Number 0 is no word: it fills up rows.
+        if names[0]:
+            names, flat = np.append(np.uint32(0), names), flat + 1
+        size, ends = (flat > 0).sum(axis=1), cut[start[used]].astype(np.int64)
+        one, two = np.searchsorted(used, x[pairs]), np.searchsorted(used, y[pairs])
+        marks, step = np.zeros(len(names), bool), max(1, 1_000_000 // flat.shape[1])
+        for n in range(0, len(pairs), step):
+            u, v = one[n : n + step], two[n : n + step]
+            held = np.zeros((len(u), flat.shape[1]), bool)
+            first = np.flatnonzero(np.diff(u, prepend=-1))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(u)], strict=True):
+                marks[flat[u[i]]] = True
+                marks[0] = False
+                held[i:j] = marks[flat[v[i:j]]]
+                marks[flat[u[i]]] = False
+            left = np.flatnonzero(dense(held, size[v], ends[v], cfg))
+            in_two, held = held[left], np.zeros((len(left), flat.shape[1]), bool)
+            for i, (a, b) in enumerate(zip(flat[u[left]], flat[v[left]], strict=True)):
+                marks[b] = True
+                marks[0] = False
+                held[i] = marks[a]
+                marks[b] = False
+            for i in np.flatnonzero(dense(held, size[u[left]], ends[u[left]], cfg)).tolist():
+                a, b = flat[u[left[i]]][held[i]], flat[v[left[i]]][in_two[i]]
+                # Long stretches have so many words in one order, as good as always.
+                out[pairs[n + left[i]]] = max(len(a), len(b)) > IN_ORDER or in_order(a.tolist(), b.tolist()) >= least
+    return out
+
+
 def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, cfg: ChainingConfig, shards: int) -> DataFrame | None:
     """Matches of the strays of long lists of pairs with all of their lists, given the passages
     found; None if there are no strays. `lists`: the pairs whose list is long."""
@@ -1029,7 +1089,7 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
     if not lone.take(1):
         return None
     open_, members = _filter(docs.sparkSession, _numbers(lone, OPEN)), _filter(docs.sparkSession, _numbers(lone, HOLDERS).distinct())
-    bag = np.dtype([*STRAY.descr, ("words", "<u4", (3 * cfg.least_words,))])
+    bag = np.dtype([*STRETCH.descr, ("words", "<u4", (3 * cfg.least_words,))])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed(around(batches, open_.value, members.value), "token")
@@ -1044,9 +1104,11 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
         lone, e = (np.concatenate(parts.pop(kind)) for kind in (STRAYS, PAIRS))
         lists = Lists(e[np.isin(e["token"], lone["token"])])
         found = parts.pop(CONTEXTS)
-        names = np.concatenate([x[["token", "key"]].astype(STRAY) for x in found])
-        order = np.lexsort((names["key"], names["token"]))
-        order = order[np.isin(names["token"][order], lone["token"])]
+        names = np.concatenate([x[["token", "key", "at"]].astype(WINDOW) for x in found])
+        order = np.lexsort((names["at"], names["key"], names["token"]))
+        # Copies of a text in several tasks gave the same rows.
+        once = np.append(True, names[order[1:]] != names[order[:-1]])[: len(order)]
+        order = order[once & np.isin(names["token"][order], lone["token"])]
         at = np.full(len(names), -1)
         at[order] = np.arange(len(order))
         bags, first = np.empty(len(order), bag), 0
@@ -1055,12 +1117,21 @@ def _strays(docs: DataFrame, tokens, keys, lists: DataFrame, found: DataFrame, c
             bags[to[to >= 0]] = found[i][to >= 0]
             first, found[i] = first + len(to), None
         del found, e
-        owner = np.cumsum(np.concatenate([[False], (bags["token"][1:] != bags["token"][:-1]) | (bags["key"][1:] != bags["key"][:-1])])) if len(bags) else np.zeros(0, np.int64)
+        # Of each stretch of words its first row, and the text of a list that it is of.
+        new = np.concatenate([[True], np.any([bags[c][1:] != bags[c][:-1] for c in ("token", "key", "lo")], axis=0)]) if len(bags) else np.zeros(0, bool)
+        owner = np.cumsum(new) - 1
+        text = np.cumsum(np.concatenate([[False], (bags["token"][1:] != bags["token"][:-1]) | (bags["key"][1:] != bags["key"][:-1])]))[new] if len(bags) else owner
         stray = np.isin(node(lists.e["token"][lists.start], lists.e["key"][lists.start]), node(lone["token"], lone["key"]))
         for i, n in zip(lists.first.tolist(), lists.texts.tolist(), strict=True):
-            a, b = np.searchsorted(owner, [i, i + n])
-            for x, y in alike(bags["words"][a:b], owner[a:b] - i, stray[i : i + n], int(np.ceil(cfg.identity * cfg.least_words))):
-                x, y = np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
+            u, v = np.searchsorted(text, [i, i + n])
+            a, b = np.searchsorted(owner, [u, v])
+            whose = text[u:v] - i
+            for x, y in alike(bags["words"][a:b], owner[a:b] - u, stray[i : i + n][whose], int(np.ceil(cfg.identity * cfg.least_words))):
+                apart = whose[x] != whose[y]
+                x, y = np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+                x, y = np.divmod(np.unique(x * (v - u) + y), max(1, v - u))
+                fine = passable(bags["words"][a:b], bags["cut"][a:b], owner[a:b] - u, x, y, cfg)
+                x, y = whose[x[fine]], whose[y[fine]]
                 x, y = np.divmod(np.unique(x * n + y), n)
                 # A text may have thousands of places in a list, so pairs are taken by these.
                 cuts = np.flatnonzero(np.diff(np.cumsum(lists.places[i + x]) // AT_ONCE)) + 1
