@@ -18,7 +18,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["offset_histogram_common"])
+@pytest.mark.parametrize("name", ["offset_histogram", "offset_histogram_common"])
 def test_votes_leave_their_task_once(spark, data, name):
     """All votes are quadratic in the tracks: after they are counted nothing joins or shuffles them."""
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
