@@ -92,3 +92,24 @@ def test_one_pass_is_the_plan(spark, hashes):
     a, b = fingerprints_from_signals(rows, cfg), fingerprints(peaks_from_signals(rows, cfg), cfg.hashes)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert hashes.get("fan_value") == 0 or a.count() > 20
+
+
+def test_fingerprints_of_short_tracks_leave_together():
+    import numpy as np
+    import pyarrow as pa
+
+    from wavemark.config import PipelineConfig
+    from wavemark.operators.hashes import fingerprints_from_signals
+
+    class Caught:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    cfg = PipelineConfig.derive(64, 16, 4, {"time_neighborhood": 2, "freq_neighborhood": 2}, {"max_dt": 0.5})
+    samples = [np.random.default_rng(i).random(66).astype(np.float32) for i in range(300)]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in some]), pa.array([samples[i] for i in some], pa.list_(pa.float32()))], ["track_name", "samples"])
+    run = fingerprints_from_signals(Caught(), cfg)
+    together = list(run(iter([batch(range(300))])))
+    alone = [b for i in range(300) for b in run(iter([batch([i])]))]
+    assert len(together) == 1 and together[0].num_rows > 300
+    assert pa.Table.from_batches(together).equals(pa.Table.from_batches(alone).combine_chunks())
